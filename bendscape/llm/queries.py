@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import quality_rules
+from bendscape.llm import quality_rules, simhash
 from bendscape.llm.common import table
 
 
@@ -50,5 +50,13 @@ WITH d AS (
 SELECT *, failed_bits = 0 AS kept FROM b
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest document that links of at most two bits reach."""
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
 ORACLES = {"op2_quality_rules": _OP2}
