@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import quality_rules, simhash
+from bendscape.llm import quality_rules, simhash, suffix_dedup
 from bendscape.llm.common import table
 
 
@@ -58,5 +58,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without those of 100-byte strings that start earlier too."""
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
 ORACLES = {"op2_quality_rules": _OP2}
