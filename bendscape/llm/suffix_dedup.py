@@ -196,7 +196,7 @@ def _borders(rows: DataFrame, length: int) -> DataFrame:
     schema = "anchor long, deal int, hot boolean, key long, h long, s int, left int, more int, body binary"
 
     def run(batches):
-        for batch in batches:
+        for batch in batches:  # of which the last column is not needed here
             out = [[] for _ in range(9)]
             for key, h, text, borders in zip(*[batch.column(k).to_pylist() for k in range(3)], batch.column(3), strict=True):
                 data = text.encode()
@@ -211,7 +211,8 @@ def _borders(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     names = ["anchor", "deal", "hot", "key", "h", "s", "left", "more", "body"]
-    return rows.where("size(borders) > 0").select("key", "h", "text", "borders").mapInArrow(run, schema)
+    # The same columns as in _removed, so that Spark computes the join's inputs once for both.
+    return rows.where("size(borders) > 0").select("key", "h", "text", "borders", "whole").mapInArrow(run, schema)
 
 
 def _ranked(strings: list[bytes], group: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +324,7 @@ def _removed(rows: DataFrame, length: int) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    return rows.select("key", "text", "whole", "more").mapInArrow(run, schema)
+    return rows.select("key", "text", "whole", "more", "borders").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, shallow: int = SHALLOW) -> DataFrame:
