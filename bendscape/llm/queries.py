@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import decontamination, quality_rules, simhash, suffix_dedup
-from bendscape.llm.common import table
+from bendscape.llm import decontamination, mixing, quality_rules, simhash, suffix_dedup
+from bendscape.llm.common import WORD, table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +98,33 @@ SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGI
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
-ORACLES = {"op1_decontamination": _OP1, "op2_quality_rules": _OP2}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources, 150% of their size, takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_OP6 = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][place % 3 + 1] AS w, source_size * 2.0::DOUBLE AS most,
+    sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s
+), h AS (
+  SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY most / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM w
+), t AS (
+  SELECT source, source_size, least(most, w * (SELECT arg_min(here, most / w) FROM h WHERE most >= here * w)) AS target FROM h
+), r AS (
+  SELECT d.doc_id, d.size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS i
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  ((floor(i * rate + {mixing.offset()!r}::DOUBLE) - floor((i - 1) * rate + {mixing.offset()!r}::DOUBLE)) * size)::BIGINT AS taken
+FROM r
+"""
+
+QUERIES = {"op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
+ORACLES = {"op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2}
