@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import decontamination, mixing, quality_rules, simhash, suffix_dedup
+from bendscape.llm import decontamination, mixing, quality_rules, simhash, suffix_dedup, url_templates
 from bendscape.llm.common import WORD, table
 
 
@@ -126,5 +126,18 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {"op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict, by rule or by its template's purity.
+
+    The number in a page's path is that of the document it shows, whose label (bad: low quality or toxic) is the page's.
+    """
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/(\d{1,18})(?:\D|$)", 1)
+    shown = pages.select("url", number.try_cast("long").alias("doc_id"))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labelled = shown.join(table(spark, sf_dir, "labels"), "doc_id").select("url", bad.alias("bad"))
+    return url_templates.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {"op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
 ORACLES = {"op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2}
