@@ -36,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where unset the context's own or a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    return found or os.path.join(tempfile.gettempdir(), "bendscape")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for the row, however often the body (and its lambdas) use it."""
     return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import decontamination, mixing, quality_rules, simhash, suffix_dedup, url_templates
+from bendscape.llm import decontamination, mixing, quality_rules, simhash, suffix_dedup, url_templates, warc
 from bendscape.llm.common import WORD, table
 
 
@@ -139,5 +139,21 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
-ORACLES = {"op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives and merged into one index."""
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP8 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY ALL
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest, payload_bytes)
+"""
+
+QUERIES = {"op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
+ORACLES = {"op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2}
