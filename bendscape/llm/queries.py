@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import decontamination, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, url_templates, warc
+from bendscape.llm import attention_lm, decontamination, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, url_templates, warc
 from bendscape.llm.common import WORD, table
 
 
@@ -166,5 +166,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {"op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores by the unigram baseline and by the attention model."""
+    return attention_lm.score(table(spark, sf_dir, "documents")).drop("h")
+
+
+QUERIES = {"op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
 ORACLES = {"op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2}
