@@ -3,7 +3,8 @@
 Writing: every page is one WARC/1.1 record. Of records with equal payloads of at least ``least`` bytes, that with the
 largest id is a response; the others are revisits that refer to it and hold no payload. Files hold ``per_file`` records
 at most, each file sorted by URL key, date and id: a locally sorted run of captures. Spark's text writer writes the
-files, with the end of a record as its line separator, so they can go to any store that Spark can write.
+files, with the end of a record as its line separator, so they can go to any store that Spark can write. Files are
+compressed as a whole; offsets count uncompressed bytes.
 
 Reading: every file is walked from record to record by Content-Length; payload length and SHA-1 are taken from the
 payload where there is one, and from the record where it is a revisit.
@@ -19,6 +20,7 @@ share the largest id of a payload are all responses). Further columns are ignore
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 
@@ -70,7 +72,7 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 def write(rows: DataFrame, folder: str, per_file: int = PER_FILE) -> None:
     """Writes records as archive files, each a sorted run."""
-    rows.sortWithinPartitions("urlkey", "date", "id").select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
+    rows.sortWithinPartitions("urlkey", "date", "id").select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
 def walk(data: bytes):
@@ -100,7 +102,7 @@ def captures(spark, folder: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 out = []
-                for at, length, head, block in walk(content.as_py()):
+                for at, length, head, block in walk(gzip.decompress(content.as_py())):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     if head["WARC-Type"] == "revisit":
                         digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(http.rpartition(b"Content-Length: ")[2])
