@@ -148,3 +148,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, g
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["reach"], s["start"]))).alias("n"), F.greatest(acc["reach"], s["end"]).alias("reach"))
     out = grouped.select(F.col("id").alias(key), "h", "n_words", F.aggregate("spans", zero, step, lambda acc: acc["n"]).alias("n_hit"), "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    bad = decontaminate(docs, benchmark, key=key, text=text, **options).where("contaminated").select(F.col(key).alias("_key"), F.col("h").alias("_h"))
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_h")), "left_anti")

@@ -11,6 +11,7 @@ names the ledger uses are not carried into it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,11 +22,11 @@ from bendscape.llm.common import SPACE, let, words
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule fails where ``fails`` (over the measurements) is true; ``bit`` is its place in the ledger for good."""
+    """A rule fails where ``fails``, given the measurements, is true; ``bit`` is its place in the ledger for good."""
 
     name: str
     bit: int
-    fails: str
+    fails: Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -35,13 +36,13 @@ class Policy:
 
 
 RULES = (
-    Rule("few_words", 0, "n_words < 10"),
-    Rule("repeated_words", 1, "100 * n_repeat_words > 20 * n_words"),
-    Rule("symbols", 2, "10 * n_symbols > n_words"),
-    Rule("exclamations", 3, "10 * n_exclamations > 3 * n_words"),
-    Rule("capitals", 4, "10 * n_capitals > 3 * word_chars"),
-    Rule("repeated_lines", 5, "2 * n_dup_lines > n_lines"),
-    Rule("word_length", 6, "word_chars < 2 * n_words or word_chars > 15 * n_words"),
+    Rule("few_words", 0, lambda m: m["n_words"] < 10),
+    Rule("repeated_words", 1, lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    Rule("symbols", 2, lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    Rule("exclamations", 3, lambda m: 10 * m["n_exclamations"] > 3 * m["n_words"]),
+    Rule("capitals", 4, lambda m: 10 * m["n_capitals"] > 3 * m["word_chars"]),
+    Rule("repeated_lines", 5, lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
+    Rule("word_length", 6, lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
 )
 BASE = Policy("base", ("few_words", "repeated_words"))
 POLICIES = (BASE, Policy("v1", tuple(r.name for r in RULES)), Policy("v1-lenient", ("few_words", "repeated_words", "symbols", "exclamations")))
@@ -72,36 +73,41 @@ def repeat_words(w: Column, size: int = 5) -> Column:
     return let(hashes, covered)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measurements that the rules need."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    w = words(F.col(text))
+def measured(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All measurements of a text, and ``failed``, a bit for each rule that fails, as one struct.
+
+    It is a single expression in which everything is bound once, so a filter on it measures a text once too.
+    """
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    of_words = let(w, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r")))
-    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
     chars = lambda c: F.length(c).cast("long")
-    return docs.withColumns({"_w": of_words, "_l": of_lines}).withColumns(
-        {
-            "n_words": F.col("_w.n"),
-            "word_chars": chars(F.translate(t, " \t\n\x0b\x0c\r", "")),
-            "n_symbols": chars(t) - chars(F.translate(t, "#*$%&|<>", "")),
-            "n_exclamations": chars(t) - chars(F.translate(t, "!", "")),
-            "n_capitals": chars(t) - chars(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
-            "n_lines": F.col("_l.n"),
-            "n_dup_lines": F.col("_l.d"),
-            "n_repeat_words": F.col("_w.r"),
-        }
-    ).drop("_w", "_l")
+    long = lambda c: c.cast("long")
+
+    def counted(w: Column) -> Column:
+        return let(lines, lambda x: F.struct(
+            long(F.size(w)).alias("n_words"),
+            chars(F.translate(t, " \t\n\x0b\x0c\r", "")).alias("word_chars"),
+            (chars(t) - chars(F.translate(t, "#*$%&|<>", ""))).alias("n_symbols"),
+            (chars(t) - chars(F.translate(t, "!", ""))).alias("n_exclamations"),
+            (chars(t) - chars(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_capitals"),
+            long(F.size(x)).alias("n_lines"),
+            long(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
+            repeat_words(w).alias("n_repeat_words"),
+        ))
+
+    def judged(m: Column) -> Column:
+        bits = F.lit(0).cast("long")
+        for r in rules:
+            bits = bits.bitwiseOR(F.when(r.fails(m), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+        return F.struct(*[m[c].alias(c) for c in MEASURES], bits.alias("failed"))
+
+    return let(let(words(text), counted), judged)
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the key, ``carry``, all measurements, and ``failed``, a bit for each failed rule."""
-    bits = F.lit(0).cast("long")
-    for r in rules:
-        bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
     keep = [c for c in dict.fromkeys((key, *carry)) if c not in (*MEASURES, "failed")]
-    rows = docs.select(*[F.col(c) for c in dict.fromkeys((*keep, text))])
-    return measure(rows, text).select(*keep, *MEASURES, bits.alias("failed"))
+    return docs.select(*keep, measured(F.col(text), rules).alias("_m")).select(*keep, "_m.*")
 
 
 def mask(policy: Policy, rules: tuple[Rule, ...] = RULES) -> int:
@@ -109,9 +115,14 @@ def mask(policy: Policy, rules: tuple[Rule, ...] = RULES) -> int:
     return sum(1 << r.bit for r in rules if r.name in policy.rules)
 
 
-def passes(policy: Policy, rules: tuple[Rule, ...] = RULES, failed: str = "failed") -> Column:
+def passes(policy: Policy, rules: tuple[Rule, ...] = RULES, failed: Column | None = None) -> Column:
     """True where none of a policy's rules failed."""
-    return F.col(failed).bitwiseAND(F.lit(mask(policy, rules)).cast("long")) == 0
+    return (F.col("failed") if failed is None else failed).bitwiseAND(F.lit(mask(policy, rules)).cast("long")) == 0
+
+
+def kept(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The documents that pass a policy, as they are."""
+    return docs.where(passes(policy, rules, measured(F.col(text), rules)["failed"]))
 
 
 def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:

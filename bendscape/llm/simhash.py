@@ -172,3 +172,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     named = joined.join(smallest, "component").select("fp", "smallest")
     known = distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
     return rows.join(known, "fp").select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one document, that with the smallest key, of each component.
+
+    Rows that repeat a key are one document, of which one row stays. Rows without a key cannot name a component and stay.
+    """
+    firsts = near_duplicates(docs, key, **options).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    stay = docs.join(firsts, key, "left_semi")
+    total, distinct = docs.where(F.col(key).isNotNull()).agg(F.count("*"), F.countDistinct(key)).first()
+    if total > distinct:
+        stay = stay.dropDuplicates([key])
+    return stay.unionByName(docs.where(F.col(key).isNull()))
