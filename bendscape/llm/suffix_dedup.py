@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bendscape.llm.common import between, blocks, byte_values, prefix, sliding_argmin, texts
+from bendscape.llm.common import between, blocks, byte_values, mix, prefix, sliding_argmin, texts
 
 LENGTH = 100
 GRAM = 24
@@ -44,6 +44,8 @@ GROUP = 1024
 CHUNK = 1 << 14
 #: Parts that quicksort no longer parts.
 SMALL = 24
+#: The extent of runs that a task has found to be later ones.
+LATER = 0
 #: Stands for a null key.
 NO_KEY = -(1 << 63)
 
@@ -175,6 +177,7 @@ def anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(key, h, at, anchor, extent): one row for each run of windows with one anchor.
 
     ``at`` holds the first window, and how far behind it the anchor and the last window start, in 32, 16 and 16 bits.
+    An ``extent`` of LATER marks a run that is known to repeat an earlier one.
     """
     schema = "key long, h long, at long, anchor long, extent long"
     names = ["key", "h", "at", "anchor", "extent"]
@@ -182,11 +185,24 @@ def anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = texts(batch.column(2))
+            parts = []
             for i, j in blocks(offsets):
-                t, p, s, e, anchor, extent = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
-                if len(t):
-                    ids, at = pa.array(t + i), (s << 32) | ((p - s) << 16) | (e - s)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *[pa.array(x.view(np.int64)) for x in (at, anchor, extent)]], names=names)
+                t, *more = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
+                parts.append((t + i, *more))
+            if not parts:
+                continue
+            t, p, s, e, anchor, extent = (np.concatenate(x) for x in zip(*parts, strict=True))
+            at = (s << 32) | ((p - s) << 16) | (e - s)
+            # Of equal extents in a batch all but the first are later ones whatever else there is. They go on under a
+            # hash of their own place, so that a very common extent does not meet in one task.
+            order = np.lexsort((at, np.asarray(batch.column(1))[t], np.asarray(batch.column(0))[t]))
+            first = np.zeros(len(t), dtype=bool)
+            first[order[np.unique(extent[order], return_index=True)[1]]] = True
+            own = mix(t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.astype(np.uint64) ^ np.asarray(batch.column(0)).view(np.uint64)[t])
+            anchor = np.where(first, anchor, own).view(np.int64)
+            extent = np.where(first, np.maximum(extent, np.uint64(1)), np.uint64(LATER)).view(np.int64)
+            ids = pa.array(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *[pa.array(x) for x in (at, anchor, extent)]], names=names)
 
     return rows.select("key", "h", "text").mapInArrow(run, schema)
 
@@ -344,10 +360,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     order = Window.partitionBy("anchor", "extent").orderBy("key", "h", "at")
     dealt = dealt.select("*", F.row_number().over(order).alias("rank"))
     of_anchor = Window.partitionBy("anchor")
-    first = F.col("rank") == 1
+    first = (F.col("rank") == 1) & (F.col("extent") != LATER)
     dealt = dealt.select("*", F.sum(first.cast("int")).over(of_anchor).alias("n"))
     border = F.struct("at", "anchor", "n")
-    found = dealt.where("rank > 1 or n > 1").groupBy("key", "h").agg(F.collect_list(F.when(~first, F.col("at"))).alias("whole"), F.collect_list(F.when(first, border)).alias("borders"))
+    found = dealt.where(~first | (F.col("n") > 1)).groupBy("key", "h").agg(F.collect_list(F.when(~first, F.col("at"))).alias("whole"), F.collect_list(F.when(first, border)).alias("borders"))
     met = rows.join(found, ["key", "h"], "left")
     # Step 3
     settled = _settled(_borders(met, length), length, gram, shallow)
