@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bendscape.functions.matrices import BUILTIN, Matrices
+from bendscape.functions.matrices import BASES, BUILTIN, Matrices
 from bendscape.params import DEFAULT, Params
 
 CHUNK = 1 << 15
@@ -71,6 +71,7 @@ class Track:
     dy: dict[str, np.ndarray]
     first: np.ndarray
     a: np.ndarray
+    codes: np.ndarray
 
 
 _CODES = np.full(256, -1, dtype=np.int64)
@@ -109,7 +110,7 @@ def track(n: np.ndarray, a: np.ndarray, start: np.ndarray, bodies: pa.Array, siz
     roll = {k: np.where(ok, matrices.roll(k)[index], 0.0) for k in kinds}
     dx = {k: np.where(ok, r * sin + tilt_x, 0.0) for k, r in roll.items()}
     dy = {k: np.where(ok, r * cos + tilt_y, 0.0) for k, r in roll.items()}
-    return Track(row, pos, (pos >= a[row]) & (pos < a[row] + size), n[row], roll, angle, twist, dx, dy, first, a)
+    return Track(row, pos, (pos >= a[row]) & (pos < a[row] + size), n[row], roll, angle, twist, dx, dy, first, a, codes)
 
 
 def distances(t: Track, kind: str, params: Params) -> np.ndarray:
@@ -153,14 +154,14 @@ def emit(rows: DataFrame, columns: dict[str, str], make, size: int = CHUNK) -> D
     return rows.select(*order).mapInArrow(run, schema)
 
 
-def _local(pieces: DataFrame, columns: tuple[str, ...], halo: int, make, matrices: Matrices, params: Params, kinds: tuple[str, ...], spread: int | None, size: int) -> DataFrame:
+def _local(pieces: DataFrame, columns: tuple[str, ...] | dict[str, str], halo: int, make, matrices: Matrices, params: Params, kinds: tuple[str, ...], spread: int | None, size: int) -> DataFrame:
     def run(n, a, start, bodies, _):
         t = track(n, a, start, bodies, size, kinds, matrices, params)
         keep, values = make(t)
         keep = np.flatnonzero(keep & t.owned)
         return t.row[keep], t.pos[keep], {c: values[c][keep] for c in columns}
 
-    return emit(chunks(pieces, halo, halo, size, spread), dict.fromkeys(columns, "double"), run, size)
+    return emit(chunks(pieces, halo, halo, size, spread), columns if isinstance(columns, dict) else dict.fromkeys(columns, "double"), run, size)
 
 
 def euc_dist(pieces: DataFrame, roll: str = "simple", params: Params = DEFAULT, matrices: Matrices = BUILTIN, spread: int | None = None, size: int = CHUNK) -> DataFrame:
@@ -178,14 +179,16 @@ def curvature(pieces: DataFrame, roll: str = "simple", params: Params = DEFAULT,
     return _local(pieces, ("dist", "curv"), params.reach + 2, make, matrices, params, (roll,), spread, size)
 
 
-def curvature_dual(pieces: DataFrame, params: Params = DEFAULT, matrices: Matrices = BUILTIN, spread: int | None = None, size: int = CHUNK) -> DataFrame:
-    """(seq_id, piece, pos, curv_active, curv_simple) from one pass."""
+def curvature_dual(pieces: DataFrame, params: Params = DEFAULT, matrices: Matrices = BUILTIN, spread: int | None = None, size: int = CHUNK, base: bool = False) -> DataFrame:
+    """(seq_id, piece, pos, curv_active, curv_simple) from one pass; with ``base``, the base there too."""
     kinds = ("active", "simple")
 
     def make(t: Track):
-        return curved(t, params), {f"curv_{k}": params.curve_scale * distances(t, k, params) for k in kinds}
+        found = {f"curv_{k}": params.curve_scale * distances(t, k, params) for k in kinds}
+        return curved(t, params), found | ({"base": np.array(list(BASES), dtype=object)[t.codes]} if base else {})
 
-    return _local(pieces, ("curv_active", "curv_simple"), params.reach + 2, make, matrices, params, kinds, spread, size)
+    columns = {"curv_active": "double", "curv_simple": "double"} | ({"base": "string"} if base else {})
+    return _local(pieces, columns, params.reach + 2, make, matrices, params, kinds, spread, size)
 
 
 # ---------------------------------------------------------------- what has an origin

@@ -20,6 +20,8 @@ DIGITS = 9
 def _shift(v: np.ndarray, by: int) -> np.ndarray:
     """``v`` at the place ``by`` further on; zero beyond the ends."""
     out = np.zeros_like(v)
+    if abs(by) >= len(v):
+        return out
     if by >= 0:
         out[: len(v) - by] = v[by:]
     else:
