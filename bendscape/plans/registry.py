@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from bendscape.functions import bases, matrices
 from bendscape.operators import calls, curvature, pieces, symmetry
-from bendscape.sources import fasta
+from bendscape.plans import analysis
+from bendscape.sources import fasta, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -252,13 +253,16 @@ def symmetry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_scores(spark, sf_dir).select("seq_id", "piece", "pos", "score_active", "score_simple"))
 
 
-@query(f"""WITH {_BOTH}, places AS (
-  SELECT seq_id, piece, unnest(range(1, length(seq) - 121))::INT AS pos FROM pieces WHERE length(seq) >= 224
+_FILLED = f"""{_BOTH}, places AS (
+  SELECT seq_id, piece, start, unnest(range(1, length(seq) - 121))::INT AS pos FROM pieces WHERE length(seq) >= 224
 ), filled AS (
-  SELECT seq_id, piece, pos, coalesce(ca, 0) AS ca, coalesce(cs, 0) AS cs FROM places LEFT JOIN sym USING (seq_id, piece, pos)
-)
-SELECT seq_id, piece, pos, {_R('sum(ca) OVER w', 'runsum_active')}, {_R('sum(cs) OVER w', 'runsum_simple')} FROM filled
-WINDOW w AS (PARTITION BY seq_id, piece ORDER BY pos ROWS BETWEEN 73 PRECEDING AND 73 FOLLOWING)""")
+  SELECT seq_id, piece, start, pos, coalesce(ca, 0) AS ca, coalesce(cs, 0) AS cs FROM places LEFT JOIN sym USING (seq_id, piece, pos)
+)"""
+_RUNSUMS = f"""{_R('sum(ca) OVER w', 'runsum_active')}, {_R('sum(cs) OVER w', 'runsum_simple')} FROM filled
+WINDOW w AS (PARTITION BY seq_id, piece ORDER BY pos ROWS BETWEEN 73 PRECEDING AND 73 FOLLOWING)"""
+
+
+@query(f"WITH {_FILLED} SELECT seq_id, piece, pos, {_RUNSUMS}")
 def symmetry_runsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(symmetry.symmetry(all_pieces(spark, sf_dir), runsum=True))
 
@@ -314,3 +318,85 @@ def calls_greedy_dnase(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = calls.calls_greedy(_called(spark, sf_dir, "active"))
     return calls.gff_lines(calls.with_sequence(kept, all_pieces(spark, sf_dir)), final=True)
+
+
+_FREELY = _GREEDY.replace(" WHERE dyad > 177", "")
+
+
+@query(f"WITH RECURSIVE {_ACTIVE}, {_CALLS('a')}, {_FREELY} SELECT {_CALL_COLUMNS} FROM kept")
+def calls_greedy_from_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the call at 0 that rejects all dyads up to 177."""
+    return shown(calls.calls_greedy(_called(spark, sf_dir, "active"), sentinel=False))
+
+
+# ---------------------------------------------------------------- sinks, read back
+
+_POSITION = "(pos + start - 1 + seq_id)::BIGINT AS position"
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, analysis.Analysis]:
+    """Sequences whose offset is their number, and their analysis."""
+    rows = sequences(spark, sf_dir).select("seq_id", F.col("seq_id").alias("offset"), F.lit("+").alias("strand"), "seq")
+    return rows, analysis.analyse(rows)
+
+
+def _track(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return shown(spark.read.option("sep", "\t").option("quote", "").schema(schema).csv(path))
+
+
+@query(f"WITH {_CURVED} SELECT seq_id, {_POSITION}, substr(seq, pos + 1, 1) AS base, {_R('0.33335 * da', 'curv_active')}, {_R('0.33335 * ds', 'curv_simple')} FROM curved JOIN pieces USING (seq_id, piece)")
+def sink_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fasta.new_folder(spark, "curvature")
+    sinks.write_curvature(_analysed(spark, sf_dir)[1], path)
+    return _track(spark, path, "seq_id long, position long, base string, curv_active double, curv_simple double")
+
+
+@query(f"WITH {_BOTH} SELECT seq_id, {_POSITION}, {_R('ca', 'score_active')}, {_R('cs', 'score_simple')} FROM sym JOIN pieces USING (seq_id, piece)")
+def sink_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fasta.new_folder(spark, "symmetry")
+    sinks.write_symmetry(_analysed(spark, sf_dir)[1], path)
+    return _track(spark, path, "seq_id long, position long, score_active double, score_simple double")
+
+
+@query(f"""WITH {_BOTH}, t AS (SELECT seq_id, piece, sum(ca) AS a, sum(cs) AS s FROM sym GROUP BY ALL)
+SELECT concat_ws(':', seq_id::VARCHAR, seq_id::VARCHAR, '+', (length(seq) - 21)::VARCHAR) AS name, {_R('a / (length(seq) - 21)', 'avg_active')}, {_R('s / (length(seq) - 21)', 'avg_simple')}
+FROM pieces LEFT JOIN t USING (seq_id, piece) WHERE length(seq) > 42""")
+def sink_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fasta.new_folder(spark, "averages")
+    rows, found = _analysed(spark, sf_dir)
+    sinks.write_averages(found, rows, path)
+    return _track(spark, path, "name string, avg_active double, avg_simple double")
+
+
+@query(f"WITH {_FILLED} SELECT seq_id, {_POSITION}, {_RUNSUMS}")
+def sink_runsums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fasta.new_folder(spark, "runsums")
+    sinks.write_runsums(_analysed(spark, sf_dir)[1], path)
+    return _track(spark, path, "seq_id long, position long, runsum_active double, runsum_simple double")
+
+
+@query(f"WITH {_CURVED} SELECT seq_id, {_POSITION}, (pos + start + seq_id)::BIGINT AS \"end\", {_R('0.33335 * ds', 'curv_simple')} FROM curved JOIN pieces USING (seq_id, piece)")
+def sink_bedgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fasta.new_folder(spark, "bedgraph")
+    sinks.write_bedgraph(_analysed(spark, sf_dir)[1], path)
+    return _track(spark, path, "seq_id long, position long, end long, curv_simple double")
+
+
+def _gff(roll: str, final: bool):
+    """The query of a GFF file: its lines, read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = fasta.new_folder(spark, "gff")
+        sinks.write_gff(_analysed(spark, sf_dir)[1], path, roll, final)
+        return spark.read.text(path).select(F.col("value").alias("line"))
+
+    return run
+
+
+for _roll, _state, _sym in (("active", "nuc", _ACTIVE), ("simple", "dnase", _SIMPLE)):
+    for _final, _name in ((False, "init"), (True, "fin")):
+        _key = f"sink_gff_{_name}_{_state}"
+        QUERIES[_key] = _gff(_roll, _final)
+        ORACLES[_key] = f"""WITH {"RECURSIVE " if _final else ""}{_sym}, {_CALLS(_roll[0])}{", " + _GREEDY if _final else ""} SELECT concat_ws(chr(9), seq_id::VARCHAR, 'evidence', '{calls.FEATURES[_roll]}',
+  (k.start + p.start - 1 + seq_id)::VARCHAR, (k."end" + p.start - 1 + seq_id)::VARCHAR, printf('%.6f', {"score" if _final else "score_capped"}), '+', '.', substr(seq, dyad - 72, 147)) AS line
+FROM {"kept" if _final else "calls"} k JOIN pieces p USING (seq_id, piece)"""
