@@ -33,7 +33,8 @@ KEY = "bendscape-demo-key"
 
 #: Patterns by kind. Each starts at a place that no longer match could start before, so no text is scanned twice.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+",
+    # The second form gives labels back, for a full stop behind the address; Java recurses for each, and a name has 127 at most.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+|(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}+)",
     "secret": r"(?i:(?<![a-z0-9_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"']{6,}+",
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "phone": r"(?<![\w+.-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])",

@@ -160,6 +160,16 @@ def test_private_values_in_texts(spark):
     assert pii.pseudonymise(d.limit(0)).count() == 0
 
 
+def test_addresses_before_full_stops(spark):
+    ends = [". Then", "...", ".)", ".", "", ", then", ".5", ".\n", ".x y"]
+    texts = [f"write to joe@mail.example.com{e}" for e in ends] + ["a@" + "b." * 50_000, "a@" + "bc." * 50_000, "a@b.", "a@b.c."]
+    rows = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    new = re.fullmatch(r"write to (user-[0-9a-f]{16}@private\.example)", rows[4].text)[1]
+    for i, e in enumerate(ends):
+        assert (rows[i].text, rows[i].n_private) == (f"write to {new}{e}", 1)
+    assert all(rows[len(ends) + k].text == texts[len(ends) + k] for k in (0, 2, 3))
+
+
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(names)}
