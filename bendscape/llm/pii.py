@@ -9,7 +9,8 @@ SHA-256 of the other. A kind of value is given by a bijection between its valid
 * phone: ten digits of the North American plan, area and exchange codes from 200 on; other numbers with ``+``: all
   digits but the first;
 * ssn: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999;
-* ip: four octets, the first from 1 to 223;
+* ip: four octets from 0 to 255; a first octet of 1 to 223 stays within these, one of 0 or 224 to 255 (multicast,
+  reserved) within those;
 * date: days from 1900 to 2099 (yyyy-mm-dd, dd/mm/yyyy or mm/dd/yyyy as it is valid, dd.mm.yyyy).
 
 Signs between digits stay. E-mail addresses and secrets (access keys, and values of ``password``, ``token`` and the
@@ -137,9 +138,12 @@ def _ssn(value: Column, key: str, inverse: bool) -> Column:
 def _ip(value: Column, key: str, inverse: bool) -> Column:
     def permuted(o: Column) -> Column:
         x = [F.get(o, F.lit(k)).cast("long") for k in range(4)]
-        moved = feistel((x[0] - 1) * 256 + x[1], x[2] * 256 + x[3], 223 * 256, 65536, "ip", key, inverse)
-        new = let(moved, lambda p: F.concat_ws(".", *[c.cast("string") for c in (F.floor(p["a"] / 256) + 1, p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)]))
-        return F.when(x[0].between(1, 223) & (x[1] < 256) & (x[2] < 256) & (x[3] < 256), new).otherwise(value)
+        common = x[0].between(1, 223)
+        first = F.when(common, x[0] - 1).when(x[0] == 0, x[0]).otherwise(x[0] - 223)
+        moved = feistel(first * 256 + x[1], x[2] * 256 + x[3], F.when(common, 223 * 256).otherwise(33 * 256).cast("long"), 65536, "ip", key, inverse)
+        octet = lambda n: F.when(common, n + 1).when(n == 0, n).otherwise(n + 223)
+        new = let(moved, lambda p: F.concat_ws(".", *[c.cast("string") for c in (octet(F.floor(p["a"] / 256)), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)]))
+        return F.when((x[0] < 256) & (x[1] < 256) & (x[2] < 256) & (x[3] < 256), new).otherwise(value)
 
     return let(F.split(value, r"\."), permuted)
 

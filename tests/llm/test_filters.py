@@ -170,6 +170,18 @@ def test_addresses_before_full_stops(spark):
     assert all(rows[len(ends) + k].text == texts[len(ends) + k] for k in (0, 2, 3))
 
 
+def test_every_ip_address_is_exchanged(spark):
+    values = ["233.254.104.120", "224.0.0.0", "255.255.255.255", "0.0.0.0", "0.255.1.2", "223.1.2.3", "127.0.0.1"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.pseudonym(F.col("v"), "ip").alias("p"))
+    for r in df.withColumn("back", pii.pseudonym(F.col("p"), "ip", inverse=True)).collect():
+        first = [int(x.split(".")[0]) for x in (r.v, r.p)]
+        assert r.back == r.v != r.p and re.fullmatch(pii.PATTERNS["ip"], r.p)
+        assert max(map(int, r.p.split("."))) < 256 and (1 <= first[0] <= 223) == (1 <= first[1] <= 223)
+    texts = ["at 233.254.104.120.", "at 233.254.104.256 and 256.1.1.1"]
+    rows = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0].n_private == 1 and "233.254.104.120" not in rows[0].text and rows[1].n_private == 0 and rows[1].text == texts[1]
+
+
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(names)}
