@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import decontamination, mixing, pii, quality_rules, simhash
+from bendscape.llm import decontamination, mixing, near_copies, pii, quality_rules
 from bendscape.llm.common import shared_folder, table
 
 
@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked fingerprints."""
-    return simhash.one_of_each(docs)
+    """Keeps one document of each group that links of four fifths of five-word shingles make."""
+    return near_copies.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("pseudonyms", pseudonyms), ("mixed", mixed)]
 
-#: SQL cannot express the fingerprints of the second stage; tests hold run() against a brute-force version.
+#: SQL cannot express the groups of the second stage; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
