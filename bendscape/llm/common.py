@@ -16,11 +16,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch handed to Python; texts may be long, so batches are short.
 BATCH_ROWS = 1000
+#: And bytes in it, about.
+BATCH_BYTES = "32m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; also keeps Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +45,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found or os.path.join(tempfile.gettempdir(), "bendscape")
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """Names, one for each of ``names``, that no column of ``taken`` has."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used |= {name.lower(), f"{name}2".lower()}
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for the row, however often the body (and its lambdas) use it."""
     return F.transform(F.array(value), body)[0]

@@ -45,6 +45,10 @@ def shingle_hashes(text: str | None, size: int, seed: int = 42) -> list[int]:
     return [digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[size - 1 :], strict=True)]
 
 
+#: Each bit of a byte as a byte of its own, in a 64-bit number; 255 of these add up without a carry.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Fingerprints of runs of hashes; run i is ``hashes[first[i]:first[i + 1]]``. An empty run gives zero."""
     out = np.zeros(len(first) - 1, dtype=np.uint64)
@@ -54,13 +58,14 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         sizes = np.diff(first[i : j + 1])
         some = np.flatnonzero(sizes)
         if len(some):
-            h = hashes[first[i] : first[j]]
-            at = (first[i:j] - first[i])[some]
+            view = np.ascontiguousarray(hashes[first[i] : first[j]]).view(np.uint8).reshape(-1, 8)
+            parts = -(-sizes[some] // 255)
+            begin = np.cumsum(parts) - parts
+            at = np.repeat((first[i:j] - first[i])[some], parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(begin, parts))
             counts = np.empty((len(some), 64), dtype=np.int64)
-            view = h.view(np.uint8).reshape(-1, 8)
             for byte in range(8):
-                bits = np.unpackbits(np.ascontiguousarray(view[:, byte])[:, None], axis=1, bitorder="little")
-                counts[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+                sums = np.add.reduceat(_SPREAD[view[:, byte]], at).view(np.uint8).reshape(-1, 8)
+                counts[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(sums, begin, axis=0, dtype=np.int64)
             marked = (2 * counts > sizes[some][:, None]).astype(np.uint8)
             out[i + some] = np.packbits(marked, axis=1, bitorder="little").view(np.uint64)[:, 0]
         i = j
@@ -136,14 +141,23 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     number = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile)).cast("int")
     tiles = cells.join(F.broadcast(sizes), "cell").select("cell", number.alias("tile"), "fp").groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps"))
     tiles = cut(tiles)
+    counts = F.broadcast(sizes.select(F.col("cell").alias("other"), F.ceil(F.col("n") / tile).cast("int").alias("k")))
     digit = lambda q: F.floor(F.col("cell") / 17 ** (QUARTERS - 1 - q)).cast("int") % 17
     moves = F.array(*[F.struct(*[F.lit(d).alias(f"d{q}") for q, d in enumerate(m)]) for m in _moves(radius)])
-    other = [digit(q) + F.col(f"m.d{q}") for q in range(QUARTERS)]
-    inside = other[0].between(0, 16)
-    for c in other[1:]:
-        inside &= c.between(0, 16)
-    sent = tiles.select("cell", "tile", "fps", F.explode(moves).alias("m")).where(inside).select(F.col("cell").alias("from"), F.col("tile").alias("tile_a"), F.col("fps").alias("fps_a"), _cell(other).alias("cell"))
-    pairs = sent.join(tiles, "cell").where("from <> cell or tile_a <= tile").select("fps_a", "fps")
+
+    def side(sign: int, body: str) -> DataFrame:
+        """Tiles with each tile that they meet in a cell above (``sign`` 1) or below (-1), or in their own."""
+        other = [digit(q) + sign * F.col(f"m.d{q}") for q in range(QUARTERS)]
+        inside = other[0].between(0, 16)
+        for c in other[1:]:
+            inside &= c.between(0, 16)
+        met = tiles.select("cell", "tile", "fps", F.explode(moves).alias("m")).where(inside).withColumn("other", _cell(other)).join(counts, "other")
+        met = met.select("cell", "tile", "other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other_tile"), F.col("fps").alias(body))
+        names = ("ca", "ta", "cb", "tb") if sign == 1 else ("cb", "tb", "ca", "ta")
+        return met.toDF(*names, body).where("ca <> cb or ta <= tb")
+
+    # Pairs of tiles, not cells, are dealt to tasks, so the tiles of a full cell are compared in many.
+    pairs = side(1, "fps_a").join(side(-1, "fps_b"), ["ca", "ta", "cb", "tb"]).select("fps_a", "fps_b")
 
     def run(batches):
         for batch in batches:
@@ -172,16 +186,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     named = joined.join(smallest, "component").select("fp", "smallest")
     known = distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
     return rows.join(known, "fp").select(key, "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document, that with the smallest key, of each component.
-
-    Rows that repeat a key are one document, of which one row stays. Rows without a key cannot name a component and stay.
-    """
-    firsts = near_duplicates(docs, key, **options).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    stay = docs.join(firsts, key, "left_semi")
-    total, distinct = docs.where(F.col(key).isNotNull()).agg(F.count("*"), F.countDistinct(key)).first()
-    if total > distinct:
-        stay = stay.dropDuplicates([key])
-    return stay.unionByName(docs.where(F.col(key).isNull()))

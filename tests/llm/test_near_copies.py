@@ -47,9 +47,8 @@ def changed(words, n, rng):
     return out
 
 
-@pytest.mark.parametrize("part", [64, 1])
-def test_near_copies_are_found(spark, part, monkeypatch):
-    monkeypatch.setattr(near_copies, "PART", part)
+@pytest.mark.parametrize("tile", [1 << 14, 7])
+def test_near_copies_are_found(spark, tile):
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(3000)}"
     passage = [word() for _ in range(30)]
@@ -67,7 +66,7 @@ def test_near_copies_are_found(spark, part, monkeypatch):
     rows = list(enumerate(rows))
     rows += [(7, "an unlinked text of its own under a number that was given before"), (7, rows[7][1]), (None, rows[3][1]), (None, "x")]
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n int")
-    out = near_copies.one_of_each(df)
+    out = near_copies.one_of_each(df, tile=tile)
     assert out.columns == df.columns
     got = [r.doc_id for r in out.collect()]
     assert got.count(None) == 2 and sorted(k for k in got if k is not None) == plain_firsts(rows)
