@@ -8,11 +8,11 @@ fewer above; tests and the README have the recall against brute force. Unlike te
 
 Sets are dealt into cells by their size, and cells into tiles of bounded size. Tiles meet only where their cells may hold
 sets of which one has up to 5/4 times the other's shingles; within them, strips whose sizes or population counts are too
-far apart are skipped, and the rest is compared by exclusive-or and bit counts. Candidates are held against parity bits:
-sets differ in as many shingles at least as those bits do, so none is lost. Pairs never grow with the square of a group:
-from a pair of tiles only links come that join what is not joined yet. These are settled by the whole sets. Where one of
-them fails, its pair of tiles is compared once more without it, until no link fails; so no link between components is
-lost either.
+far apart are skipped, and the rest is compared by exclusive-or and bit counts. Candidates are held against parity bits,
+which differ in as many places as the sets in shingles, less those that fall together (four deviations are allowed). Pairs
+do not grow with the square of a group: from a pair of tiles only links come that join what is not joined yet, the
+nearest first. These are settled by the whole sets. Where one of them fails, its pair of tiles is compared once more for
+what still may join different components, until no link fails; so no link between components is lost either.
 
 The number of comparisons grows with the square of the documents of like size, as in every tiled comparison: some 300
 million in a second of one core. A tile is shuffled once for each tile it meets; ``tile`` sets how often that is.
@@ -47,6 +47,8 @@ BITS = 2048
 TILE = 1 << 14
 #: Rows of a tile that are compared at once, and candidates that are checked at once.
 STRIP, CHUNK = 256, 1 << 15
+#: Further links of a pair of tiles that are checked all at once; of more, only those that join.
+AT_ONCE = 1 << 16
 #: Rows that go to the tasks as a list (16 bytes each); more are joined by a shuffle.
 LISTED = 1 << 20
 
@@ -79,8 +81,7 @@ def fingerprint_words(sets: list[np.ndarray]) -> np.ndarray:
     """Fingerprints of sets, a row of WORDS words for each."""
     first = np.cumsum([0, *map(len, sets)])
     hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
-    turn = np.uint64(0x9E3779B97F4A7C15)
-    return np.stack([majority(mix(hashes + turn * np.uint64(k)), first) for k in range(WORDS)], axis=1)
+    return np.stack([majority(mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), first) for k in range(WORDS)], axis=1)
 
 
 def sketches(rows: DataFrame, size: int = SIZE) -> DataFrame:
@@ -119,7 +120,7 @@ class Side:
 
 
 def candidates(a: Side, b: Side):
-    """(places in a, places in b) of all pairs whose sizes and fingerprints are near, a strip of ``a`` at a time."""
+    """(places in a, places in b) of all pairs whose sizes and fingerprints are near: a strip of ``a`` at a time, the nearest first."""
     for i in range(0, len(a.n), STRIP):
         j = min(i + STRIP, len(a.n))
         low = int(np.searchsorted(5 * b.n, 4 * a.n[i]))
@@ -138,17 +139,20 @@ def candidates(a: Side, b: Side):
             near &= x < y
         x, y = x[near], y[near]
         if len(x):
-            near = np.concatenate([np.bitwise_count(a.words[x[k : k + CHUNK]] ^ b.words[y[k : k + CHUNK]]).sum(axis=1, dtype=np.int64) <= RADIUS for k in range(0, len(x), CHUNK)])
+            differ = np.concatenate([np.bitwise_count(a.words[x[k : k + CHUNK]] ^ b.words[y[k : k + CHUNK]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), CHUNK)])
+            near = np.argsort(differ, kind="stable")[: int((differ <= RADIUS).sum())]
             yield x[near], y[near]
 
 
 def possible(a: Side, b: Side, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which pairs the parity bits do not rule out."""
+    """Which pairs the parity bits do not rule out, by the number of bits in which sets just alike would differ."""
     parts = [np.zeros(0, bool)]
     for k in range(0, len(x), CHUNK):
         u, v = x[k : k + CHUNK], y[k : k + CHUNK]
         differ = np.bitwise_count(a.parity[u] ^ b.parity[v]).sum(axis=1, dtype=np.int64)
-        parts.append(9 * differ <= a.n[u] + b.n[v])
+        most = (a.n[u] + b.n[v]) / 9
+        odd = (1 - np.exp(-2 * most / BITS)) / 2
+        parts.append(differ <= np.minimum(most, BITS * odd + 4 * np.sqrt(BITS * odd * (1 - odd))))
     return np.concatenate(parts)
 
 
@@ -185,7 +189,23 @@ def spanning(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def joining(a: Side, b: Side, label: np.ndarray, failed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between nodes (places in ``label``) that join all labels which possible, not failed pairs join."""
+    """Links between nodes (places in ``label``) that join all labels which possible, not failed pairs join.
+
+    Where links have failed before, all that are left, if they are not very many.
+    """
+    if len(failed):
+        every = [(np.zeros(0, np.int64),) * 2]
+        for x, y in candidates(a, b):
+            keep = label[a.node[x]] != label[b.node[y]]
+            x, y = x[keep], y[keep]
+            keep = possible(a, b, x, y)
+            u, v = a.node[x[keep]], b.node[y[keep]]
+            new = ~np.isin(np.minimum(u, v) * len(label) + np.maximum(u, v), failed)
+            every.append((u[new], v[new]))
+            if sum(len(x) for x, _ in every) > AT_ONCE:
+                break
+        else:
+            return tuple(np.concatenate(x) for x in zip(*every, strict=True))
     found_x, found_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for x, y in candidates(a, b):
         u, v = a.node[x], b.node[y]

@@ -47,8 +47,9 @@ def changed(words, n, rng):
     return out
 
 
-@pytest.mark.parametrize("tile", [1 << 14, 7])
-def test_near_copies_are_found(spark, tile):
+@pytest.mark.parametrize("tile, at_once", [(1 << 14, 1 << 16), (7, 0)])
+def test_near_copies_are_found(spark, tile, at_once, monkeypatch):
+    monkeypatch.setattr(near_copies, "AT_ONCE", at_once)
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(3000)}"
     passage = [word() for _ in range(30)]
