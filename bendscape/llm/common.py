@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,22 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found
+
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset and no folder was given to the
-    context (tests, a local session) a temporary one is made.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "bendscape"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where unset the context's own or a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    return found or os.path.join(tempfile.gettempdir(), "bendscape")
+#: Rows that go to all tasks as a list, of some 16 bytes each.
+LISTED = 1 << 20
+
+
+def listed(df: DataFrame, rows: int = LISTED) -> DataFrame:
+    """``df``, cut off from its lineage, and with a hint to broadcast it if it has no more than ``rows`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def fresh(taken, *names: str) -> list[str]:

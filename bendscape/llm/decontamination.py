@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bendscape.llm.common import ALNUM, LOWER, between, blocks, byte_values, prefix, sliding_argmin, spans, texts
+from bendscape.llm.common import ALNUM, LOWER, between, blocks, byte_values, cut, fresh, listed, prefix, sliding_argmin, spans, texts
 
 LENGTH = 13
 GRAM = 5
@@ -64,7 +64,7 @@ def _gram(length: int, gram: int) -> int:
     return min(gram, length)
 
 
-def fingerprints(rows: DataFrame, lengths: list[int], gram: int = GRAM, wanted: list[int] | None = None) -> DataFrame:
+def fingerprints(rows: DataFrame, lengths: list[int], gram: int = GRAM, wanted: np.ndarray | None = None) -> DataFrame:
     """(id, h, n_words, length, start, fp, windows) of rows (id, h, text).
 
     A row without a fingerprint for each text, with its n_words; and a row for each fingerprint: the first window that
@@ -75,13 +75,14 @@ def fingerprints(rows: DataFrame, lengths: list[int], gram: int = GRAM, wanted:
         schema.add(name, kind)
     schema.add("windows", T.ArrayType(T.LongType(), False))
     names = schema.names
-    want = None if wanted is None else np.array(wanted, dtype=np.int64).view(np.uint64)
-    seen = None
-    if want is not None:
-        seen = np.zeros(1 << max(16, int(4 * len(want) + 1).bit_length()), dtype=bool)
-        seen[want & np.uint64(len(seen) - 1)] = True
+    shared = None
+    if wanted is not None:
+        seen = np.zeros(1 << max(16, int(4 * len(wanted) + 1).bit_length()), dtype=bool)
+        seen[wanted & np.uint64(len(seen) - 1)] = True
+        shared = rows.sparkSession.sparkContext.broadcast((wanted, seen))
 
     def run(batches):
+        want, seen = shared.value if shared else (None, None)
         for batch in batches:
             data, offsets = texts(batch.column(2))
             for i, j in blocks(offsets):
@@ -126,10 +127,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, g
     ``h`` is a hash of the text, which tells rows of one key apart. ``contaminated``: ``n_hit`` is over 0 and at least
     ``percent`` of ``n_words``.
     """
-    known = benchmark_windows(benchmark, length, gram, item_key, item_text)
+    known = cut(benchmark_windows(benchmark, length, gram, item_key, item_text))
     lengths = [r[0] for r in known.select("length").distinct().collect()]  # at most ``length`` numbers
     prints = known.select("fp").distinct()
-    few = [r[0] for r in prints.limit(bound + 1).collect()] if lengths else []
+    few = np.asarray(prints.limit(bound + 1).toArrow().column(0).combine_chunks(), dtype=np.int64).view(np.uint64) if lengths else np.zeros(0, np.uint64)
     wanted = few if len(few) <= bound else None
     rows = fingerprints(_rows(docs, key, text), lengths, gram, wanted)
     base = rows.where("fp is null").select("id", "h", "n_words")
@@ -152,5 +153,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, g
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = decontaminate(docs, benchmark, key=key, text=text, **options).where("contaminated").select(F.col(key).alias("_key"), F.col("h").alias("_h"))
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_h")), "left_anti")
+    k, h = fresh(docs.columns, "key", "h")
+    bad = listed(decontaminate(docs, benchmark, key=key, text=text, **options).where("contaminated").select(F.col(key).alias(k), F.col("h").alias(h)))
+    return docs.join(bad, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(h)), "left_anti")

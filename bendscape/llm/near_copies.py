@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bendscape.llm.common import LOWER, NOT_SPACE, between, blocks, byte_values, cut, fresh, mix, prefix, spans, texts
+from bendscape.llm.common import LOWER, NOT_SPACE, between, blocks, byte_values, cut, fresh, listed, mix, prefix, spans, texts
 from bendscape.llm.components import components
 from bendscape.llm.simhash import majority
 
@@ -49,8 +49,6 @@ TILE = 1 << 14
 STRIP, CHUNK = 256, 1 << 15
 #: Further links of a pair of tiles that are checked all at once; of more, only those that join.
 AT_ONCE = 1 << 16
-#: Rows that go to the tasks as a list (16 bytes each); more are joined by a shuffle.
-LISTED = 1 << 20
 
 _PAIR = ["ca", "ta", "cb", "tb"]
 
@@ -272,8 +270,7 @@ def meetings(sets: DataFrame, tile: int = TILE) -> DataFrame:
 def alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int = SIZE) -> DataFrame:
     """Those of the pairs (a, b, ...) of sets that share four fifths of their union; ``rows`` has (key, h, text)."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = cut(sets.join(ends, "id", "left_semi").select("key", "h"))
-    listed = F.broadcast(wanted) if wanted.count() <= LISTED else wanted
+    wanted = listed(sets.join(ends, "id", "left_semi").select("key", "h"))
 
     def shingled(batches):
         for batch in batches:
@@ -282,7 +279,7 @@ def alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int = SIZE)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), lists], names=["id", "s"])
 
-    whole = cut(rows.join(listed, ["key", "h"], "left_semi").select("text").mapInArrow(shingled, "id long, s array<long>").dropDuplicates(["id"]))
+    whole = cut(rows.join(wanted, ["key", "h"], "left_semi").select("text").mapInArrow(shingled, "id long, s array<long>").dropDuplicates(["id"]))
     met = pairs.join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
 
     def run(batches):
@@ -330,12 +327,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     stay = placed.groupBy("c").agg(F.min(F.struct("key", "h")).alias("s")).select("s.*")
     times = known.groupBy("key", "h").agg(F.count("*").alias("times"))
     judged = times.join(stay.withColumn("stays", F.lit(True)), ["key", "h"], "left")
-    gone = cut(judged.where("stays is null or times > 1").select("key", "h", F.coalesce("stays", F.lit(False)).alias("stays")))
-    listed = F.broadcast(gone) if gone.count() <= LISTED else gone
+    gone = listed(judged.where("stays is null or times > 1").select("key", "h", F.coalesce("stays", F.lit(False)).alias("stays")))
     k, h = fresh(docs.columns, "key", "h")
     tagged = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     same = (F.col(key) == F.col(k)) & (F.col(h) == F.col(f"{h}2"))
-    out = listed.select(F.col("key").alias(k), F.col("h").alias(f"{h}2"), "stays")
+    out = gone.select(F.col("key").alias(k), F.col("h").alias(f"{h}2"), "stays")
     single = tagged.join(out.drop("stays"), same, "left_anti").select(*docs.columns)
     # Of rows that repeat key and text one stays, chosen by all its columns.
     repeated = tagged.join(out.where("stays").drop("stays"), same, "left_semi")

@@ -17,7 +17,7 @@ Signs between digits stay. E-mail addresses and secrets (access keys, and values
 like) have no such format: they get a keyed digest, as an address and as characters of their own kind and number.
 
 Defined results: a null text stays null, an empty one empty; candidates that are not valid stay as they are; values may
-not overlap, the leftmost pattern counts; all other columns, and repeated rows, are carried along as they are; an empty
+not overlap, the leftmost pattern counts; all other columns (but one with the name of the counts), and repeated rows, are carried along as they are; an empty
 table stays empty.
 """
 
@@ -26,12 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bendscape.llm.common import let
+from bendscape.llm.common import fresh, let
 
 ROUNDS = 8
-#: The key of the queries; a real run passes its own.
-KEY = "bendscape-demo-key"
-
 #: Patterns by kind. Each starts at a place that no longer match could start before, so no text is scanned twice.
 PATTERNS = {
     # The second form gives labels back, for a full stop behind the address; Java recurses for each, and a name has 127 at most.
@@ -190,24 +187,37 @@ _KINDS = {"email": _email, "secret": _secret, "access": _access, "phone": _phone
 REVERSIBLE = ("phone", "abroad", "ssn", "card", "ip", "date")
 
 
-def pseudonym(value: Column, kind: str, key: str = KEY, inverse: bool = False) -> Column:
+def pseudonym(value: Column, kind: str, key: str, inverse: bool = False) -> Column:
     """One value of a kind exchanged for its pseudonym (``inverse``: back; of the reversible kinds)."""
     return _KINDS[kind](value, key, inverse)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, kinds: tuple[str, ...] = tuple(PATTERNS), counts: str | None = "n_private") -> DataFrame:
-    """``docs`` with the private values of ``text`` exchanged, and how many of them were in column ``counts`` (None: no such column)."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS), counts: str | None = "n_private") -> DataFrame:
+    """``docs`` with the private values of ``text`` exchanged, and how many of them were in column ``counts`` (None: no such column).
+
+    Whoever knows ``key`` can undo numbers and dates, so there is no default.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     pattern = "|".join(PATTERNS[k] for k in kinds)
     t = F.col(text)
 
-    def exchanged(m: Column) -> Column:
-        out = None
-        for k in kinds:  # the patterns' order is that of the alternatives, so the first that fits is the one that matched
-            fits = m.rlike(f"^(?:{PATTERNS[k]})$")
-            out = F.when(fits, _KINDS[k](m, key, False)) if out is None else out.when(fits, _KINDS[k](m, key, False))
-        return out.otherwise(m)
-
     def rebuilt(p: Column) -> Column:
+        def exchanged(m: Column, i: Column) -> Column:
+            # A value is matched anew with the sign before it and two behind, which is as far as the patterns look.
+            gap, rest = F.get(p["gaps"], i), F.get(p["gaps"], i + 1)
+            before = F.right(F.concat(F.lit("\n"), F.when(i > 0, F.get(p["found"], i - 1)).otherwise(F.lit("")), gap), F.lit(1))
+            behind = F.left(F.concat(rest, F.coalesce(F.get(p["found"], i + 1), F.lit("")), F.lit("\n\n")), F.lit(2))
+
+            def known(x: Column) -> Column:
+                out = None
+                for k in kinds:  # in the order of the alternatives, so the first that fits is the one that matched
+                    fits = x.rlike(rf"^[\s\S](?:{PATTERNS[k]})[\s\S]{{2}}$")
+                    out = F.when(fits, _KINDS[k](m, key, False)) if out is None else out.when(fits, _KINDS[k](m, key, False))
+                return out.otherwise(m)
+
+            return let(F.concat(before, m, behind), known)
+
         new = F.transform(p["found"], exchanged)
         return let(new, lambda n: F.struct(F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(n, i), F.lit("")))), "").alias("text"), F.size(F.filter(F.arrays_zip(p["found"].alias("a"), n.alias("b")), lambda z: z["a"] != z["b"])).cast("long").alias("n")))
 
@@ -215,6 +225,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, kinds: tup
     # Every private value has a digit, an @ or the word that names a secret.
     maybe = t.rlike(r"[0-9@]|[=:]")
     done = F.when(maybe, let(parts, rebuilt)).otherwise(F.struct(t.alias("text"), F.lit(0).cast("long").alias("n")))
-    keep = [F.col("_done.text").alias(c) if c == text else F.col(c) for c in docs.columns if c != counts]
-    out = docs.withColumn("_done", done)
-    return out.select(*keep, *([F.coalesce("_done.n", F.lit(0)).cast("long").alias(counts)] if counts else []))
+    (d,) = fresh(docs.columns, "done")
+    keep = [F.col(f"{d}.text").alias(c) if c == text else F.col(c) for c in docs.columns if c != counts]
+    out = docs.withColumn(d, done)
+    return out.select(*keep, *([F.coalesce(F.col(f"{d}.n"), F.lit(0)).cast("long").alias(counts)] if counts else []))
