@@ -2,7 +2,8 @@
 
 Every rule is evaluated once per document. The ledger keeps what was measured and one bit for each rule that failed;
 policies (a version name and the rules that count) are then applied to the stored bits, and an ablation asks, by
-bitwise aggregation over the ledger, what each rule of a policy rejects, rejects alone, and would let back in.
+bitwise aggregation over the ledger, what each rule of a policy rejects, rejects alone, and would let back in. A policy
+only adds rules at its end and a rule keeps its bit, so a stored ledger serves old and new policies.
 
 Defined results: a null or empty text has no words, so it fails ``few_words``; any other column may be null and is
 carried along; repeated rows get a ledger row each; an empty table gives an empty ledger. Columns of the input whose
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bendscape.llm.common import SPACE, let, words
+from bendscape.llm.common import SPACE, cut, fresh, let, listed, words
 
 
 @dataclass(frozen=True)
@@ -43,10 +44,17 @@ RULES = (
     Rule("capitals", 4, lambda m: 10 * m["n_capitals"] > 3 * m["word_chars"]),
     Rule("repeated_lines", 5, lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     Rule("word_length", 6, lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    Rule("few_letters", 7, lambda m: 10 * m["n_alpha_words"] < 7 * m["n_words"]),
+    Rule("bullets", 8, lambda m: 10 * m["n_bullet_lines"] > 9 * m["n_lines"]),
+    Rule("cut_off_lines", 9, lambda m: 10 * m["n_cut_lines"] > 3 * m["n_lines"]),
 )
 BASE = Policy("base", ("few_words", "repeated_words"))
-POLICIES = (BASE, Policy("v1", tuple(r.name for r in RULES)), Policy("v1-lenient", ("few_words", "repeated_words", "symbols", "exclamations")))
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
+V2 = Policy("v2", tuple(r.name for r in RULES))
+POLICIES = (BASE, Policy("v1", tuple(r.name for r in RULES[:7])), Policy("v1-lenient", ("few_words", "repeated_words", "symbols", "exclamations")), V2)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_capitals", "n_alpha_words", "n_lines", "n_dup_lines", "n_bullet_lines", "n_cut_lines", "n_repeat_words")
+#: Java and RE2 patterns of a word with a letter (or any character beyond ASCII), of a line that begins as an item of a
+#: list, and of one that ends in an ellipsis.
+LETTER, BULLET, CUT_OFF = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]", r"^[\x20\x09-\x0D]*[-*•]", r"(?:\.\.\.|…)[\x20\x09-\x0D]*\z"
 
 
 def repeat_words(w: Column, size: int = 5) -> Column:
@@ -90,8 +98,11 @@ def measured(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
             (chars(t) - chars(F.translate(t, "#*$%&|<>", ""))).alias("n_symbols"),
             (chars(t) - chars(F.translate(t, "!", ""))).alias("n_exclamations"),
             (chars(t) - chars(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_capitals"),
+            long(F.size(F.filter(w, lambda v: v.rlike(LETTER)))).alias("n_alpha_words"),
             long(F.size(x)).alias("n_lines"),
             long(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
+            long(F.size(F.filter(x, lambda v: v.rlike(BULLET)))).alias("n_bullet_lines"),
+            long(F.size(F.filter(x, lambda v: v.rlike(CUT_OFF)))).alias("n_cut_lines"),
             repeat_words(w).alias("n_repeat_words"),
         ))
 
@@ -120,9 +131,18 @@ def passes(policy: Policy, rules: tuple[Rule, ...] = RULES, failed: Column | Non
     return (F.col("failed") if failed is None else failed).bitwiseAND(F.lit(mask(policy, rules)).cast("long")) == 0
 
 
-def kept(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The documents that pass a policy, as they are."""
-    return docs.where(passes(policy, rules, measured(F.col(text), rules)["failed"]))
+def stored(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger, written once in the shared folder, with ``h``, a hash of the text, which tells rows of one key apart."""
+    (h,) = fresh(docs.columns, "h")
+    return cut(ledger(docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit("")))), rules, key, text, (h,)).withColumnRenamed(h, "h"))
+
+
+def kept(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", rows: DataFrame | None = None) -> DataFrame:
+    """The documents that pass a policy, as they are, by their ledger (``rows``: one stored before)."""
+    rows = stored(docs, rules, key, text) if rows is None else rows
+    k, h = fresh(docs.columns, "key", "h")
+    failed = listed(rows.where(~passes(policy, rules)).select(F.col(key).alias(k), F.col("h").alias(h)).distinct())
+    return docs.join(failed, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(h)), "left_anti")
 
 
 def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -10,12 +10,17 @@ from bendscape.llm.common import WORD, table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's measurements, base verdict and verdict under policy v1."""
+    """Every document's measurements, base verdict and verdict under policy v2."""
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
-    base, policy = (quality_rules.passes(p) for p in quality_rules.POLICIES[:2])
+    base, policy = (quality_rules.passes(p) for p in (quality_rules.BASE, quality_rules.V2))
     return rows.select("doc_id", *quality_rules.MEASURES, F.col("failed").alias("failed_bits"), (~base).alias("base_failed"), (base & policy).alias("kept"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, rejects alone, and lets through, from the stored ledger."""
+    return quality_rules.ablations(quality_rules.stored(table(spark, sf_dir, "documents")))
+
+
 _OP2 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
@@ -37,19 +42,36 @@ WITH d AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '!'))::BIGINT AS n_exclamations,
     len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_capitals, len(ls)::BIGINT AS n_lines,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words
+    len(list_filter(ws, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')))::BIGINT AS n_alpha_words,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')))::BIGINT AS n_bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*\z')))::BIGINT AS n_cut_lines
   FROM w LEFT JOIN hit USING (doc_id)
 ), b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     ((n_words < 10)::INT + (100 * n_repeat_words > 20 * n_words)::INT * 2 + (10 * n_symbols > n_words)::INT * 4
     + (10 * n_exclamations > 3 * n_words)::INT * 8 + (10 * n_capitals > 3 * word_chars)::INT * 16
     + (2 * n_dup_lines > n_lines)::INT * 32
-    + (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT * 64)::BIGINT AS failed_bits
+    + (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT * 64 + (10 * n_alpha_words < 7 * n_words)::INT * 128
+    + (10 * n_bullet_lines > 9 * n_lines)::INT * 256 + (10 * n_cut_lines > 3 * n_lines)::INT * 512)::BIGINT AS failed_bits
   FROM m
 )
 SELECT *, failed_bits = 0 AS kept FROM b
 """
 
+_ABLATIONS = f"""
+WITH rows AS ({_OP2}), r(rule, bit) AS (
+  VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('exclamations', 8), ('capitals', 16), ('repeated_lines', 32),
+    ('word_length', 64), ('few_letters', 128), ('bullets', 256), ('cut_off_lines', 512)
+), p(policy, mask) AS (
+  VALUES ('base', 3), ('v1', 127), ('v1-lenient', 15), ('v2', 1023)
+)
+SELECT policy, rule, count(*)::BIGINT AS documents, count(*) FILTER (failed_bits & mask = 0)::BIGINT AS kept,
+  count(*) FILTER (failed_bits & bit <> 0)::BIGINT AS rejected, count(*) FILTER (failed_bits & mask = bit)::BIGINT AS rejected_alone,
+  bit_or(failed_bits & mask)::BIGINT AS bits_seen
+FROM rows, p, r WHERE mask & bit <> 0 GROUP BY policy, rule
+"""
+
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,5 +197,5 @@ def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score(table(spark, sf_dir, "documents")).drop("h")
 
 
-QUERIES = {"op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules}
-ORACLES = {"op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2}
+QUERIES = {"op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules, "quality_ablations": quality_ablations}
+ORACLES = {"op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2, "quality_ablations": _ABLATIONS}

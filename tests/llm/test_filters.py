@@ -82,18 +82,26 @@ def plain_quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
 
 
+def plain_shape(text):
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    words = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    strip = "\x20\x09\x0a\x0b\x0c\x0d"
+    return sum(any(c > "\x7f" or c.isalpha() for c in w) for w in words), sum(x.strip(strip)[0] in "-*•" for x in lines), sum(x.strip(strip).endswith(("...", "…")) for x in lines)
+
+
 def test_quality_ledger_and_policies(spark):
     prose = " ".join(f"Word{i}" for i in range(60)).lower()
-    texts = [None, "", " \n\t", "one", "a b c d e a b c d e", "a a a a a a a a", prose, prose + " ### " * 20, "\n".join(["same line"] * 9 + ["other"]), prose.upper(), prose.replace(" ", "!! "), "ü\u00a0ß é " * 30, "x" * 50_000, prose + " " + "|".join("abc")]
+    texts = [None, "", " \n\t", "one", "a b c d e a b c d e", "a a a a a a a a", prose, prose + " ### " * 20, "\n".join(["same line"] * 9 + ["other"]), prose.upper(), prose.replace(" ", "!! "), "ü\u00a0ß é " * 30, "x" * 50_000, prose + " " + "|".join("abc"), "\n".join(f" - {prose} {i}" for i in range(4)), "\n".join(f"{prose} {i}... \r" for i in range(4)), "12 34 5 " * 9 + prose, "• a\n*b\nc …\n\x0b- d…"]
     d = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
     ledger = quality_rules.ledger(d, carry=("n_words",))
     rows = {r.doc_id: r for r in ledger.collect()}
     for i, t in enumerate(texts):
         r = rows[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_quality(t), t
-    kept = {i for i, r in rows.items() if not r.failed & quality_rules.mask(quality_rules.POLICIES[1])}
+        assert (r.n_alpha_words, r.n_bullet_lines, r.n_cut_lines) == plain_shape(t), t
+    kept = {i for i, r in rows.items() if not r.failed & quality_rules.mask(quality_rules.V2)}
     assert 6 in kept and not kept & {0, 1, 2, 3, 4, 5, 7, 8, 9, 10}
-    after = quality_rules.kept(d, quality_rules.POLICIES[1])
+    after = quality_rules.kept(d, quality_rules.V2)
     assert after.columns == d.columns and {r.doc_id for r in after.collect()} == kept
     for r in quality_rules.ablations(ledger).collect():
         p = next(p for p in quality_rules.POLICIES if p.version == r.policy)
