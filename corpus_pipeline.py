@@ -1,7 +1,13 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Nulls, ties and odd rows are as the operators define them: documents without words fail the quality rules; rows without an
+id pass the stage of near copies; rows that repeat id and text become one there; further columns go through all stages. The
+last adds ``copy``. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
+import secrets
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +18,12 @@ from bendscape.llm.common import shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail a rule of policy v1."""
-    return quality_rules.kept(docs, quality_rules.POLICIES[1])
+    """Drops documents that fail a rule of policy v2, by a ledger that is written first."""
+    return quality_rules.kept(docs, quality_rules.V2)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links of four fifths of five-word shingles make."""
+    """Keeps one document of each group that links of four fifths of five-word shingles make, by SimHash."""
     return near_copies.one_of_each(docs)
 
 
@@ -27,8 +33,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exchanges private values for pseudonyms; n_chars follows the text."""
-    return pii.pseudonymise(docs, counts=None).withColumn("n_chars", F.length("text").cast("long"))
+    """Exchanges private values for pseudonyms; n_chars follows the text.
+
+    The key is ``spark.bendscape.pii.key``; where that is unset, one of this run that nobody keeps.
+    """
+    key = spark.conf.get("spark.bendscape.pii.key", None) or secrets.token_hex(32)
+    return pii.pseudonymise(docs, key, counts=None).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +46,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("pseudonyms", pseudonyms), ("mixed", mixed)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("pseudonyms", pseudonyms),
+    ("mixed", mixed),
+]
 
 #: SQL cannot express the groups of the second stage; tests hold run() against a brute-force version.
 ORACLE_SQL = None
