@@ -192,32 +192,109 @@ PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>
 <section id="related"><p>More</p></section><footer>&copy; us</footer></body></html>"""
 
 
-def test_html_lines_and_alignment(spark):
-    text = "The <Title>\nOne two three\nfour\nfivesix"
-    assert html_text.Page(0, "", "", PAGE).main([None, None]) == text
-    assert html_text.Page(0, "", "", "<article>open<nav>menu</article><p>out").main([]) == "open"
-    a, b = list("abcdefabc"), list("xbcyfabz")
-    got = html_text.aligned(a, b)
-
-    def lcs(i, j, memo={}):  # noqa: B006
-        if i == len(a) or j == len(b):
-            return 0
-        if (i, j) not in memo:
-            memo[i, j] = 1 + lcs(i + 1, j + 1) if a[i] == b[j] else max(lcs(i + 1, j), lcs(i, j + 1))
-        return memo[i, j]
-
-    assert len(got) == lcs(0, 0)
-    menu = "<div>Menu one</div><div>Menu two</div>"
-    pages = [(i, f"http://h.example/p/{i}", f"{menu}<p>{prose(20)} {i}</p><div>Imprint</div>") for i in range(10)]
-    pages += [(20, None, None), (21, "x", ""), (22, "http://h.example/p/3", pages[3][2]), (None, "http://z/1", PAGE), (23, "http://big/", "<p>" + "w " * 100_000), (20, None, PAGE)]
+def plain_lcs(a, b):
+    """A longest common subsequence's length, from every pair of places on."""
+    best = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i, j] = 1 + best[i + 1, j + 1] if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
+    return best[0, 0]
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        got = sorted(html_text.aligned(a, b))
+        rest = iter(b)
+        assert all(any(x == y for y in rest) for x in (a[i] for i in got)), "the places are a subsequence of both"
+        assert len(got) == plain_lcs(a, b)
+
+
+def text_of(page):
+    texts, _, _, kinds = html_text.described(page)
+    return "\n".join(texts[i] for i in html_text.kept(kinds))
+
+
+def test_markup():
+    assert text_of(PAGE) == "The <Title>\nOne two three\nfour\nfivesix"
+    assert text_of("<article>open<nav>menu</article><p>out") == "open"
+    assert text_of('<article><p class="x>Hello</p><p title="a > b" id=\'"\'>World <b>x</b> 3 < 4 <5 a<b c</p></article>') == "Hello\nWorld x 3 < 4 <5 a<b c"
+    assert text_of("<p>a<!-- open <p>b") == "a" and text_of("<p>a<script>b<p>c") == "a" and text_of("<p>a<script/><p>c</p") == "a\nc</p"
+    assert text_of("") == text_of(None) == "" and text_of("a < b") == "a < b" and text_of("<p>&lt;p&gt; &#233;&nbsp;x") == "<p> é x"
+
+
+@pytest.mark.parametrize("unit", ["a <b c ", '<p class="x>Hello</p>', '<a "x>" ', "<a ' <b \" ", "<script ", '<a "<a" ', "<!-- ", "</", "<p x='y' "])
+def test_odd_markup_takes_linear_time(unit):
+    import time
+
+    def took(n):
+        t = time.process_time()
+        html_text.lines(unit * n)
+        return time.process_time() - t
+
+    assert took(60_000) < 40 * max(took(6_000), 0.01)
+
+
+def plain_main_texts(pages):
+    """(host, path, html) -> text, by the definition: all pages of a host in one list, and a plain alignment."""
+    found = {}
+    for host, path, html in pages:
+        texts, hashes, sizes, kinds = html_text.described(html)
+        key = host, html_text.digest_of(hashes, kinds)
+        found[key] = (host, min(path, found[key][1]) if key in found else path, key[1], texts, sizes, kinds)
+    rows = sorted(found.values(), key=lambda r: r[:3])
+    out = {}
+    for i, (host, path, digest, texts, sizes, kinds) in enumerate(rows):
+        near = [j for j in range(len(rows)) if 0 < abs(i - j) <= html_text.REACH and rows[j][0] == host]
+        near.sort(key=lambda j: (-len(os.path.commonprefix([path, rows[j][1]])), abs(i - j), j))
+        long = {k for k, t in enumerate(texts) if len(t) > html_text.LONG}
+        same = set()
+        for j in near:
+            hit = html_text.aligned(texts, rows[j][3])
+            if 2 * sum(sizes[k] for k in hit & long) <= sum(sizes[k] for k in long) and len(hit) < len(texts):
+                same = hit
+                break
+        left = html_text.kept(kinds)
+        if any(kinds[k] & html_text.IN_ARTICLE for k in left):
+            own = [k for k in left if k not in same or texts[k][-1] in ".!?…" or len(texts[k].split()) > html_text.SHORT]
+            left = [k for k in left if own and own[0] <= k <= own[-1]]
+        else:
+            left = [k for k in left if k not in same]
+        out[host, digest] = "\n".join(texts[k] for k in left)
+    return out
+
+
+def test_differencing(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "BLOCK", 16)
+    rng = random.Random(9)
+    menu = "<div>Menu one</div><div>Menu two</div><div>About all of our many pages here</div>"
+    sentence = lambda: prose(20, rng).capitalize() + "."
+    quote = sentence()
+    pages = [(i, f"http://h.example/p/{i}", f"{menu}<p>{sentence()} {i}</p>{f'<p>{quote}</p>' if i % 4 == 0 else ''}<p>{sentence()}</p><div>Imprint</div>") for i in range(40)]
+    pages += [(100 + i, f"http://a.example/{i % 3}/{i}", f"<article><h2>Share this</h2><h1>{prose(4, rng)} {i}</h1><p>{sentence()}</p><p>{quote}</p><p>Note</p><p>{sentence()}</p><p>Read more</p></article>") for i in range(40)]
+    pages += [(200 + i, f"http://c.example/{i}", pages[3][2]) for i in range(5)] + [(210 + i, f"http://c.example/{i}x", pages[i][2]) for i in (8, 9)]
+    pages += [(220 + i, f"http://d.example/{i}", f"<p>{' '.join(quote.split()[: 15 + i])}</p><p>{quote}</p><p>{quote} more</p>") for i in range(5)]
+    pages += [(300, None, None), (301, "x", ""), (302, "http://h.example/p/3", pages[3][2]), (None, "http://z/1", PAGE), (303, "http://big/", "<p>" + "w " * 100_000), (300, None, PAGE)]
     df = spark.createDataFrame([(k, u, h, 1) for k, u, h in pages], "page_id long, url string, html string, text int")
-    rows = html_text.extract(df).collect()
-    assert len(rows) == len(pages)
-    by = collections.defaultdict(list)
-    for r in rows:
-        by[r.page_id].append(r.text)
-    assert all(by[i] == [pages[i][2].split("<p>")[1].split("</p>")[0]] for i in range(10) if i != 3)
-    assert sorted(by[20]) == ["", text] and by[21] == [""] and by[None] == [text] and len(by[23][0]) == 199_999
+    parts = [(u.partition("://")[2].partition("/")[0], "/" + u.partition("://")[2].partition("/")[2]) if u and "://" in u else ("", "") for _, u, _ in pages]
+    texts = plain_main_texts([(h, p, x) for (h, p), (_, _, x) in zip(parts, pages, strict=True)])
+
+    def of(part, html):
+        _, hashes, _, kinds = html_text.described(html)
+        return texts[part[0], html_text.digest_of(hashes, kinds)]
+
+    want = collections.Counter((k, of(part, h)) for (k, _, h), part in zip(pages, parts, strict=True))
+    for n in (1, 4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert collections.Counter((r.page_id, r.text) for r in html_text.extract(df.repartition(n)).collect()) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    by = {k: t for k, t in want}
+    assert not any("Menu" in by[i] or "Imprint" in by[i] for i in range(40)) and all(str(i) in by[i] for i in range(40))
+    assert all(by[100 + i].startswith(pages[40 + i][2].split("<h1>")[1].split("<")[0]) and quote in by[100 + i] and "Note" in by[100 + i] and "Read more" not in by[100 + i] for i in range(40))
+    assert not any("Menu" in by[200 + i] for i in range(5)) and by[301] == "" and len(by[303]) == 199_999
     assert html_text.extract(df.limit(0)).count() == 0
 
 
