@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     found = analyse(rows, params, matrices.read(args.matrices) if args.matrices else matrices.BUILTIN, args.n_policy, spread=args.spread)
     if args.verbose:
         found.curvature.explain("formatted")
-    sinks.write_all(found, rows, args.output)
+    sinks.write_all(found, rows, args.output, params)
     return 0
 
 

@@ -3,8 +3,8 @@
 Everything is computed by one numpy kernel over chunks of pieces. A chunk owns the positions [a, a + CHUNK) of its piece
 and comes with as many bases on both sides as they depend on, so a chromosome is many independent rows and no sort,
 window or shuffle over positions is needed. Distances, and so curvature and symmetry, don't depend on where a chunk's
-coordinates begin and how they are turned. Coordinates and means themselves do: for pieces of more than one chunk a row of sums for each
-chunk is added up along the piece first, and only these rows are shuffled.
+coordinates begin and how they are turned. Coordinates and means themselves do: where a piece is cut into chunks, the
+sums of the chunks before go along with each, and nothing is joined or shuffled for that.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,9 +50,11 @@ def chunks(pieces: DataFrame, left: int, right: int, size: int = CHUNK, spread:
     ``spread``: deal the chunks over that many partitions, for few and long sequences.
     """
     n = F.length("seq")
-    rows = pieces.where(n > 0).select("seq_id", "piece", n.alias("n"), "seq", F.explode(F.sequence(F.lit(0), n - 1, F.lit(size))).alias("a"))
-    start = F.greatest(F.lit(0), F.col("a") - left)
-    out = rows.select("seq_id", "piece", "n", "a", start.alias("from"), F.substring(F.col("seq"), start + 1, F.col("a") - start + size + right).alias("body"))
+    # Of bytes, unlike of text, a slice is taken without a walk from the start.
+    start = lambda a: F.greatest(F.lit(0), a - left)
+    body = lambda a: F.substring(F.col("seq").cast("binary"), start(a) + 1, a - start(a) + size + right)
+    found = F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), lambda a: F.struct(a.alias("a"), start(a).alias("from"), body(a).alias("body")))
+    out = pieces.where(n > 0).select("seq_id", "piece", n.alias("n"), F.explode(found).alias("_c")).select("seq_id", "piece", "n", "_c.*")
     return out.repartition(spread, "seq_id", "piece", "a") if spread else out
 
 
@@ -89,7 +91,7 @@ def track(n: np.ndarray, a: np.ndarray, start: np.ndarray, bodies: pa.Array, siz
     row = np.repeat(np.arange(len(length)), length)
     pos = np.arange(len(codes)) - first[:-1][row] + start[row]
     if (codes < 0).any():
-        raise ValueError("Error: triplet must be of length 3")
+        raise ValueError(f"Error: triplet must be of length 3; base {pos[int(np.argmax(codes < 0))]} of a piece is none of A, T, G and C")
     index = np.zeros(len(codes), dtype=np.int64)
     index[:-2] = 16 * codes[:-2] + 4 * codes[1:-1] + codes[2:]
     ok = pos + 2 < np.minimum(start + length, n)[row]
@@ -193,21 +195,50 @@ def curvature_dual(pieces: DataFrame, params: Params = DEFAULT, matrices: Matric
 
 # ---------------------------------------------------------------- what has an origin
 
-def _offsets(rows: DataFrame, roll: str, matrices: Matrices, params: Params, size: int) -> DataFrame:
-    """``rows`` (chunks) with turn, x0 and y0: how far the coordinates before a chunk have turned and come."""
+def _placed_chunks(pieces: DataFrame, halo: int, roll: str, matrices: Matrices, params: Params, size: int, spread: int | None) -> DataFrame:
+    """Chunks with turn, x0 and y0: how far the coordinates before a chunk have turned and come.
 
-    def run(n, a, start, bodies, _):
-        t = track(n, a, start, bodies, size, (roll,), matrices, params)
-        sums = {c: np.bincount(t.row, weights=np.where(t.owned, v, 0.0), minlength=len(n)) for c, v in (("turn", t.twist), ("dx", t.dx[roll]), ("dy", t.dy[roll]))}
-        return np.arange(len(n)), a, sums
+    Of a piece with more than one chunk, sums are added up chunk by chunk while it is cut.
+    """
+    schema = T.StructType([pieces.schema["seq_id"], pieces.schema["piece"]]).add("n", "integer").add("a", "integer").add("from", "integer").add("body", "binary")
+    for name in ("turn", "x0", "y0"):
+        schema.add(name, "double")
+
+    def cut(seq: bytes):
+        n, turn, x, y = len(seq), 0.0, 0.0, 0.0
+        for a in range(0, n, size):
+            start = max(0, a - halo)
+            body = seq[start : a + size + halo]
+            yield n, a, start, body, turn, x, y
+            if n > size:
+                t = track(np.array([n]), np.array([a]), np.array([start]), pa.array([body], pa.binary()), size, (roll,), matrices, params)
+                dx, dy = (float(d[roll][t.owned].sum()) for d in (t.dx, t.dy))
+                c, s = np.cos(turn), np.sin(turn)
+                x, y = x + dx * c + dy * s, y + dy * c - dx * s
+                turn += float(t.twist[t.owned].sum())
+
+    def run(batches):
+        for batch in batches:
+            rows, out, held = [], [[] for _ in range(7)], 0
+
+            def done():
+                at = pa.array(rows, pa.int64())
+                types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=schema.names)  # noqa: B023
+
+            for i, seq in enumerate(batch.column(2)):
+                for chunk in cut(seq.as_py()):
+                    rows.append(i)
+                    for column, value in zip(out, chunk, strict=True):
+                        column.append(value)
+                    held += len(chunk[3])
+                    if held > 1 << 22:
+                        yield done()
+                        rows, out, held = [], [[] for _ in range(7)], 0
+            yield done()
 
-    totals = emit(rows.where(F.col("n") > size), {"turn": "double", "dx": "double", "dy": "double"}, run, size)
-    before = Window.partitionBy("seq_id", "piece").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
-    turned = totals.select("*", zero("turn").alias("t0"))
-    turned = turned.select("seq_id", "piece", "pos", "t0", (F.col("dx") * F.cos("t0") + F.col("dy") * F.sin("t0")).alias("gx"), (F.col("dy") * F.cos("t0") - F.col("dx") * F.sin("t0")).alias("gy"))
-    known = turned.select("seq_id", "piece", F.col("pos").alias("a"), F.col("t0").alias("turn"), zero("gx").alias("x0"), zero("gy").alias("y0"))
-    return rows.join(known, ["seq_id", "piece", "a"], "left").fillna(0.0, ["turn", "x0", "y0"])
+    rows = pieces.where(F.length("seq") > 0).select("seq_id", "piece", F.col("seq").cast("binary")).mapInArrow(run, schema)
+    return rows.repartition(spread, "seq_id", "piece", "a") if spread else rows
 
 
 def _walked(t: Track, roll: str, part: pa.RecordBatch, turn: np.ndarray, x0: np.ndarray, y0: np.ndarray):
@@ -248,7 +279,7 @@ def roll_mean(pieces: DataFrame, roll: str = "simple", params: Params = DEFAULT,
 
 
 def _placed(pieces, columns, halo, make, roll, params, matrices, spread, size) -> DataFrame:
-    rows = _offsets(chunks(pieces, halo, halo, size, spread), roll, matrices, params, size)
+    rows = _placed_chunks(pieces, halo, roll, matrices, params, size, spread)
 
     def run(n, a, start, bodies, part):
         t = track(n, a, start, bodies, size, (roll,), matrices, params)
@@ -262,7 +293,7 @@ def _placed(pieces, columns, halo, make, roll, params, matrices, spread, size) -
 
 def triplet_params(pieces: DataFrame, roll: str = "simple", params: Params = DEFAULT, matrices: Matrices = BUILTIN, spread: int | None = None, size: int = CHUNK) -> DataFrame:
     """(seq_id, piece, pos, roll, twist, twist_sum, dx, dy) of each triplet, with twist summed from the piece's start."""
-    rows = _offsets(chunks(pieces, 4, 4, size, spread), roll, matrices, params, size)
+    rows = _placed_chunks(pieces, 4, roll, matrices, params, size, spread)
     columns = ("roll", "twist", "twist_sum", "dx", "dy")
 
     def run(n, a, start, bodies, part):

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bendscape.functions.matrices import BUILTIN, Matrices, matrix_table
 
 
+def _starts(lengths: Column, block: int = 256) -> Column:
+    """Where each of consecutive strings begins, from 1, given their lengths.
+
+    An array grows by being copied, so sums run within blocks first: the work is in proportion to the strings.
+    """
+    begin = lambda at: F.struct(F.array().cast("array<bigint>").alias("starts"), at.cast("bigint").alias("at"))
+    step = lambda acc, n: F.struct(F.concat(acc["starts"], F.array(acc["at"])).alias("starts"), (acc["at"] + n).alias("at"))
+    run = lambda numbers, at: F.aggregate(numbers, begin(at), step, lambda acc: acc["starts"])
+    total = lambda numbers: F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    number = F.greatest(F.floor((F.size(lengths) - 1) / block), F.lit(0)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), number), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
+
+    def joined(parts: Column) -> Column:
+        firsts = run(F.transform(parts, total), F.lit(1))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("n"), firsts.alias("at")), lambda z: run(z["n"], z["at"])))
+
+    return F.transform(F.array(blocks), joined)[0]
+
+
 def split_by_n(sequences: DataFrame, keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """(keep..., piece, start, end, seq): maximal runs without N of (seq_id, seq), numbered from 0; 1-based inclusive ends.
 
     Runs of N and other runs alternate, so the array of starts is as short as there are pieces. No shuffle.
     """
     tokens = F.regexp_extract_all(F.col("seq"), F.lit("(N+|[^N]+)"), F.lit(1))
-    begin = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(1).cast("long").alias("at"))
-    step = lambda acc, t: F.struct(F.concat(acc["starts"], F.array(acc["at"])).alias("starts"), (acc["at"] + F.length(t)).alias("at"))
-    starts = F.transform(F.array(tokens), lambda t: F.arrays_zip(t.alias("seq"), F.aggregate(t, begin, step, lambda acc: acc["starts"]).alias("start")))[0]
+    lengths = lambda t: F.transform(t, lambda x: F.length(x))
+    starts = F.transform(F.array(tokens), lambda t: F.arrays_zip(t.alias("seq"), F.transform(F.array(lengths(t)), lambda n: _starts(n))[0].alias("start")))[0]
     found = F.filter(starts, lambda z: ~z["seq"].startswith("N"))
     rows = sequences.select(*keep, F.posexplode(found).alias("piece", "_z"))
     return rows.select(*keep, "piece", F.col("_z.start").alias("start"), (F.col("_z.start") + F.length("_z.seq") - 1).alias("end"), F.col("_z.seq").alias("seq"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bendscape.functions.matrices import BUILTIN, Matrices
 from bendscape.operators.curvature import CHUNK, Track, chunks, curved, distances, emit, track
-from bendscape.params import DEFAULT, HALF, SCORE_CAP, WEIGHT_FLOOR, Params
+from bendscape.params import CORE, DEFAULT, HALF, SCORE_CAP, WEIGHT_FLOOR, Params
 
 DIGITS = 9
 
@@ -60,6 +60,21 @@ def measures(t: Track, kind: str, params: Params) -> dict[str, np.ndarray]:
     return {"sym_sum": total, "weight": weight, "score": score}
 
 
+def core_sums(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Sums over the places up to HALF away in the same row. Only additions, by doubling, so that a sum of zeros is zero."""
+    place = np.arange(len(values)) + HALF * (1 + row)  # zeros between rows
+    padded = np.zeros(len(values) + HALF * (int(row[-1]) + 3) if len(row) else 0)
+    padded[place] = values
+    total, done, run, width = np.zeros_like(padded), 0, padded, 1
+    while done < CORE:  # run: sums of so many places from each on
+        if CORE & width:
+            total[: len(total) - done] += run[done:]
+            done += width
+        run = run + _shift(run, width)
+        width *= 2
+    return total[place - HALF]
+
+
 def _halo(params: Params, more: int = 0) -> int:
     return params.reach + params.half_window + 3 + more
 
@@ -84,11 +99,7 @@ def symmetry(pieces: DataFrame, rolls: tuple[str, ...] = ("active", "simple"), p
         for k in rolls:
             found = measures(t, k, params)
             if runsum:
-                s = np.where(at, found["score"], 0.0)
-                total = np.zeros_like(s)
-                for j in range(-HALF, HALF + 1):
-                    total += _shift(s, j) * (_shift(t.row + 1.0, j) == t.row + 1.0)
-                found = {"runsum": total}
+                found = {"runsum": core_sums(np.where(at, found["score"], 0.0), t.row)}
             values |= {f"{m}_{k}": found[m] for m in names}
         keep = np.flatnonzero(keep)
         return t.row[keep], t.pos[keep], {c: values[c][keep] for c in columns}

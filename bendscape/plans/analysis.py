@@ -35,10 +35,12 @@ def analyse(sequences: DataFrame, params: Params = DEFAULT, matrices: Matrices =
     """Curvature, symmetry and calls of (seq_id, offset, strand, seq).
 
     Sequences are read along their strand in upper case. ``n_policy``: ``split`` them at unknown bases, or take every
-    sign that is no base ``to_a``. With ``split`` other signs than A, C, G, T and N are unknown too.
+    sign that is no base ``to_a``. With ``split`` other signs than A, C, G, T and N are unknown too. Chunks are dealt over
+    ``spread`` partitions, by default as many as a shuffle has.
     """
     if n_policy not in ("split", "to_a"):
         raise ValueError(f"n_policy is split or to_a, not {n_policy!r}")
+    spread = spread or int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     upper = F.translate(F.regexp_replace("seq", r"\s", ""), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     clean = bases.normalize_seq(F.col("seq")) if n_policy == "to_a" else F.regexp_replace(upper, "[^ACGT]", "N")
     ready = sequences.select("seq_id", "offset", bases.on_strand(clean, F.col("strand")).alias("seq"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bendscape.operators import calls
+from bendscape.params import DEFAULT, Params
 from bendscape.plans.analysis import Analysis
 
 
@@ -26,10 +27,10 @@ def write_symmetry(found: Analysis, path: str) -> None:
     _tsv(found.published(found.scores), path, "seq_id", "position", "score_active", "score_simple")
 
 
-def write_averages(found: Analysis, sequences: DataFrame, path: str) -> None:
+def write_averages(found: Analysis, sequences: DataFrame, path: str, params: Params = DEFAULT) -> None:
     """``title:offset:strand:bases`` and the average score by both matrices; bases count up to the last with a curvature."""
     rows = found.averages.join(sequences.select("seq_id", "offset", "strand"), "seq_id")
-    name = F.concat_ws(":", F.col("seq_id").cast("string"), F.col("offset").cast("string"), "strand", (F.col("n") - 21).cast("string"))
+    name = F.concat_ws(":", F.col("seq_id").cast("string"), F.col("offset").cast("string"), "strand", (F.col("n") - (params.reach + 1)).cast("string"))
     _tsv(rows, path, name, "avg_active", "avg_simple", order=("seq_id", "piece"))
 
 
@@ -52,11 +53,11 @@ def write_bedgraph(found: Analysis, path: str, value: str = "curv_simple", track
     _tsv(rows, path, "seq_id", "position", (F.col("position") + 1).alias("end"), value)
 
 
-def write_all(found: Analysis, sequences: DataFrame, folder: str) -> None:
+def write_all(found: Analysis, sequences: DataFrame, folder: str, params: Params = DEFAULT) -> None:
     """All eight outputs, under their usual names."""
     write_curvature(found, f"{folder}/out_curv.dat")
     write_symmetry(found, f"{folder}/out_symmetry.dat")
-    write_averages(found, sequences, f"{folder}/out_symmetry_aggr.dat")
+    write_averages(found, sequences, f"{folder}/out_symmetry_aggr.dat", params)
     write_runsums(found, f"{folder}/out_symmetry_avr.dat")
     for final, name in ((False, "init"), (True, "fin")):
         for roll, state in (("active", "nuc"), ("simple", "dnase")):

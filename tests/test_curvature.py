@@ -158,3 +158,33 @@ def test_analysis_shifts_positions_by_offset_and_piece(spark):
     assert analyse(rows, n_policy="to_a").pieces.count() == 2
     with pytest.raises(ValueError):
         analyse(rows, n_policy="drop")
+
+
+def test_pieces_of_very_many_runs(spark):
+    seq = "".join("ACGT"[: 1 + i % 4] + "N" * (1 + i % 3) for i in range(1500))
+    rows = frame(spark, seq, "NN", "", "N", "A").collect()
+    assert len(rows) == 1501 and all(seq[r.start - 1 : r.end] == r.seq for r in rows[:-1])
+    assert [r.piece for r in rows[:-1]] == list(range(1500)) and (rows[-1].start, rows[-1].end) == (1, 1)
+
+
+def test_sums_over_a_core():
+    rng = np.random.RandomState(4)
+    row = np.repeat([0, 1, 2], [300, 1, 90])
+    values = rng.choice([0.0, 0.0, 1.5, 100.0], len(row))
+    want = [values[max(0, i - 73) : i + 74][row[max(0, i - 73) : i + 74] == row[i]].sum() for i in range(len(row))]
+    assert np.allclose(symmetry.core_sums(values, row), want)
+    assert len(symmetry.core_sums(np.zeros(0), np.zeros(0, dtype=int))) == 0
+
+
+def test_chunks_are_cut_in_linear_time(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([("s", 0, "ACGTTGCA" * (n // 8))], "seq_id string, piece int, seq string").cache()
+        df.count()
+        t = time.time()
+        assert curvature.chunks(df, 30, 30).selectExpr("sum(length(body))").first()[0] >= n
+        return time.time() - t
+
+    took(1 << 20)
+    assert took(1 << 24) < 16 * max(took(1 << 21), 0.2)
