@@ -141,26 +141,32 @@ def plain_base(rows):
 def test_base_score(spark, frequent):
     rows = [(i, prose(30) + " é x") for i in range(40)] + [(100, None), (101, ""), (102, "Unseen1 UNSEEN2"), (None, "a b"), (103, "z" * 30_000)]
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, score int")
-    got = {r.doc_id: r for r in attention_lm.score(df, frequent=frequent, sample=500).collect()}
+    got = {r.doc_id: r for r in attention_lm.score(df, frequent=frequent).collect()}
     for k, (held, n, known, total, base) in plain_base(rows).items():
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total) and r.base_score == pytest.approx(base)
         assert r.score < 0
     assert attention_lm.score(df.limit(0)).count() == 0
-    twice = attention_lm.score(df.union(df.where("doc_id < 3")), sample=500)
+    twice = attention_lm.score(df.union(df.where("doc_id < 3")))
     assert twice.count() == len(rows)
 
 
-def test_model_is_a_distribution_and_batches_do_not_matter():
-    rng = np.random.Generator(np.random.PCG64(1))
-    m = attention_lm.Model(rng.integers(0, 50, 3000).astype(float))
-    for k in ("R", "bU", "bC", "b"):
-        m.w[k] += rng.normal(0, 0.5, m.w[k].shape).astype(np.float32)
+def small_model(seed=1, ids=3000):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    m = attention_lm.Model(rng.integers(0, 50, ids).astype(float))
+    m.follow(rng.integers(0, 3, (attention_lm.BEFORE, attention_lm.CELLS)).astype(float))
+    for k in m.w:
+        m.w[k] += rng.normal(0, 0.3, m.w[k].shape).astype(np.float32)
+    return m, rng
+
+
+def test_batches_do_not_matter():
+    m, rng = small_model()
     ids, first = rng.integers(0, 2999, 120), np.array([0, 0, 5, 13, 14, 120])
     whole = m.score(ids, first)
     assert np.allclose(whole, [m.score(ids[a:b], np.array([0, b - a]))[0] for a, b in zip(first[:-1], first[1:], strict=True)], rtol=1e-4)
     assert np.allclose(whole, m.score(ids, first, chunk=3), rtol=1e-4)
-    # The states for scoring equal those for training, and all next ids together have probability 1.
+    # The states for scoring equal those for training.
     grid, _ = attention_lm.laid_out(ids, first, 2999)
     alive = grid >= 0
     cells = np.where(alive, m.cell[grid], attention_lm.CELLS)
@@ -168,23 +174,70 @@ def test_model_is_a_distribution_and_batches_do_not_matter():
     dead = np.where(alive, np.float32(0), np.float32(-1e9))
     slow, _ = m.hidden(e[1:], e[:-1], np.concatenate([dead[:-1], dead[1:]], axis=1))
     assert np.allclose(m.states(e, alive)[alive[1:]], slow[alive[1:]], atol=1e-4)
-    some = np.stack([m.score(np.array([5, i]), np.array([0, 2])) - m.score(np.array([5]), np.array([0, 1])) for i in range(3)])
-    assert np.isfinite(some).all()
-    p = [np.exp(m.share[i]) for i in range(3000) if m.cell[i] == attention_lm.CELLS - 1]
-    assert sum(p) == pytest.approx(1, abs=1e-3)
-
-
-def test_training_learns_the_context():
-    rng = np.random.Generator(np.random.PCG64(2))
-    texts = [np.tile([10, 20, 30, 40, 50], 8)[rng.integers(0, 5) :][:30] for _ in range(300)]
-    ids, first = np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts]))
-    grid, _ = attention_lm.laid_out(ids, first, 99)
-    rows = np.concatenate([grid[:-1], grid[1:], np.append(grid[:, 0], -1)[2:, None]], axis=1)
-    rows = rows[grid[1:, 0] >= 0]
-    m = attention_lm.Model(np.bincount(ids, minlength=100).astype(float))
-    before = m.score(ids, first).sum()
-    m.train(rows, epochs=12, batch=32)
-    assert m.score(ids, first).sum() > 0.35 * before  # logarithms: far closer to zero
+
+
+def test_all_next_ids_together_have_probability_one():
+    """Scores of texts of one id are those of the states' own softmax, and this adds up to one over all ids."""
+    m, _ = small_model(ids=2500)
+    ids = np.arange(2499)
+    scores = m.score(ids, np.arange(2500))
+    for i in range(0, 2499, 357):
+        h = m.states(m.w["E"][np.array([[attention_lm.CELLS] * attention_lm.BLOCK, [m.cell[2499], m.cell[i], *[attention_lm.CELLS] * (attention_lm.BLOCK - 2)]])], np.array([[False] * attention_lm.BLOCK, [True, True, *[False] * (attention_lm.BLOCK - 2)]]))[0]
+        log = []
+        for at, before, goal in ((0, m.cell[2499], m.cell[i]), (1, m.cell[i], m.cell[2499])):
+            y, z = m.logits(h[at][None], np.array([min(before, attention_lm.BEFORE - 1)]), np.array([goal // attention_lm.PLACES]))
+            log.append(float(y[0, goal // attention_lm.PLACES] - np.log(np.exp(y[0]).sum()) + z[0, goal % attention_lm.PLACES] - np.log(np.exp(z[0]).sum())))
+        assert scores[i] == pytest.approx(sum(log) + m.share[i] + m.share[2499], rel=1e-3)
+    h = m.states(m.w["E"][np.array([[attention_lm.CELLS] * attention_lm.BLOCK, [m.cell[2499], *[attention_lm.CELLS] * (attention_lm.BLOCK - 1)]])], np.array([[False] * attention_lm.BLOCK, [True, *[False] * (attention_lm.BLOCK - 1)]]))[0][:1]
+    total = 0.0
+    for c in range(attention_lm.CLASSES):
+        y, z = m.logits(h, np.array([min(m.cell[2499], attention_lm.BEFORE - 1)]), np.array([c]))
+        inside = np.exp(z[0]) / np.exp(z[0]).sum()
+        members = m.cell // attention_lm.PLACES == c
+        total += np.exp(y[0, c]) / np.exp(y[0]).sum() * (inside[m.cell[members] % attention_lm.PLACES] * np.exp(m.share[members])).sum()
+    assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_later_ids_leave_earlier_scores_alone():
+    m, rng = small_model()
+    ids = rng.integers(0, 2999, 40)
+    grid, _ = attention_lm.laid_out(ids, np.array([0, 40]), 2999)
+    other = grid.copy()
+    other.ravel()[8 + 20 :] = np.where(other.ravel()[8 + 20 :] >= 0, 7, -1)
+    states = [m.states(m.w["E"][np.where(g >= 0, m.cell[g], attention_lm.CELLS)], g >= 0).reshape(-1, attention_lm.WIDTH) for g in (grid, other)]
+    assert np.allclose(states[0][:20], states[1][:20], atol=1e-6) and not np.allclose(states[0][20:24], states[1][20:24], atol=1e-4)
+
+
+def test_gradients_match_differences():
+    m, rng = small_model()
+    m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
+    m.of_class, m.of_place = m.of_class.astype(np.float64), m.of_place.astype(np.float64)
+    cells = rng.integers(0, attention_lm.CELLS, (6, 2 * attention_lm.BLOCK + 1))
+    cells[0, :5] = cells[1, -3:] = attention_lm.CELLS
+    _, grad = m.gradients(cells)
+    for name, g in grad.items():
+        spots = np.argsort(-np.abs(g).ravel())[:3]
+        for at in spots:
+            i = np.unravel_index(at, g.shape)
+            loss = []
+            for d in (1e-4, -1e-4):
+                m.w[name][i] += d
+                loss.append(m.gradients(cells)[0])
+                m.w[name][i] -= d
+            assert g[i] == pytest.approx((loss[0] - loss[1]) / 2e-4, rel=0.02, abs=1e-5), name
+
+
+def test_training_learns_the_context(spark):
+    rng = random.Random(2)
+    cycle = "red green blue white black".split()
+    # What follows "and" is what stood before it, which no pair of neighbours tells.
+    rows = [(i, " ".join(f"{c} and {c} then" for c in (rng.choice(cycle) for _ in range(30)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    runs = [{r.doc_id: r for r in attention_lm.score(df, share=share).collect()} for share in (0.0, 1.0)]
+    held = [[r.score for r in run.values() if r.held_out] for run in runs]
+    assert len(held[0]) > 50 and sum(held[1]) > 0.95 * sum(held[0]), "logarithms: nearer to zero than pairs alone"
+    again = {r.doc_id: r.score for r in attention_lm.score(df, share=1.0).collect()}
+    assert again == {k: r.score for k, r in runs[1].items()}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body class="menu"><header><p>Site</p></header><nav><ul><li>Home</ul></nav>
