@@ -40,6 +40,21 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Bag
+
+    from bendscape.llm.common import shared_folder
+
+    def session(master, given=None):
+        none = Bag(getOrElse=lambda x: x)
+        return Bag(sparkContext=Bag(master=master, getConf=lambda: {"spark.checkpoint.dir": given}, _jsc=Bag(sc=lambda: Bag(getCheckpointDir=lambda: none))))
+
+    assert shared_folder(session("local[4]")) and shared_folder(session("spark://x", "hdfs:/c")) == "hdfs:/c"
+    for master in ("spark://x", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (None, 3), (7, 5), (7, 5)] + [(300, 299), (298, 300)]
     df = spark.createDataFrame(links, "a long, b long")
@@ -378,40 +393,56 @@ def test_archives(spark, tmp_path):
     assert list(warc.LoserTree([])) == []
 
 
+def plain_emitted(rows, offset):
+    """How often each (key, text, source) is taken: ranks by (size, key) in each source, and targets filled like water."""
+    from test_filters import plain_targets
+
+    sizes, by_source = collections.Counter(), collections.defaultdict(list)
+    for k, t, s in rows:
+        sizes[s] += len(t.split())
+        by_source[s].append((len(t.split()), k))
+    targets = plain_targets(dict(sizes))
+    out = collections.Counter()
+    for s, members in by_source.items():
+        rate = targets[s] / sizes[s]
+        for i, (_, k) in enumerate(sorted(members)):
+            out[k] = math.floor((i + 1) * rate + offset) - math.floor(i * rate + offset)
+    return +out
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     sys.path.insert(0, os.path.dirname(__file__))
-    from test_filters import plain_contamination, plain_quality, plain_targets
+    from test_filters import plain_contamination, plain_quality, plain_shape
+    from test_near_copies import plain_firsts
+
+    from bendscape.llm import mixing
 
-    item = prose(40)
-    good = [prose(60) for _ in range(40)]
-    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(good)] + [(100 + i, t, "s0") for i, t in enumerate(good[:8])]
-    rows += [(200, None, "s1"), (201, "", "s1"), (202, "few words", "s1"), (203, "a b c d e " * 30, "s1"), (204, item + " " + prose(10), "s2"), (205, prose(30) + " mail bob.x@mail.example.com now", "s2"), (206, prose(30) + " &&& $$$ ###" * 9, None), (207, prose(50), None)]
+    rng = random.Random(12)
+    item = prose(40, rng)
+    good = [prose(60, rng) for _ in range(40)]
+    near = [" ".join([*t.split()[:-2], "changed", "ending"]) for t in good[10:18]]
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(good)] + [(100 + i, t, "s0") for i, t in enumerate(good[:8])] + [(150 + i, t, "s1") for i, t in enumerate(near)]
+    rows += [(200, None, "s1"), (201, "", "s1"), (202, "few words", "s1"), (203, "a b c d e " * 30, "s1"), (204, item + " " + prose(10, rng), "s2"), (205, prose(30, rng) + " mail bob.x@mail.example.com now", "s2"), (206, prose(30, rng) + " &&& $$$ ###" * 9, None), (207, prose(50, rng), None)]
     docs = [(k, t, "en", s, len(t or "")) for k, t, s in rows]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = pipeline.run(spark, str(tmp_path)).collect()
     kept = []
     for k, t, s in rows:
-        n, _, symbols, dup, repeat = plain_quality(t)
-        if n >= 10 and 100 * repeat <= 20 * n and 10 * symbols <= n:
+        (n, _, symbols, _, repeat), (alpha, _, _) = plain_quality(t), plain_shape(t)
+        if n >= 10 and 100 * repeat <= 20 * n and 10 * symbols <= n and 10 * alpha >= 7 * n:
             kept.append((k, t, s))
-    prints = [plain_fingerprint(t) for _, t, _ in kept]
-    first = roots(range(len(kept)), [(i, j) for i in range(len(kept)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
-    kept = [r for i, r in enumerate(kept) if first[i] == i]
+    firsts = set(plain_firsts([(k, t) for k, t, _ in kept]))
+    assert firsts.isdisjoint({*range(100, 108), *range(150, 158)}) and set(range(40)) <= firsts
+    kept = [r for r in kept if r[0] in firsts]
     dirty = {x[0] for x in plain_contamination([(k, t) for k, t, _ in kept], [(1, item)]) if x[4]}
+    assert dirty == {204}
     kept = [r for r in kept if r[0] not in dirty]
-    assert {r.doc_id for r in out} <= {k for k, _, _ in kept} and dirty == {204}
-    sizes = collections.Counter()
-    for _, t, s in kept:
-        sizes[s] += len(t.split())
-    want = plain_targets(dict(sizes))
-    taken = collections.Counter()
-    for r in out:
-        taken[r.source] += len(r.text.split())
-    assert all(abs(taken[s] - want[s]) <= 140 for s in sizes)
+    assert collections.Counter(r.doc_id for r in out) == plain_emitted(kept, mixing.offset())
+    assert all(sorted(r.copy for r in out if r.doc_id == k) == list(range(1, n + 1)) for k, n in collections.Counter(r.doc_id for r in out).items())
     texts = {k: t for k, t, _ in kept}
-    assert all(r.text == texts[r.doc_id] for r in out if r.doc_id != 205)
+    assert all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in out if r.doc_id != 205)
     assert not any("bob.x@" in r.text for r in out) and out[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "copy"}
     for _, stage in pipeline.STAGES[:4]:
         empty = stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0), str(tmp_path))
