@@ -49,12 +49,13 @@ def chunks(pieces: DataFrame, left: int, right: int, size: int = CHUNK, spread:
 
     ``spread``: deal the chunks over that many partitions, for few and long sequences.
     """
-    n = F.length("seq")
-    # Of bytes, unlike of text, a slice is taken without a walk from the start.
+    # Of bytes, unlike of text, a slice is taken without a walk from the start; they are made once for a piece.
     start = lambda a: F.greatest(F.lit(0), a - left)
-    body = lambda a: F.substring(F.col("seq").cast("binary"), start(a) + 1, a - start(a) + size + right)
-    found = F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), lambda a: F.struct(a.alias("a"), start(a).alias("from"), body(a).alias("body")))
-    out = pieces.where(n > 0).select("seq_id", "piece", n.alias("n"), F.explode(found).alias("_c")).select("seq_id", "piece", "n", "_c.*")
+    body = lambda b, a: F.substring(b, start(a) + 1, a - start(a) + size + right)
+    slices = lambda b: F.transform(F.sequence(F.lit(0), F.octet_length(b) - 1, F.lit(size)), lambda a: F.struct(F.octet_length(b).alias("n"), a.alias("a"), start(a).alias("from"), body(b, a).alias("body")))
+    found = F.transform(F.array(F.col("seq").cast("binary")), lambda b: slices(b))[0]
+    # The length goes in with each slice, since a column beside them would take the whole sequence along to each.
+    out = pieces.where(F.length("seq") > 0).select("seq_id", "piece", F.explode(found).alias("_c")).select("seq_id", "piece", "_c.*")
     return out.repartition(spread, "seq_id", "piece", "a") if spread else out
 
 

@@ -187,4 +187,4 @@ def test_chunks_are_cut_in_linear_time(spark):
         return time.time() - t
 
     took(1 << 20)
-    assert took(1 << 24) < 16 * max(took(1 << 21), 0.2)
+    assert took(1 << 25) < 8 * max(took(1 << 22), took(1 << 22), 0.5)
