@@ -1,38 +1,49 @@
 """WARC archives of pages, and a globally ordered index of them by external merging.
 
-Writing: every page is one WARC/1.1 record. Of records with equal payloads of at least ``least`` bytes, that with the
-largest id is a response; the others are revisits that refer to it and hold no payload. Files hold ``per_file`` records
-at most, each file sorted by URL key, date and id: a locally sorted run of captures. Spark's text writer writes the
-files, with the end of a record as its line separator, so they can go to any store that Spark can write. Files are
-compressed as a whole; offsets count uncompressed bytes.
+Writing: every page is one WARC/1.1 record, and every record a gzip member of its own. Of records with equal payloads of
+at least ``least`` bytes, that with the largest id is a response; the others are revisits that refer to it and hold no
+payload. A file ends after ``per_file`` records or ``per_bytes`` compressed bytes, whatever comes first (a larger record
+has a file for itself), and is sorted by URL key, date and id: a locally sorted run of captures.
 
-Reading: every file is walked from record to record by Content-Length; payload length and SHA-1 are taken from the
-payload where there is one, and from the record where it is a revisit.
+Spark's text writer writes the files, so they can go to any store that Spark can write, and a lost task is written anew.
+It puts a separator after every row, here a zero byte. That is the last byte of a gzip member that holds less than 16 MiB,
+so it is left to the writer; behind a larger member it is padding, which gzip readers skip. The writer names the files
+``.txt``; they are WARC files compressed by record.
 
-Index: captures are dealt by ranges of (URL key, date, id), so a hot URL is spread over many ranges; in each, the runs
-that its rows come from are merged by a loser tree. The parts, one after another, are the capture histories of all URLs
-in global order.
+Reading: every file is walked from member to member, and one record at a time is held uncompressed; payload length and
+SHA-1 are taken from the payload where there is one, and from the record where it is a revisit. ``offset`` and ``length``
+count bytes of the file as it lies in the store: reading just these gives the record (see :func:`record_of`).
+
+Index: captures are dealt by ranges of (URL key, date, id, place) of about ``per_range`` rows, so a hot URL is spread over
+many ranges and a task's memory doesn't grow with the table; in each, the runs that its rows come from are merged by a
+loser tree. The parts, one after another, are the capture histories of all URLs in global order.
 
 Defined results: a null html is an empty payload; a null url has no target and the empty URL key; line breaks in a url
 are percent-encoded; rows whose id repeats or is null are records of their own (a null id is the smallest; rows that
-share the largest id of a payload are all responses). Further columns are ignored. No rows give an empty index.
+share the largest id of a payload are all responses). Ids that aren't integers raise a TypeError. Further columns are
+ignored. No rows give an empty index.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from bendscape.llm.common import cut, shared_folder
 
 LEAST = 1000
 PER_FILE = 2048
+PER_BYTES = 1 << 25
+PER_RANGE = 50_000
+#: zlib's window bits for gzip members.
+GZIP = 31
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -49,6 +60,8 @@ def url_key(url: Column) -> Column:
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, epoch: int = 1704067200) -> DataFrame:
     """(urlkey, date, id, record): the text of each record, without its end. Page ``id`` was captured id seconds after ``epoch``."""
     date = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.lit(epoch) + F.coalesce(F.col(key), F.lit(0)) % 3153600000), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    if not isinstance(pages.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be of an integer type, not {pages.schema[key].dataType.simpleString()}")
     payload = F.coalesce(F.col(html), F.lit(""))
     target = F.replace(F.replace(F.col(url), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select(F.col(key).cast("long").alias("id"), target.alias("url"), payload.alias("payload"), date.alias("date"))
@@ -70,50 +83,92 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     return rows.select(url_key(F.col("url")).alias("urlkey"), "date", "id", F.concat(header, block).alias("record"))
 
 
-def write(rows: DataFrame, folder: str, per_file: int = PER_FILE) -> None:
+def write(rows: DataFrame, folder: str, per_file: int = PER_FILE, per_bytes: int = PER_BYTES) -> None:
     """Writes records as archive files, each a sorted run."""
-    rows.sortWithinPartitions("urlkey", "date", "id").select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
-
 
-def walk(data: bytes):
-    """(offset, length, header fields, block) of each record of an archive."""
-    at = 0
+    def pack(batches):
+        file, place, n, size = 0, 0, 0, 0
+        for batch in batches:
+            out = [[], [], []]
+            for record in batch.column(0):
+                record = record.as_py() + END.encode()
+                packer = zlib.compressobj(wbits=GZIP)
+                member = packer.compress(record) + packer.flush()
+                if n and (n == per_file or size + len(member) > per_bytes):
+                    file, n, size = file + 1, 0, 0
+                n, size, place = n + 1, size + len(member), place + 1
+                for column, value in zip(out, (file, place, member.removesuffix(b"\0") if len(record) < 1 << 24 else member), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["file", "place", "member"])
+
+    runs = rows.sortWithinPartitions("urlkey", "date", "id").select(F.col("record").cast("binary")).mapInArrow(pack, "file int, place long, member binary")
+    members = runs.sortWithinPartitions("file", "place").select("file", F.col("member").cast("string").alias("member"))
+    members.write.partitionBy("file").option("lineSep", "\0").option("compression", "none").text(folder)
+
+
+def record_of(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and block of an uncompressed record."""
+    stop = data.index(END.encode())
+    lines = data[:stop].decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no record begins here")
+    fields = dict(x.split(": ", 1) for x in lines[1:])
+    end = stop + 4 + int(fields["Content-Length"])
+    if data[end:] != END.encode():
+        raise ValueError("the record does not end where it says")
+    return fields, data[stop + 4 : end]
+
+
+def walk(data: bytes, step: int = 1 << 14):
+    """(offset, length, header fields, block) of each record of an archive; offset and length are those of its member."""
+    at, view = 0, memoryview(data)
     while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        begin = stop + 4
-        end = begin + int(fields["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where it says")
-        yield at, end + 4 - at, fields, data[begin:end]
-        at = end + 4
+        if not data[at]:  # padding
+            at += 1
+            continue
+        unpacker, parts, stop = zlib.decompressobj(wbits=GZIP), [], at
+        # In steps, as what lies behind the member is copied.
+        while not unpacker.eof:
+            if stop >= len(data):
+                raise ValueError(f"the member at byte {at} has no end")
+            parts.append(unpacker.decompress(view[stop : stop + step]))
+            stop = min(stop + step, len(data))
+        stop -= len(unpacker.unused_data)
+        yield at, stop - at, *record_of(b"".join(parts))
+        at = stop
 
 
 def captures(spark, folder: str) -> DataFrame:
     """(run, offset, length, page_id, url, date, record_type, payload_digest, payload_bytes, refers_to) of all records of a folder."""
-    fields = (("run", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()))
-    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in fields)
-    number = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
+    text = ("run", "url", "date", "record_type", "payload_digest")
+    names = ["run", "offset", "length", "page_id", "url", "date", "record_type", "payload_digest", "payload_bytes", "refers_to"]
+    schema = ", ".join(f"{n} {'string' if n in text else 'long'}" for n in names)
+    types = [pa.string() if n in text else pa.int64() for n in names]
+
+    def number(x):
+        return int(x[10:-1]) if x and x != "<urn:page:>" else None
+
+    def described(path, at, length, head, block):
+        http, _, payload = block.partition(END.encode())
+        said = head["WARC-Payload-Digest"].removeprefix("sha1:")
+        if head["WARC-Type"] == "revisit":
+            digest, size = said, int(http.rpartition(b"Content-Length: ")[2])
+        else:
+            digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+            if digest != said:
+                raise ValueError(f"the payload at byte {at} of {path} does not have its digest")
+        about = number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Date"], head["WARC-Type"]
+        return path, at, length, *about, digest, size, number(head.get("WARC-Refers-To"))
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                out = []
-                for at, length, head, block in walk(gzip.decompress(content.as_py())):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    if head["WARC-Type"] == "revisit":
-                        digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(http.rpartition(b"Content-Length: ")[2])
-                    else:
-                        digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
-                        if digest != head["WARC-Payload-Digest"].removeprefix("sha1:"):
-                            raise ValueError(f"the payload at byte {at} of {path} does not have its digest")
-                    out.append((path.as_py(), at, length, number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Date"], head["WARC-Type"], digest, size, number(head.get("WARC-Refers-To"))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True) if out else [()] * len(fields), fields, strict=True)], names=[n for n, _ in fields])
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").mapInArrow(run, schema)
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = [described(path, *record) for record in walk(content.as_py())]
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 class LoserTree:
@@ -159,8 +214,11 @@ class LoserTree:
             self._climb(r)
 
 
-def merge(index: DataFrame) -> DataFrame:
-    """The captures in global order of (urlkey, date, page_id): its partitions, one after another, are ordered."""
+def merge(index: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
+    """The captures in global order of (urlkey, date, page_id): its partitions, one after another, are ordered.
+
+    ``index`` is counted first, so that each range has about ``per_range`` rows.
+    """
     schema = index.schema
 
     def run(batches):
@@ -175,20 +233,14 @@ def merge(index: DataFrame) -> DataFrame:
         order = [starts[r] + i for r, i in LoserTree(runs)]
         yield from table.take(pa.array(order)).to_batches(max_chunksize=10_000)
 
-    dealt = index.repartitionByRange("urlkey", "date", F.col("page_id").asc_nulls_first())
+    ranges = max(1, -(-index.count() // per_range))
+    dealt = index.repartitionByRange(ranges, "urlkey", "date", F.col("page_id").asc_nulls_first(), "run", "offset")
     return dealt.sortWithinPartitions("run", "offset").mapInArrow(run, schema)
 
 
-def archive(pages: DataFrame, folder: str | None = None, per_file: int = PER_FILE, **options) -> DataFrame:
+def archive(pages: DataFrame, folder: str | None = None, per_file: int = PER_FILE, per_bytes: int = PER_BYTES, per_range: int = PER_RANGE, **options) -> DataFrame:
     """Writes all pages as WARC files to ``folder`` (by default a new one in the shared folder) and returns their merged index."""
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write(records(pages, **options), folder, per_file)
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, "1")  # a file is a row here
-    try:
-        index = cut(captures(spark, folder).withColumn("urlkey", url_key(F.col("url"))))
-    finally:
-        spark.conf.set(batch, before)
-    return merge(index)
+    write(records(pages, **options), folder, per_file, per_bytes)
+    return merge(cut(captures(spark, folder).withColumn("urlkey", url_key(F.col("url")))), per_range)

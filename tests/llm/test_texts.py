@@ -385,9 +385,47 @@ def test_archives(spark, tmp_path):
     order = [(r.urlkey, r.date, r.page_id is not None, r.page_id or 0) for r in rows]
     assert order == sorted(order)
     for r in rows:
-        data = gzip.open(r.run.removeprefix("file:")).read()[r.offset : r.offset + r.length]
-        assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
+        with open(r.run.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            head, block = warc.record_of(gzip.decompress(f.read(r.length)))
+        assert head["WARC-Type"] == r.record_type and head.get("WARC-Target-URI") == r.url
+        assert hashlib.sha1(block.partition(b"\r\n\r\n")[2]).hexdigest() == r.payload_digest or r.record_type == "revisit"
+    # Each file is a run of three records at most, in order, and a plain gzip reader reads all of it.
+    runs = collections.defaultdict(list)
+    for r in rows:
+        runs[r.run].append((r.offset, r.length, (r.urlkey, r.date, r.page_id is not None, r.page_id or 0)))
+    for name, run in runs.items():
+        run.sort()
+        assert len(run) <= 3 and [k for *_, k in run] == sorted(k for *_, k in run)
+        assert all(a + b == c for (a, b, _), (c, *_) in zip(run[:-1], run[1:], strict=True))
+        assert gzip.open(name.removeprefix("file:")).read().count(b"WARC-Record-ID") == len(run)
+    # However rows are dealt to files and ranges, the order is the same.
+    small = warc.archive(df, per_file=2, per_range=2)
+    assert small.rdd.getNumPartitions() > 4
+    assert [(r.urlkey, r.date, r.page_id) for r in small.collect()] == [(r.urlkey, r.date, r.page_id) for r in rows]
     assert warc.archive(df.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        warc.archive(df.withColumn("page_id", F.lit("a")))
+
+
+def test_archives_of_long_pages(spark, tmp_path):
+    # Members of 16 MiB and more end in a byte that is not zero, so padding follows them.
+    sizes = {1: 1 << 24, 2: 5, 3: (1 << 24) + 77, 4: 0, 5: 1 << 25, 6: 3000}
+    df = spark.range(1, 7).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.expr(f"repeat('a', element_at(map({', '.join(f'{k}L, {v}' for k, v in sizes.items())}), id))").alias("html")).coalesce(1)
+    got = warc.archive(df, str(tmp_path / "w"), per_bytes=20_000).collect()
+    assert {r.page_id: r.payload_bytes for r in got} == sizes and len({r.run for r in got}) > 1
+    for r in got:
+        with open(r.run.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            assert warc.record_of(gzip.decompress(f.read(r.length)))[1].endswith(b"a" * sizes[r.page_id])
+    assert all(sum(r.length for r in got if r.run == run) <= 20_000 or sum(r.run == run for r in got) == 1 for run in {r.run for r in got})
+    with pytest.raises(ValueError):
+        list(warc.walk(gzip.compress(b"WARC/1.1\r\nContent-Length: 1\r\n\r\nxyz\r\n\r\n")))
+    with pytest.raises(ValueError):
+        list(warc.walk(gzip.compress(b"WARC/1.1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n")[:-3]))
+
+
+def test_loser_tree():
     runs = [sorted(RNG.choices(range(50), k=RNG.randint(0, 9))) for _ in range(11)]
     assert [runs[r][i] for r, i in warc.LoserTree(runs)] == sorted(x for r in runs for x in r)
     assert list(warc.LoserTree([])) == []
