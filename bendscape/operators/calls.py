@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bendscape.params import CORE, DEFAULT, HALF, SCORE_CAP, Params
+from bendscape.sources.shared import cut
+
+#: Places in a block of the greedy choice: in its first round, and at most.
+BLOCK, WIDEST = 1 << 17, 1 << 20
+#: What is known of a call: nothing yet, kept in this round or in one before, excluded.
+OPEN, KEPT, BEFORE, OUT = range(4)
 
 FEATURES = {"active": "stat_nucleosome", "simple": "act_nucleosome"}
 
@@ -37,51 +44,90 @@ def with_sequence(calls: DataFrame, pieces: DataFrame) -> DataFrame:
     return calls.join(pieces.select("seq_id", "piece", F.col("seq").alias("_whole")), ["seq_id", "piece"]).withColumn("seq", F.substring(F.col("_whole"), F.col("start") + 1, F.lit(CORE))).drop("_whole")
 
 
-def calls_greedy(calls: DataFrame, params: Params = DEFAULT, sentinel: bool = True, digits: int = 6) -> DataFrame:
+def calls_greedy(calls: DataFrame, params: Params = DEFAULT, sentinel: bool = True, digits: int = 6, block: int = BLOCK, widest: int = WIDEST) -> DataFrame:
     """The calls of each piece that a greedy choice keeps: by falling score (rounded to ``digits``), then by dyad, each
     one that is over ``spacing`` from all kept before. ``sentinel``: as if a call at 0 had been kept first.
 
-    Rows come sorted by (piece, dyad), and a stretch of calls is settled as soon as a gap over ``spacing``, across which
-    no call reaches another, has been read. So a task holds one stretch and a batch, and no group is gathered as such.
+    A piece is cut into blocks of ``block`` places, each with the calls around it, so a task holds one block at a time
+    however long the piece. What a block can tell from these alone is final: a call is kept if none above it within
+    ``spacing`` is open, and excluded if one within ``spacing`` is kept. Calls whose fate hangs on others further away stay
+    open and go into another round, with the calls just kept and blocks four times as wide (``widest`` at most). Every
+    round settles at least the best open call of each neighbourhood; mostly the first settles all. Rounds end in the
+    shared folder, so this runs jobs when called.
     """
-    spacing = params.spacing
-    rows = calls.where(F.col("dyad") > spacing) if sentinel else calls
-    schema = calls.schema
-    rows = rows.repartition("seq_id", "piece").sortWithinPartitions("seq_id", "piece", "dyad")
-    at = {n: i for i, n in enumerate(schema.names)}
+    spacing, names = params.spacing, calls.columns
+    todo = (calls.where(F.col("dyad") > spacing) if sentinel else calls).withColumn("_state", F.lit(OPEN))
+    done = None
+    while True:
+        settled = cut(_settled(todo, spacing, digits, block))
+        kept = settled.where(F.col("_state") == KEPT).select(*names)
+        done = kept if done is None else done.union(kept)
+        if settled.where(F.col("_state") == OPEN).isEmpty():
+            return done
+        todo = settled.withColumn("_state", F.when(F.col("_state") == KEPT, BEFORE).otherwise(OPEN))
+        block = min(4 * block, widest)
+
+
+def _settled(todo: DataFrame, spacing: int, digits: int, block: int) -> DataFrame:
+    """The calls of ``todo`` that this round keeps or leaves open."""
+    around = max(block // 8, 2 * spacing)
+    number = lambda c: F.floor(c / F.lit(block))
+    blocks = F.sequence(number(F.col("dyad") - around), number(F.col("dyad") + around))
+    dealt = todo.withColumn("_block", F.explode(blocks)).repartition("seq_id", "piece", "_block")
+    dealt = dealt.sortWithinPartitions("seq_id", "piece", "_block", "dyad", "score")
+    keys = ("seq_id", "piece", "_block")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            ids, piece, dyad = (table.column(at[c]).to_pylist() for c in ("seq_id", "piece", "dyad"))
-            last = len(ids) - 1
-            cut = last
-            # The last stretch without a gap may go on in the next batch.
-            while cut > 0 and ids[cut - 1] == ids[last] and piece[cut - 1] == piece[last] and dyad[cut] - dyad[cut - 1] <= spacing:
-                cut -= 1
-            if cut > 0:
-                yield from settle(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
+            if not len(batch):
+                continue
+            # Where a block begins; the last one may go on in the next batch.
+            start = np.zeros(len(batch), dtype=bool)
+            start[0] = True
+            for c in keys:
+                here, last = batch.column(c).slice(1), batch.column(c).slice(0, len(batch) - 1)
+                differs = pc.or_(pc.fill_null(pc.not_equal(here, last), False), pc.xor(pc.is_null(here), pc.is_null(last)))
+                start[1:] |= differs.to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(start)
+            if held and all(held[-1].column(c)[-1] == batch.column(c)[0] for c in keys):
+                begins = begins[1:]
+            at = 0
+            for begin in begins.tolist():
+                if begin > at:
+                    held.append(batch.slice(at, begin - at))
+                if held:
+                    yield from settle(pa.Table.from_batches(held).combine_chunks())
+                held, at = [], begin
+            held.append(batch.slice(at))
         if held:
             yield from settle(pa.Table.from_batches(held).combine_chunks())
 
     def settle(table):
-        _, number = np.unique(np.array([f"{a}\x00{b}" for a, b in zip(table.column(at["seq_id"]).to_pylist(), table.column(at["piece"]).to_pylist(), strict=True)]), return_inverse=True)
-        dyad = np.asarray(table.column(at["dyad"]).combine_chunks()).astype(np.int64)
-        # Pieces one after another on one axis, too far apart to meet.
-        place = dyad + np.append(0, np.cumsum(np.where(number[1:] != number[:-1], dyad[:-1] + spacing + 1, 0)))
-        score = np.round(np.asarray(table.column(at["score"]).combine_chunks()), digits)
-        state = np.zeros(len(place), dtype=np.int8)  # 1: kept, 2: excluded
+        place = table.column("dyad").to_numpy().astype(np.int64)
+        state = table.column("_state").to_numpy().astype(np.int8)
+        begin = table.column("_block")[0].as_py() * block
+        low, high = np.searchsorted(place, place - spacing), np.searchsorted(place, place + spacing, side="right")
+        # Calls that others outside of what is seen here may reach.
+        waits = (place - spacing < begin - around) | (place + spacing >= begin + block + around)
+        for i in np.flatnonzero(state == BEFORE).tolist():
+            near = state[low[i] : high[i]]
+            near[near == OPEN] = OUT
+        score = np.round(table.column("score").to_numpy(), digits)
         for i in np.lexsort((place, -score)).tolist():
-            if not state[i]:
-                low, high = np.searchsorted(place, [place[i] - spacing, place[i] + spacing + 1])
-                state[low:high] = np.where(state[low:high] == 0, 2, state[low:high])
-                state[i] = 1
-        yield from table.take(pa.array(np.flatnonzero(state == 1))).to_batches()
-
-    return rows.mapInArrow(run, schema)
+            if state[i] != OPEN:
+                continue
+            if waits[i]:
+                waits[low[i] : high[i]] = True
+                continue
+            near = state[low[i] : high[i]]
+            near[near == OPEN] = OUT
+            state[i] = KEPT
+        core = (place >= begin) & (place < begin + block) & ((state == OPEN) | (state == KEPT))
+        table = table.set_column(table.schema.get_field_index("_state"), "_state", pa.array(state.astype(np.int32)))
+        yield from table.drop_columns(["_block"]).take(pa.array(np.flatnonzero(core))).to_batches()
+
+    return dealt.mapInArrow(run, todo.schema)
 
 
 def gff_lines(calls: DataFrame, roll: str = "active", final: bool = False, offset: Column | int = 0, one_based: bool = False) -> DataFrame:

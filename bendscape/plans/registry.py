@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bendscape.functions import bases, matrices
 from bendscape.operators import calls, curvature, pieces, symmetry
 from bendscape.plans import analysis
-from bendscape.sources import fasta, sinks
+from bendscape.sources import fasta, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -346,14 +346,14 @@ def _track(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 @query(f"WITH {_CURVED} SELECT seq_id, {_POSITION}, substr(seq, pos + 1, 1) AS base, {_R('0.33335 * da', 'curv_active')}, {_R('0.33335 * ds', 'curv_simple')} FROM curved JOIN pieces USING (seq_id, piece)")
 def sink_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fasta.new_folder(spark, "curvature")
+    path = shared.new_folder(spark, "curvature")
     sinks.write_curvature(_analysed(spark, sf_dir)[1], path)
     return _track(spark, path, "seq_id long, position long, base string, curv_active double, curv_simple double")
 
 
 @query(f"WITH {_BOTH} SELECT seq_id, {_POSITION}, {_R('ca', 'score_active')}, {_R('cs', 'score_simple')} FROM sym JOIN pieces USING (seq_id, piece)")
 def sink_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fasta.new_folder(spark, "symmetry")
+    path = shared.new_folder(spark, "symmetry")
     sinks.write_symmetry(_analysed(spark, sf_dir)[1], path)
     return _track(spark, path, "seq_id long, position long, score_active double, score_simple double")
 
@@ -362,7 +362,7 @@ def sink_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT concat_ws(':', seq_id::VARCHAR, seq_id::VARCHAR, '+', (length(seq) - 21)::VARCHAR) AS name, {_R('a / (length(seq) - 21)', 'avg_active')}, {_R('s / (length(seq) - 21)', 'avg_simple')}
 FROM pieces LEFT JOIN t USING (seq_id, piece) WHERE length(seq) > 42""")
 def sink_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fasta.new_folder(spark, "averages")
+    path = shared.new_folder(spark, "averages")
     rows, found = _analysed(spark, sf_dir)
     sinks.write_averages(found, rows, path)
     return _track(spark, path, "name string, avg_active double, avg_simple double")
@@ -370,14 +370,14 @@ def sink_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FILLED} SELECT seq_id, {_POSITION}, {_RUNSUMS}")
 def sink_runsums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fasta.new_folder(spark, "runsums")
+    path = shared.new_folder(spark, "runsums")
     sinks.write_runsums(_analysed(spark, sf_dir)[1], path)
     return _track(spark, path, "seq_id long, position long, runsum_active double, runsum_simple double")
 
 
 @query(f"WITH {_CURVED} SELECT seq_id, {_POSITION}, (pos + start + seq_id)::BIGINT AS \"end\", {_R('0.33335 * ds', 'curv_simple')} FROM curved JOIN pieces USING (seq_id, piece)")
 def sink_bedgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fasta.new_folder(spark, "bedgraph")
+    path = shared.new_folder(spark, "bedgraph")
     sinks.write_bedgraph(_analysed(spark, sf_dir)[1], path)
     return _track(spark, path, "seq_id long, position long, end long, curv_simple double")
 
@@ -386,7 +386,7 @@ def _gff(roll: str, final: bool):
     """The query of a GFF file: its lines, read back."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = fasta.new_folder(spark, "gff")
+        path = shared.new_folder(spark, "gff")
         sinks.write_gff(_analysed(spark, sf_dir)[1], path, roll, final)
         return spark.read.text(path).select(F.col("value").alias("line"))
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +142,37 @@ def test_greedy_calls_match_a_plain_scan(spark):
     assert all(len(r.seq) == 147 for r in calls.with_sequence(found, df).collect())
 
 
+def plain_greedy(rows, spacing=177, first=(0,)):
+    """(seq_id, dyad) of the calls that a greedy choice over all of a sequence keeps."""
+    out = set()
+    for s in {r[0] for r in rows}:
+        taken = list(first)
+        for _, _, dyad, score in sorted((r for r in rows if r[0] == s), key=lambda r: (-round(r[3], 6), r[2])):
+            if all(abs(dyad - p) > spacing for p in taken):
+                taken.append(dyad)
+                out.add((s, dyad))
+    return out
+
+
+@pytest.mark.parametrize("block", [300, 1000, 1 << 17])
+def test_greedy_calls_in_blocks(spark, block):
+    rng = random.Random(block)
+    rows = [("random", 0, d, rng.choice([1.0, 2.0, rng.random() * 9])) for d in sorted(rng.sample(range(9000), 3000))]
+    # Each call hangs on the one before it, or behind it, to the end of the sequence.
+    rows += [("falling", 0, d, 9000.0 - d) for d in range(0, 9000, 50)]
+    rows += [("rising", 0, d, 1.0 + d) for d in range(0, 9000, 50)]
+    rows += [("level", 0, d, 1.0) for d in range(178, 6000, 7)]
+    rows += [("apart", 0, d, 1.0 + d % 3) for d in range(178, 400_000, 30_000)]
+    rows += [(None, 0, d, 1.0 + d % 5) for d in range(178, 4000, 60)]
+    df = spark.createDataFrame(rows, "seq_id string, piece int, dyad int, score double").repartition(3)
+    for sentinel in (True, False):
+        got = [(r.seq_id, r.dyad) for r in calls.calls_greedy(df, sentinel=sentinel, block=block, widest=2000 if block < 2000 else block).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_greedy(rows, first=(0,) if sentinel else ())
+    twice = df.where("seq_id = 'random'")
+    assert sorted(r.dyad for r in calls.calls_greedy(twice.union(twice), block=block).collect()) == sorted(d for s, d in plain_greedy(rows) if s == "random")
+    assert calls.calls_greedy(df.limit(0), block=block).count() == 0
+
+
 def test_legacy_cap_of_the_simple_matrix(spark):
     df = spark.createDataFrame([("a", 0, 200, 150.0, 3.0), ("a", 0, 300, 1.0, 120.0)], "seq_id string, piece int, pos int, score_active double, score_simple double")
     seqs = spark.createDataFrame([("a", 0, LONG[:600])], "seq_id string, piece int, seq string")
