@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bendscape.sources.shared import cut, shared_folder  # noqa: F401
+
 #: Java and RE2 pattern of what separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Java and RE2 pattern of a word.
@@ -27,26 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own where that is unset.
-
-    Only where both are unset and all runs on one machine (tests, a local session) it is a temporary one.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found and not sc.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or os.path.join(tempfile.gettempdir(), "bendscape")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends there."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 #: Rows that go to all tasks as a list, of some 16 bytes each.
 LISTED = 1 << 20
 

@@ -132,6 +132,78 @@ def test_url_rules_and_templates(spark):
     assert url_templates.judge(d, labelled.limit(0)).where("rule is null and verdict = 'block'").count() == 0
 
 
+def plain_judged(pages, labelled, rules, children=16, support=4.0, z=1.96, prior=20.0, least=0.5):
+    """(id, host, path, rule, verdict, template) of pages (id, url), by a tree of nested loops over all pages."""
+
+    def parts(url):
+        host, path = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "").groups() if "://" in (url or "") else ("", "")
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        shown = ["#" if re.search(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$", s) else re.sub("[0-9]+", "#", s) for s in path.split("/") if s]
+        return host, path, tuple(shown)
+
+    tally = collections.defaultdict(lambda: [0, 0, 0])
+    for _, url in pages:
+        tally[parts(url)[::2]][0] += 1
+    for url, bad in labelled:
+        if bad is not None:
+            tally[parts(url)[::2]][1] += 1
+            tally[parts(url)[::2]][2] += bad
+    template = {k: k[1] for k in tally}
+    for level in range(max((len(p) for _, p in tally), default=0)):
+        groups = collections.defaultdict(lambda: collections.defaultdict(list))
+        for (host, path), t in template.items():
+            if len(path) > level:
+                groups[host, t[:level]][t[level]].append((host, path))
+        for (_, above), kids in groups.items():
+            sums = {s: [sum(tally[k][i] for k in ks) for i in range(3)] for s, ks in kids.items()}
+            n, labels, bad = (sum(x[i] for x in sums.values()) for i in range(3))
+            for s, ks in kids.items():
+                _, a, b = sums[s]
+                differs = a > 0 and abs(b / a - bad / labels) > z * (bad / labels * (1 - bad / labels) / a) ** 0.5
+                name = "*" if len(kids) > children and len(kids) * support > n else s if differs else "~"
+                for k in ks:
+                    template[k] = (*above, name, *template[k][level + 1 :])
+    ends = collections.defaultdict(lambda: [0, 0])
+    for k, (_, labels, bad) in tally.items():
+        ends[k[0], template[k]][0] += labels
+        ends[k[0], template[k]][1] += bad
+    labels, bad = (sum(x[i] for x in ends.values()) for i in range(2))
+    mean = 1 - bad / labels if labels else 1.0
+    out = []
+    for key, url in pages:
+        host, path, shown = parts(url)
+        t = template[host, shown]
+        a, b = ends[host, t]
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        rule = max(fits, key=lambda r: len(r[0] + r[1]), default=(None, None, None))
+        verdict = rule[2] or ("block" if (a - b + prior * mean) / (a + prior) < least else "allow")
+        out.append((key, host, path, rule[0] and rule[0] + rule[1], verdict, "/" + "/".join(t)))
+    return out
+
+
+def test_url_templates_against_plain_loops(spark):
+    rng = random.Random(11)
+    pages, labelled = [], []
+    for i in range(900):
+        host = rng.choice(["a.example", "A.example", "b.test", "c.example.net", "d.org"])
+        first = rng.choice(["blog", "spam", "shop", "fr", f"user{rng.choice('abcdefghijklmnopqrstuvwxyz')}{rng.choice('abcdef')}x"])
+        path = "/".join([first, *[rng.choice(["x", "y", "p1", "deadbeef01", f"s{chr(97 + rng.randrange(26))}"]) for _ in range(rng.choice([0, 1, 2, 2, 3, 9]))]])
+        pages.append((i, f"http://{host}/{path}" + rng.choice(["", "/", "?q=/z", "#/f"])))
+        if rng.random() < 0.6:
+            labelled.append((pages[-1][1], rng.choice([None, True, True, True, False] if first == "spam" else [False, False, False, True])))
+    pages += [(900 + i, f"http://many.test/{chr(97 + i % 26)}{chr(97 + i // 26)}z/{'xy'[i % 2]}") for i in range(60)]
+    # A trap for crawlers, one deep path, and odd ones.
+    pages += [(1000 + k, "http://trap.test/" + "again/" * k) for k in range(9)] + [(1100, "http://deep.test/" + "/".join(f"q{chr(97 + k % 26)}" for k in range(300)))]
+    pages += [(1200, None), (1201, ""), (1202, "no scheme/x"), (None, "http://b.test"), (None, "http://b.test"), (1203, "http://d.org/fr/x")]
+    d = spark.createDataFrame([(k, u, 1, "t") for k, u in pages], "page_id long, url string, open int, template string")
+    known = spark.createDataFrame([(u, b, 2) for u, b in labelled], "url string, bad boolean, n int")
+    got = [tuple(r)[:6] for r in url_templates.judge(d, known).select("page_id", "host", "path", "rule", "verdict", "template").collect()]
+    want = plain_judged(pages, labelled, url_templates.RULES)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {r[4] for r in want if r[3] is None} == {"allow", "block"} and any("*" in r[5] for r in want) and any("/spam/" in r[5] for r in want)
+
+
 KEY = "a key of the tests"
 VALUES = {
     "card": ["4041894974608795", "4041-8949-7460-8795", "4041 8949 7460 8795", "378282246310005"], "phone": ["+1 (988) 555-2485", "988-555-2485", "1.988.555.2485"], "abroad": ["+44 20 7946 0958"],
