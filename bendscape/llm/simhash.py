@@ -31,6 +31,8 @@ from bendscape.llm.components import components
 QUARTERS = 4
 #: Fingerprints in a tile, on average at most.
 TILE = 512
+#: A fingerprint of more than one in this many rows is hot.
+HOT = 1024
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = 42) -> list[int]:
@@ -176,13 +178,19 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, hot: int = HOT) -> DataFrame:
     """(key, fp, component_id): every row with its fingerprint and the smallest key that links reach from it."""
     rows = cut(fingerprints(docs, key, text, size))
-    distinct = cut(rows.groupBy("fp").agg(F.min(key).alias("least")))
+    distinct = cut(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     linked = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     joined = linked.join(distinct, "fp").select("component", "fp", "least")
     smallest = joined.groupBy("component").agg(F.min("least").alias("smallest"))
     named = joined.join(smallest, "component").select("fp", "smallest")
-    known = distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return rows.join(known, "fp").select(key, "fp", "component_id")
+    known = distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"), "n")
+    # A fingerprint of more than one in ``hot`` rows is looked up where its rows are; there are fewer than ``hot`` of these.
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    known = cut(known)
+    often = known.where(F.col("n") * hot > total).select("fp", "component_id")
+    met = rows.join(F.broadcast(often), "fp").select(key, "fp", "component_id")
+    rest = rows.join(F.broadcast(often.select("fp")), "fp", "left_anti").join(known, "fp").select(key, "fp", "component_id")
+    return met.unionByName(rest)

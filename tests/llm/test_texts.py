@@ -75,7 +75,7 @@ def test_simhash(spark):
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + f" tail{i}") for i, t in enumerate(base)] + [(200 + i, t.upper().replace(" ", "  \n")) for i, t in enumerate(base[:10])]
     rows += [(300, None), (301, ""), (302, " \t\n"), (303, "one"), (304, "ONE"), (305, "one two"), (None, base[0]), (7, base[7]), (306, "é ß " * 3), (307, "w " * 50_000), (None, "alone in null land with no id")]
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, fp int, component_id int")
-    got = simhash.near_duplicates(df).collect()
+    got = simhash.near_duplicates(df, hot=30).collect()  # a fingerprint of three rows or more is hot
     prints = [(k, plain_fingerprint(t)) for k, t in rows]
     places = roots(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i][1] ^ prints[j][1]).bit_count() <= 2])
     least = collections.defaultdict(list)
