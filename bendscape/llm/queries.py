@@ -80,12 +80,93 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _xxh64(texts: str) -> str:
+    """SQL of (g, h) from a table of distinct strings ``g``: their XXH64 with seed 42, in 128-bit arithmetic.
+
+    Turning by r bits is multiplying by 2**r modulo 2**64 - 1 (but for all ones, which no step here is likely to meet).
+    """
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    full = f"{1 << 64}::UHUGEINT"
+    mul = lambda a, b: f"(({a}) * {b} % {full})"
+    turn = lambda a, r: f"(({a}) * {1 << r}::UHUGEINT % {(1 << 64) - 1}::UHUGEINT)"
+    lane = lambda a, x: mul(turn(f"({a} + {mul(x, p2)}) % {full}", 31), p1)
+    word = lambda at, n: "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+    start = [(42 + 11400714785074694791 + 14029467366897019727) % (1 << 64), (42 + 14029467366897019727) % (1 << 64), 42, (42 - 11400714785074694791) % (1 << 64)]
+    lanes = ", ".join(f"list_reduce(list_prepend({v}::UHUGEINT, list_transform(range(0, n // 32), lambda i: {word(f'32 * i + {8 * k}', 8)})), lambda a, v: {lane('a', 'v')}) AS v{k}" for k, v in enumerate(start))
+    steps = [f"CASE WHEN n < 32 THEN {(42 + 2870177450012600261)}::UHUGEINT ELSE ({turn('v0', 1)} + {turn('v1', 7)} + {turn('v2', 12)} + {turn('v3', 18)}) % {full} END"]
+    steps += [f"CASE WHEN n < 32 THEN h ELSE ({mul(f'xor(h, {lane(0, f"v{k}")})', p1)} + {p4}) % {full} END" for k in range(4)]
+    steps += [f"(h + n::UHUGEINT) % {full}"]
+    steps += [f"list_reduce(list_prepend(h, list_transform(range(n // 32 * 4, n // 8), lambda i: {word('8 * i', 8)})), lambda a, v: ({mul(turn(f'xor(a, {lane(0, "v")})', 27), p1)} + {p4}) % {full})"]
+    steps += [f"CASE WHEN n % 8 < 4 THEN h ELSE ({mul(turn(f'xor(h, {mul(word("n // 8 * 8", 4), p1)})', 23), p2)} + {p3}) % {full} END"]
+    steps += [f"list_reduce(list_prepend(h, list_transform(range(n // 4 * 4, n), lambda i: {word('i', 1)})), lambda a, v: {mul(turn(f'xor(a, {mul("v", p5)})', 11), p1)})"]
+    steps += [mul(f"xor(h, h // {1 << 33}::UHUGEINT)", p2), mul(f"xor(h, h // {1 << 29}::UHUGEINT)", p3), f"xor(h, h // {1 << 32}::UHUGEINT)"]
+    sql = f"SELECT g, x, n, {lanes} FROM (SELECT g, hex(encode(g)) AS x, octet_length(encode(g)) AS n FROM {texts})"
+    for step in steps:
+        columns = "g, x, n, v0, v1, v2, v3"
+        sql = f"SELECT {columns}, {step} AS h FROM ({sql})"
+    return f"SELECT g, h::UBIGINT AS h FROM ({sql})"
+
+
+_OP9 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, array_to_string(ws[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)
+), texts AS (
+  SELECT DISTINCT g FROM s
+), hashed AS MATERIALIZED (
+  {_xxh64('texts')}
+), bits AS (
+  SELECT doc_id, b, sum((h >> b) & 1) AS ones, count(*) AS n
+  FROM s JOIN hashed USING (g), (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY doc_id, b
+), prints AS MATERIALIZED (
+  SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp
+  FROM documents LEFT JOIN (SELECT doc_id, bit_or(CASE WHEN 2 * ones > n THEN 1::UBIGINT << b ELSE 0::UBIGINT END) AS fp FROM bits GROUP BY doc_id) USING (doc_id)
+), links AS MATERIALIZED (
+  SELECT p.fp AS a, q.fp AS b FROM (SELECT DISTINCT fp FROM prints) p, (SELECT DISTINCT fp FROM prints) q WHERE bit_count(xor(p.fp, q.fp)) <= 2
+), reach AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT a AS fp, min(doc_id) AS component_id FROM reach JOIN prints ON reach.b = prints.fp GROUP BY a
+)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN least USING (fp)
+"""
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes without those of 100-byte strings that start earlier too."""
     rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Strings of 100 bytes are 200 hexadecimal digits.
+_OP10 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT doc_id, s, substr(x, 2 * s + 1, 200) AS g
+  FROM (SELECT doc_id, x, unnest(range(0, (len(x) // 2) - 99)) AS s FROM d)
+), f AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS nth FROM w
+), gone AS (
+  SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS last FROM f WHERE nth > 1
+), runs AS (
+  SELECT doc_id, s, sum(CASE WHEN last IS NULL OR s > last + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM gone
+), spans AS (
+  SELECT doc_id, run, min(s) AS b, max(s) + 100 AS e FROM runs GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM spans
+), k AS (
+  SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS kept
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside 13-word windows of the benchmark, and the items they come from."""
     rows = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -198,4 +279,4 @@ def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules, "quality_ablations": quality_ablations}
-ORACLES = {"op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2, "quality_ablations": _ABLATIONS}
+ORACLES = {"op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2, "quality_ablations": _ABLATIONS, "op9_simhash": _OP9, "op10_suffix_dedup": _OP10}
