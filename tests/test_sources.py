@@ -1,4 +1,6 @@
 import json
+import pathlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,25 @@ def test_matrix_values_and_errors(spark, tmp_path):
     assert matrices.matrix_table(spark).count() == 64
     found = matrices.read(put(tmp_path / "m.json", json.dumps({"twist": 0.6, "roll_simple": {"AAA": 9}})))
     assert found.constant_twist == 0.6 and found.roll_simple[0] == 9 and found.roll_simple[1] == 0
+    pytest.importorskip("yaml")
+    found = matrices.read(put(tmp_path / "m.yaml", "twist:\n  AAT: 0.7\nroll_active:\n  TGA: 1.5\n  CCC: 2\ntilt: 0.1\n"))
+    assert found.constant_twist is None and list(found.twist[:3]) == [0.598647428, 0.7, 0.598647428]
+    assert matrices.lookup("TGA", found.roll_active) == 1.5 and matrices.lookup("CCC", found.roll_active) == 2 and matrices.lookup("AAA", found.roll_active) == 0.0633
+    assert set(found.tilt) == {0.1} and (found.roll_simple == matrices.BUILTIN.roll_simple).all()
+    with pytest.raises(matrices.MatrixLookupError):
+        matrices.read(put(tmp_path / "bad.yaml", "twist:\n  AAN: 1\n"))
+    with pytest.raises(ValueError, match="keys"):
+        matrices.read(put(tmp_path / "worse.yaml", "turn: 1\n"))
+
+
+def test_all_cells_of_the_matrices():
+    """Every cell against the list of values in FIXTURES.md."""
+    text = (pathlib.Path(__file__).parent.parent / "FIXTURES.md").read_text()
+    for name in ("roll_active", "roll_simple"):
+        block = re.search(rf"^{name}\n(.*?)^(?:roll_|```)", text, re.M | re.S).group(1)
+        cells = {pair + last: float(v) for pair, row in re.findall(r"([ATGC]{2})\*:(\S+)", block) for last, v in zip("ATGC", row.split(","), strict=True)}
+        assert len(cells) == 64
+        assert cells == {t: matrices.lookup(t, matrices.BUILTIN.roll(name[5:])) for t in cells}
 
 
 def test_parameters():
