@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import attention_lm, decontamination, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, url_templates, warc
+from bendscape.llm import attention_lm, decontamination, filter_audit, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, url_templates, warc
 from bendscape.llm.common import WORD, table
 
 
@@ -278,5 +278,46 @@ def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score(table(spark, sf_dir, "documents")).drop("h")
 
 
-QUERIES = {"op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules, "quality_ablations": quality_ablations}
-ORACLES = {"op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2, "quality_ablations": _ABLATIONS, "op9_simhash": _OP9, "op10_suffix_dedup": _OP10}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes and costs, in every order, for each language."""
+    return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+_OP12 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+    len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS f
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM d GROUP BY ALL
+), letters(l) AS (
+  SELECT unnest(range(1, 6))
+), orders AS (
+  SELECT [a.l, b.l, c.l, d.l, e.l] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT o, s, o[s] AS own, o[1:s - 1] AS before FROM orders, (SELECT unnest(range(1, 6)) AS s)
+), r AS (
+  SELECT part, o, s, own,
+    sum(CASE WHEN NOT f[own] AND len(list_filter(before, lambda k: f[k])) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN f[own] AND len(list_filter(before, lambda k: f[k])) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN f[own] AND len(list_filter(before, lambda k: f[k])) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN f[own] AND len(list_filter(f, lambda k: k)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN f[own] AND len(list_filter(before, lambda k: f[k])) = 0 THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN f[own] AND len(list_filter(before, lambda k: f[k])) = 0 THEN x ELSE 0 END) AS toxic_lost
+  FROM c, steps GROUP BY ALL
+)
+SELECT part, list_aggregate(list_transform(o, lambda k: substr('ABCDE', k, 1)), 'string_agg', '') AS filter_order, s::INT AS step,
+  kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
+QUERIES = {"op12_filter_audit": op12_filter_audit, "op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules, "quality_ablations": quality_ablations}
+ORACLES = {"op12_filter_audit": _OP12, "op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2, "quality_ablations": _ABLATIONS, "op9_simhash": _OP9, "op10_suffix_dedup": _OP10}
