@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import attention_lm, decontamination, filter_audit, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, url_templates, warc
+from bendscape.llm import attention_lm, decontamination, filter_audit, fingerprints, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, url_templates, warc
 from bendscape.llm.common import WORD, table
 
 
@@ -278,6 +278,11 @@ def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of an edited text, and its likeness to this and to the next document's."""
+    return fingerprints.robustness(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes and costs, in every order, for each language."""
     return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
@@ -319,5 +324,5 @@ FROM r
 """
 
 
-QUERIES = {"op12_filter_audit": op12_filter_audit, "op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules, "quality_ablations": quality_ablations}
+QUERIES = {"op13_fingerprints": op13_fingerprints, "op12_filter_audit": op12_filter_audit, "op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules, "quality_ablations": quality_ablations}
 ORACLES = {"op12_filter_audit": _OP12, "op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2, "quality_ablations": _ABLATIONS, "op9_simhash": _OP9, "op10_suffix_dedup": _OP10}
