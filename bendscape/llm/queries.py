@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bendscape.llm import attention_lm, decontamination, filter_audit, fingerprints, html_text, mixing, pii, quality_rules, simhash, suffix_dedup, url_templates, warc
+from bendscape.llm import attention_lm, decontamination, filter_audit, fingerprints, html_text, mixing, pii, prefix_trie, quality_rules, simhash, suffix_dedup, url_templates, warc
 from bendscape.llm.common import WORD, table
 
 
@@ -283,6 +283,48 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.robustness(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of rebuilt conversations."""
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+_OP11 = """
+WITH bytes AS (
+  SELECT i::UBIGINT AS x FROM range(256) r(i)
+), crc AS (
+  SELECT list(list_reduce(list_prepend(x, list_transform(range(8), lambda k: 0::UBIGINT)),
+    lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY x) AS t FROM bytes
+), turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL
+), coded AS (
+  SELECT conv_id, turn, dense_rank() OVER (ORDER BY r, x) AS id, length(x) AS n FROM turns
+), convs AS (
+  SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS s,
+    (SELECT xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT) FROM crc) % 6 AS h
+  FROM coded GROUP BY conv_id
+), built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.s[1:c.h], []), c.s[c.h + 1:]) AS s FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 100
+), starts AS (
+  SELECT conv_id, s[1:d] AS p, d = len(s) AS whole FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT p, len(p) AS depth, min(conv_id) AS conv_id, count(*) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole), '')) AS ends FROM starts GROUP BY p
+), costed AS (
+  SELECT nodes.*, coalesce((nodes.n - 1) * c.n, 0) AS own FROM nodes LEFT JOIN (SELECT DISTINCT id, n FROM coded) c ON c.id = p[depth]
+), children AS (
+  SELECT p[1:depth - 1] AS p, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY 1
+), parts AS (
+  SELECT p[1:d] AS top, own, k IS NULL AS leaf FROM (SELECT c.p, own, k, unnest(range(depth + 1)) AS d FROM costed c LEFT JOIN children USING (p))
+), sums AS (
+  SELECT top AS p, sum(own) AS saved, count(*) FILTER (leaf) AS leaves FROM parts GROUP BY top
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k, 0)::BIGINT AS n_children,
+  leaves AS n_leaves, saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums USING (p) LEFT JOIN children c USING (p) LEFT JOIN nodes u ON n.depth > 0 AND u.p = n.p[1:n.depth - 1]
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes and costs, in every order, for each language."""
     return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
@@ -324,5 +366,5 @@ FROM r
 """
 
 
-QUERIES = {"op13_fingerprints": op13_fingerprints, "op12_filter_audit": op12_filter_audit, "op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules, "quality_ablations": quality_ablations}
-ORACLES = {"op12_filter_audit": _OP12, "op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2, "quality_ablations": _ABLATIONS, "op9_simhash": _OP9, "op10_suffix_dedup": _OP10}
+QUERIES = {"op11_prefix_trie": op11_prefix_trie, "op13_fingerprints": op13_fingerprints, "op12_filter_audit": op12_filter_audit, "op5_attention_lm": op5_attention_lm, "op7_html_text": op7_html_text, "op4_pii": op4_pii, "op8_warc": op8_warc, "op3_url_templates": op3_url_templates, "op6_mixing": op6_mixing, "op1_decontamination": op1_decontamination, "op10_suffix_dedup": op10_suffix_dedup, "op9_simhash": op9_simhash, "op2_quality_rules": op2_quality_rules, "quality_ablations": quality_ablations}
+ORACLES = {"op11_prefix_trie": _OP11, "op12_filter_audit": _OP12, "op8_warc": _OP8, "op6_mixing": _OP6, "op1_decontamination": _OP1, "op2_quality_rules": _OP2, "quality_ablations": _ABLATIONS, "op9_simhash": _OP9, "op10_suffix_dedup": _OP10}
