@@ -283,7 +283,7 @@ def trie(turns: DataFrame, convs: DataFrame, local: int = LOCAL) -> DataFrame:
     finished = cut(_finished(_union(small), blocks))
     out = [finished.drop("top")]
     if rounds:
-        out += [_chains(_union(alone), blocks), _large(rounds, finished.where("top").select(F.col("conv_id").alias("child"), F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved")), _union(ended))]
+        out += [_chains(_union(alone), blocks), _large(rounds, finished.where("top").select(F.col("conv_id").alias("child"), (F.col("depth") - 1).alias("depth"), F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved")), _union(ended))]
     return _union([rows.select(*[f.split()[0] for f in NODE.split(", ")]) for rows in out])
 
 
@@ -295,17 +295,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _large(rounds: list[tuple[DataFrame, DataFrame]], tops: DataFrame, ended: DataFrame) -> DataFrame:
-    """The nodes of large buckets, from the last round to the first: each has what its children's subtrees hold."""
+    """The nodes of large buckets, from the last round to the first: each has what its children's subtrees hold.
+
+    ``tops`` (child, depth of its parent, leaves, saved): the subtrees of small buckets.
+    """
     known, parts = tops, []
     for met, children in reversed(rounds):
-        inner = children.join(known, "child", "left")  # a conversation of its own is one leaf and saves nothing
+        inner = children.join(known, ["child", "depth"], "left")  # a conversation of its own is one leaf and saves nothing
         below = inner.groupBy("b").agg(F.count("*").alias("n_children"), F.sum(F.coalesce("leaves", _long(1))).alias("leaves"), F.sum(F.coalesce("saved", _long(0))).alias("saved"))
         sizes = F.concat(F.array("chars"), "sizes")
         rows = met.join(below, "b", "left").select("b", "d", "n", "parent", "shared", sizes.alias("sizes"), F.coalesce("n_children", _long(0)).alias("n_children"), F.coalesce("leaves", _long(1)).alias("leaves"), F.coalesce("saved", _long(0)).alias("saved"))
         rows = cut(rows)
         parts.append(rows)
         saved = F.col("saved") + (F.col("n") - 1) * F.aggregate("sizes", _long(0), lambda acc, x: acc + x)
-        known = tops.unionByName(rows.select(F.col("b").alias("child"), "leaves", saved.alias("saved")))
+        known = tops.unionByName(rows.select(F.col("b").alias("child"), (F.col("d") - 1).alias("depth"), "leaves", saved.alias("saved")))
     rows = _union(parts).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("shared"))))
     lower = F.aggregate(F.slice("sizes", F.col("j") + 1, F.col("shared") - F.col("j") + 1), _long(0), lambda acc, x: acc + x)
     rows = rows.select(
