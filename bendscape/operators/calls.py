@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bendscape.operators.curvature import CHUNK, chunks
 from bendscape.params import CORE, DEFAULT, HALF, SCORE_CAP, Params
 from bendscape.sources.shared import cut
 
@@ -31,7 +32,8 @@ def calls_overlapping(scores: DataFrame, pieces: DataFrame, roll: str = "active"
         other = F.col("score_active") >= SCORE_CAP
         called, capped = ((score > 0) & (score < SCORE_CAP)) | other, F.when(other, F.lit(SCORE_CAP)).otherwise(score)
     dyad = F.col("pos")
-    found = scores.where(called & (dyad > HALF)).select("seq_id", "piece", dyad.alias("dyad"), (dyad - HALF).alias("start"), (dyad + HALF).alias("end"), score.alias("score"), capped.alias("score_capped"))
+    along = [c for c in ("shift",) if c in scores.columns]
+    found = scores.where(called & (dyad > HALF)).select("seq_id", "piece", *along, dyad.alias("dyad"), (dyad - HALF).alias("start"), (dyad + HALF).alias("end"), score.alias("score"), capped.alias("score_capped"))
     # Symmetry is only defined where a core fits if its window is as wide; else lengths decide.
     if params.bounds == "legacy" and params.reach + 1 + params.symmetry_win >= HALF:
         return found
@@ -39,9 +41,11 @@ def calls_overlapping(scores: DataFrame, pieces: DataFrame, roll: str = "active"
     return found.join(lengths, ["seq_id", "piece"]).where("end < _n").drop("_n")
 
 
-def with_sequence(calls: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``calls`` with ``seq``, the bases of each core."""
-    return calls.join(pieces.select("seq_id", "piece", F.col("seq").alias("_whole")), ["seq_id", "piece"]).withColumn("seq", F.substring(F.col("_whole"), F.col("start") + 1, F.lit(CORE))).drop("_whole")
+def with_sequence(calls: DataFrame, pieces: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``calls`` with ``seq``, the bases of each core, looked up in the chunk that the core begins in."""
+    bodies = chunks(pieces.select("seq_id", "piece", "seq"), 0, CORE - 1, size).select("seq_id", "piece", F.col("a").alias("_a"), F.col("body").alias("_body"))
+    met = calls.withColumn("_a", (F.floor(F.col("start") / size) * size).cast("int")).join(bodies, ["seq_id", "piece", "_a"])
+    return met.withColumn("seq", F.substring(F.col("_body"), F.col("start") - F.col("_a") + 1, F.lit(CORE)).cast("string")).select(*calls.columns, "seq")
 
 
 def calls_greedy(calls: DataFrame, params: Params = DEFAULT, sentinel: bool = True, digits: int = 6, block: int = BLOCK, widest: int = WIDEST) -> DataFrame:

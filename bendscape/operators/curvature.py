@@ -3,8 +3,8 @@
 Everything is computed by one numpy kernel over chunks of pieces. A chunk owns the positions [a, a + CHUNK) of its piece
 and comes with as many bases on both sides as they depend on, so a chromosome is many independent rows and no sort,
 window or shuffle over positions is needed. Distances, and so curvature and symmetry, don't depend on where a chunk's
-coordinates begin and how they are turned. Coordinates and means themselves do: where a piece is cut into chunks, the
-sums of the chunks before go along with each, and nothing is joined or shuffled for that.
+coordinates begin and how they are turned. Coordinates and means themselves do: there each chunk's own turn and steps are
+summed first, in all tasks; these sums, one row a chunk, are scanned along the piece, and each chunk gets what lies before.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,18 +44,23 @@ def taps(params: Params) -> np.ndarray:
     return np.cumsum(on_x[::-1])[::-1][1:]
 
 
-def chunks(pieces: DataFrame, left: int, right: int, size: int = CHUNK, spread: int | None = None) -> DataFrame:
-    """(seq_id, piece, n, a, from, body): the chunks of pieces, each with the bases around it.
+def chunks(pieces: DataFrame, left: int, right: int, size: int = CHUNK, spread: int | None = None, ordered: bool = False) -> DataFrame:
+    """(seq_id, piece, n, a, from, body): the chunks of pieces, each with the bases around it; with ``shift`` if pieces have it.
 
-    ``spread``: deal the chunks over that many partitions, for few and long sequences.
+    ``spread``: deal the chunks over that many partitions, for few and long sequences. ``ordered``: deal them by ranges of
+    (seq_id, piece, a) instead and sort them, so that what is made of them comes in order.
     """
     # Of bytes, unlike of text, a slice is taken without a walk from the start; they are made once for a piece.
     start = lambda a: F.greatest(F.lit(0), a - left)
     body = lambda b, a: F.substring(b, start(a) + 1, a - start(a) + size + right)
     slices = lambda b: F.transform(F.sequence(F.lit(0), F.octet_length(b) - 1, F.lit(size)), lambda a: F.struct(F.octet_length(b).alias("n"), a.alias("a"), start(a).alias("from"), body(b, a).alias("body")))
     found = F.transform(F.array(F.col("seq").cast("binary")), lambda b: slices(b))[0]
+    names = ["seq_id", "piece", *(c for c in ("shift",) if c in pieces.columns)]
     # The length goes in with each slice, since a column beside them would take the whole sequence along to each.
-    out = pieces.where(F.length("seq") > 0).select("seq_id", "piece", F.explode(found).alias("_c")).select("seq_id", "piece", "_c.*")
+    out = pieces.where(F.length("seq") > 0).select(*names, F.explode(found).alias("_c")).select(*names, "_c.*")
+    if ordered:
+        spread = spread or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return out.repartitionByRange(spread, "seq_id", "piece", "a").sortWithinPartitions("seq_id", "piece", "a")
     return out.repartition(spread, "seq_id", "piece", "a") if spread else out
 
 
@@ -81,8 +86,8 @@ _CODES = np.full(256, -1, dtype=np.int64)
 _CODES[[ord(b) for b in "ATGC"]] = range(4)
 
 
-def track(n: np.ndarray, a: np.ndarray, start: np.ndarray, bodies: pa.Array, size: int, kinds: tuple[str, ...], matrices: Matrices, params: Params) -> Track:
-    """Steps (dx, dy) of every triplet of a batch of chunks."""
+def track(n: np.ndarray, a: np.ndarray, start: np.ndarray, bodies: pa.Array, size: int, kinds: tuple[str, ...], matrices: Matrices, params: Params, part: pa.RecordBatch | None = None) -> Track:
+    """Steps (dx, dy) of every triplet of a batch of chunks. ``part`` names their sequences in errors."""
     whole = bodies.cast(pa.large_binary())
     _, offsets, data = whole.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
@@ -92,7 +97,9 @@ def track(n: np.ndarray, a: np.ndarray, start: np.ndarray, bodies: pa.Array, siz
     row = np.repeat(np.arange(len(length)), length)
     pos = np.arange(len(codes)) - first[:-1][row] + start[row]
     if (codes < 0).any():
-        raise ValueError(f"Error: triplet must be of length 3; base {pos[int(np.argmax(codes < 0))]} of a piece is none of A, T, G and C")
+        bad = int(np.argmax(codes < 0))
+        of = f"piece {part.column(1)[int(row[bad])]} of sequence {part.column(0)[int(row[bad])]}" if part is not None else "a piece"
+        raise ValueError(f"Error: triplet must be of length 3; base {pos[bad]} of {of} is none of A, T, G and C")
     index = np.zeros(len(codes), dtype=np.int64)
     index[:-2] = 16 * codes[:-2] + 4 * codes[1:-1] + codes[2:]
     ok = pos + 2 < np.minimum(start + length, n)[row]
@@ -131,13 +138,19 @@ def curved(t: Track, params: Params) -> np.ndarray:
 def emit(rows: DataFrame, columns: dict[str, str], make, size: int = CHUNK) -> DataFrame:
     """(seq_id, piece, pos, columns...): runs ``make(n, a, from, bodies, batch)`` over batches of chunks.
 
-    ``make`` returns (row of the batch, pos, {column: values}).
+    ``make`` returns (row of the batch, pos, {column: values}). ``shift`` goes along, after ``pos``, if chunks have it. Rows
+    come in the order of the chunks.
     """
     schema = T.StructType([rows.schema["seq_id"], rows.schema["piece"]]).add("pos", T.IntegerType())
+    along = [c for c in ("shift",) if c in rows.columns]
+    for name in along:
+        schema.add(rows.schema[name])
     for name, kind in columns.items():
         schema.add(name, kind)
     names = schema.names
-    order = ["seq_id", "piece", "n", "a", "from", "body", *[c for c in rows.columns if c not in ("seq_id", "piece", "n", "a", "from", "body")]]
+    order = ["seq_id", "piece", "n", "a", "from", "body"]
+    order += [c for c in rows.columns if c not in order]
+    places = [order.index(c) for c in along]
     step = 1 << 20
 
     def run(batches):
@@ -151,20 +164,20 @@ def emit(rows: DataFrame, columns: dict[str, str], make, size: int = CHUNK) -> D
                 row, pos, values = make(*number, part.column(5), part)
                 if len(row):
                     ids = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(ids), part.column(1).take(ids), pa.array(pos.astype(np.int32)), *[pa.array(values[c]) for c in columns]], names=names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k).take(ids) for k in (0, 1)), pa.array(pos.astype(np.int32)), *(part.column(k).take(ids) for k in places), *[v if isinstance(v := values[c], pa.Array) else pa.array(v) for c in columns]], names=names)
                 i = j
 
     return rows.select(*order).mapInArrow(run, schema)
 
 
-def _local(pieces: DataFrame, columns: tuple[str, ...] | dict[str, str], halo: int, make, matrices: Matrices, params: Params, kinds: tuple[str, ...], spread: int | None, size: int) -> DataFrame:
-    def run(n, a, start, bodies, _):
-        t = track(n, a, start, bodies, size, kinds, matrices, params)
+def _local(pieces: DataFrame, columns: tuple[str, ...] | dict[str, str], halo: int, make, matrices: Matrices, params: Params, kinds: tuple[str, ...], spread: int | None, size: int, ordered: bool = False) -> DataFrame:
+    def run(n, a, start, bodies, part):
+        t = track(n, a, start, bodies, size, kinds, matrices, params, part)
         keep, values = make(t)
         keep = np.flatnonzero(keep & t.owned)
         return t.row[keep], t.pos[keep], {c: values[c][keep] for c in columns}
 
-    return emit(chunks(pieces, halo, halo, size, spread), columns if isinstance(columns, dict) else dict.fromkeys(columns, "double"), run, size)
+    return emit(chunks(pieces, halo, halo, size, spread, ordered), columns if isinstance(columns, dict) else dict.fromkeys(columns, "double"), run, size)
 
 
 def euc_dist(pieces: DataFrame, roll: str = "simple", params: Params = DEFAULT, matrices: Matrices = BUILTIN, spread: int | None = None, size: int = CHUNK) -> DataFrame:
@@ -182,8 +195,8 @@ def curvature(pieces: DataFrame, roll: str = "simple", params: Params = DEFAULT,
     return _local(pieces, ("dist", "curv"), params.reach + 2, make, matrices, params, (roll,), spread, size)
 
 
-def curvature_dual(pieces: DataFrame, params: Params = DEFAULT, matrices: Matrices = BUILTIN, spread: int | None = None, size: int = CHUNK, base: bool = False) -> DataFrame:
-    """(seq_id, piece, pos, curv_active, curv_simple) from one pass; with ``base``, the base there too."""
+def curvature_dual(pieces: DataFrame, params: Params = DEFAULT, matrices: Matrices = BUILTIN, spread: int | None = None, size: int = CHUNK, base: bool = False, ordered: bool = False) -> DataFrame:
+    """(seq_id, piece, pos, curv_active, curv_simple) from one pass; with ``base``, the base there too; ``ordered``: by place."""
     kinds = ("active", "simple")
 
     def make(t: Track):
@@ -191,7 +204,7 @@ def curvature_dual(pieces: DataFrame, params: Params = DEFAULT, matrices: Matric
         return curved(t, params), found | ({"base": np.array(list(BASES), dtype=object)[t.codes]} if base else {})
 
     columns = {"curv_active": "double", "curv_simple": "double"} | ({"base": "string"} if base else {})
-    return _local(pieces, columns, params.reach + 2, make, matrices, params, kinds, spread, size)
+    return _local(pieces, columns, params.reach + 2, make, matrices, params, kinds, spread, size, ordered)
 
 
 # ---------------------------------------------------------------- what has an origin
@@ -199,47 +212,26 @@ def curvature_dual(pieces: DataFrame, params: Params = DEFAULT, matrices: Matric
 def _placed_chunks(pieces: DataFrame, halo: int, roll: str, matrices: Matrices, params: Params, size: int, spread: int | None) -> DataFrame:
     """Chunks with turn, x0 and y0: how far the coordinates before a chunk have turned and come.
 
-    Of a piece with more than one chunk, sums are added up chunk by chunk while it is cut.
+    A scan in two levels over (turn, x, y), where a chunk's steps are turned by all the turn before it. Each chunk is
+    summed on its own; the sums, a row a chunk, are added along the piece. Of a piece with one chunk nothing is summed.
     """
-    schema = T.StructType([pieces.schema["seq_id"], pieces.schema["piece"]]).add("n", "integer").add("a", "integer").add("from", "integer").add("body", "binary")
-    for name in ("turn", "x0", "y0"):
-        schema.add(name, "double")
-
-    def cut(seq: bytes):
-        n, turn, x, y = len(seq), 0.0, 0.0, 0.0
-        for a in range(0, n, size):
-            start = max(0, a - halo)
-            body = seq[start : a + size + halo]
-            yield n, a, start, body, turn, x, y
-            if n > size:
-                t = track(np.array([n]), np.array([a]), np.array([start]), pa.array([body], pa.binary()), size, (roll,), matrices, params)
-                dx, dy = (float(d[roll][t.owned].sum()) for d in (t.dx, t.dy))
-                c, s = np.cos(turn), np.sin(turn)
-                x, y = x + dx * c + dy * s, y + dy * c - dx * s
-                turn += float(t.twist[t.owned].sum())
-
-    def run(batches):
-        for batch in batches:
-            rows, out, held = [], [[] for _ in range(7)], 0
-
-            def done():
-                at = pa.array(rows, pa.int64())
-                types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
-                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=schema.names)  # noqa: B023
 
-            for i, seq in enumerate(batch.column(2)):
-                for chunk in cut(seq.as_py()):
-                    rows.append(i)
-                    for column, value in zip(out, chunk, strict=True):
-                        column.append(value)
-                    held += len(chunk[3])
-                    if held > 1 << 22:
-                        yield done()
-                        rows, out, held = [], [[] for _ in range(7)], 0
-            yield done()
+    def sums(n, a, start, bodies, part):
+        t = track(n, a, start, bodies, size, (roll,), matrices, params, part)
+        total = lambda v: np.bincount(t.row[t.owned], weights=v[t.owned], minlength=len(n))
+        return np.arange(len(n)), a, {"turn": total(t.twist), "dx": total(t.dx[roll]), "dy": total(t.dy[roll])}
 
-    rows = pieces.where(F.length("seq") > 0).select("seq_id", "piece", F.col("seq").cast("binary")).mapInArrow(run, schema)
-    return rows.repartition(spread, "seq_id", "piece", "a") if spread else rows
+    names = ("seq_id", "piece", "pos")
+    long = chunks(pieces.where(F.length("seq") > size).select("seq_id", "piece", "seq"), 4, 4, size, spread)
+    own = emit(long, {"turn": "double", "dx": "double", "dy": "double"}, sums, size)
+    before = Window.partitionBy("seq_id", "piece").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    gone = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    turned = own.withColumn("_turn", gone("turn"))
+    c, s = F.cos("_turn"), F.sin("_turn")
+    turned = turned.select(*names, "_turn", (F.col("dx") * c + F.col("dy") * s).alias("_x"), (F.col("dy") * c - F.col("dx") * s).alias("_y"))
+    placed = turned.select("seq_id", "piece", F.col("pos").alias("a"), F.col("_turn").alias("turn"), gone("_x").alias("x0"), gone("_y").alias("y0"))
+    rows = chunks(pieces, halo, halo, size, spread).join(placed, ["seq_id", "piece", "a"], "left")
+    return rows.withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("turn", "x0", "y0")})
 
 
 def _walked(t: Track, roll: str, part: pa.RecordBatch, turn: np.ndarray, x0: np.ndarray, y0: np.ndarray):
@@ -283,8 +275,8 @@ def _placed(pieces, columns, halo, make, roll, params, matrices, spread, size) -
     rows = _placed_chunks(pieces, halo, roll, matrices, params, size, spread)
 
     def run(n, a, start, bodies, part):
-        t = track(n, a, start, bodies, size, (roll,), matrices, params)
-        turn, x0, y0 = (np.asarray(part.column(k)) for k in (6, 7, 8))
+        t = track(n, a, start, bodies, size, (roll,), matrices, params, part)
+        turn, x0, y0 = (np.asarray(part.column(k)) for k in ("turn", "x0", "y0"))
         keep, values = make(t, *_walked(t, roll, part, turn, x0, y0))
         keep = np.flatnonzero(keep & t.owned)
         return t.row[keep], t.pos[keep], {c: values[c][keep] for c in columns}
@@ -298,8 +290,8 @@ def triplet_params(pieces: DataFrame, roll: str = "simple", params: Params = DEF
     columns = ("roll", "twist", "twist_sum", "dx", "dy")
 
     def run(n, a, start, bodies, part):
-        t = track(n, a, start, bodies, size, (roll,), matrices, params)
-        turn = np.asarray(part.column(6))[t.row]
+        t = track(n, a, start, bodies, size, (roll,), matrices, params, part)
+        turn = np.asarray(part.column("turn"))[t.row]
         c, s = np.cos(turn), np.sin(turn)
         dx, dy = t.dx[roll], t.dy[roll]
         values = {"roll": t.roll[roll], "twist": t.twist, "twist_sum": turn + t.angle, "dx": dx * c + dy * s, "dy": dy * c - dx * s}

@@ -79,18 +79,18 @@ def _halo(params: Params, more: int = 0) -> int:
     return params.reach + params.half_window + 3 + more
 
 
-def symmetry(pieces: DataFrame, rolls: tuple[str, ...] = ("active", "simple"), params: Params = DEFAULT, matrices: Matrices = BUILTIN, runsum: bool = False, spread: int | None = None, size: int = CHUNK) -> DataFrame:
+def symmetry(pieces: DataFrame, rolls: tuple[str, ...] = ("active", "simple"), params: Params = DEFAULT, matrices: Matrices = BUILTIN, runsum: bool = False, spread: int | None = None, size: int = CHUNK, ordered: bool = False) -> DataFrame:
     """(seq_id, piece, pos, and sym_sum, weight and score of each roll) at all dyads.
 
     ``runsum``: instead (seq_id, piece, pos, runsum of each roll), the sums of scores over the bases of a core, for the
-    bases from 1 up to one behind the last dyad.
+    bases from 1 up to one behind the last dyad. ``ordered``: rows come by place.
     """
     names = ("runsum",) if runsum else ("sym_sum", "weight", "score")
     columns = [f"{m}_{k}" for k in rolls for m in names]
     halo = _halo(params, HALF if runsum else 0)
 
-    def run(n, a, start, bodies, _):
-        t = track(n, a, start, bodies, size, rolls, matrices, params)
+    def run(n, a, start, bodies, part):
+        t = track(n, a, start, bodies, size, rolls, matrices, params, part)
         at = dyads(t, params)
         values, keep = {}, at & t.owned
         if runsum:
@@ -104,7 +104,24 @@ def symmetry(pieces: DataFrame, rolls: tuple[str, ...] = ("active", "simple"), p
         keep = np.flatnonzero(keep)
         return t.row[keep], t.pos[keep], {c: values[c][keep] for c in columns}
 
-    return emit(chunks(pieces, halo, halo, size, spread), dict.fromkeys(columns, "double"), run, size)
+    return emit(chunks(pieces, halo, halo, size, spread, ordered), dict.fromkeys(columns, "double"), run, size)
+
+
+def symmetry_averages(pieces: DataFrame, rolls: tuple[str, ...] = ("active", "simple"), params: Params = DEFAULT, matrices: Matrices = BUILTIN, spread: int | None = None, size: int = CHUNK) -> DataFrame:
+    """What :func:`symmetry_avg` makes of scores, but straight from the bases: a chunk gives one row of sums."""
+    halo, edge = _halo(params), params.reach + 1
+
+    def run(n, a, start, bodies, part):
+        t = track(n, a, start, bodies, size, rolls, matrices, params, part)
+        at = np.flatnonzero(dyads(t, params) & t.owned)
+        total = lambda v: np.bincount(t.row[at], weights=v, minlength=len(n))
+        values = {f"sum_{k}": total(measures(t, k, params)["score"][at]) for k in rolls}
+        return np.arange(len(n)), a, values | {"n": n.astype(np.int32), "dyads": np.bincount(t.row[at], minlength=len(n))}
+
+    kinds = {f"sum_{k}": "double" for k in rolls} | {"n": "integer", "dyads": "long"}
+    sums = emit(chunks(pieces, halo, halo, size, spread), kinds, run, size).groupBy("seq_id", "piece")
+    sums = sums.agg(F.max("n").alias("n"), F.sum("dyads").alias("dyads"), *[F.sum(f"sum_{k}").alias(f"sum_{k}") for k in rolls]).where(F.col("n") > 2 * edge)
+    return sums.select("seq_id", "piece", "n", *[F.when(F.col("dyads") > 0, F.col(f"sum_{k}") / (F.col("n") - edge)).alias(f"avg_{k}") for k in rolls])
 
 
 def symmetry_avg(scores: DataFrame, pieces: DataFrame, rolls: tuple[str, ...] = ("active", "simple"), params: Params = DEFAULT) -> DataFrame:

@@ -1,8 +1,10 @@
-"""The whole analysis of a table of sequences, as lazy tables."""
+"""The whole analysis of a table of sequences, as tables that are made when they are asked for."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import copy
+from collections.abc import Callable, Mapping
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,28 +13,84 @@ from bendscape.functions import bases
 from bendscape.functions.matrices import BUILTIN, Matrices
 from bendscape.operators import calls, curvature, pieces, symmetry
 from bendscape.params import DEFAULT, Params
+from bendscape.sources.shared import cut
+
+ROLLS = ("active", "simple")
+
+
+class _ByRoll(Mapping):
+    """A table for each matrix, made when it is first asked for."""
+
+    def __init__(self, make: Callable[[str], DataFrame]):
+        self._make, self._made = make, {}
+
+    def __getitem__(self, roll: str) -> DataFrame:
+        if roll not in ROLLS:
+            raise KeyError(roll)
+        if roll not in self._made:
+            self._made[roll] = self._make(roll)
+        return self._made[roll]
+
+    def __iter__(self):
+        return iter(ROLLS)
+
+    def __len__(self) -> int:
+        return len(ROLLS)
 
 
-@dataclass(frozen=True)
 class Analysis:
-    """``shift`` (seq_id, piece, shift) tells what to add to a place in a piece to get its published position."""
+    """Tables of an analysis. Only ``final`` runs jobs when it is asked for, as the greedy choice goes in rounds.
+
+    ``shift`` in all of them is what to add to a place in a piece to get its published position.
+    """
 
-    pieces: DataFrame
-    shift: DataFrame
-    curvature: DataFrame
-    scores: DataFrame
-    runsums: DataFrame
-    averages: DataFrame
-    initial: dict[str, DataFrame]
-    final: dict[str, DataFrame]
+    def __init__(self, pieces: DataFrame, params: Params = DEFAULT, matrices: Matrices = BUILTIN, legacy_bug: bool = False, spread: int | None = None, in_order: bool = False):
+        self.pieces, self.params, self.matrices, self.legacy_bug = pieces, params, matrices, legacy_bug
+        self._dealt = {"params": params, "matrices": matrices, "spread": spread, "ordered": in_order}
+
+    @cached_property
+    def curvature(self) -> DataFrame:
+        return curvature.curvature_dual(self.pieces, base=True, **self._dealt)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return symmetry.symmetry(self.pieces, **self._dealt)
+
+    @cached_property
+    def runsums(self) -> DataFrame:
+        return symmetry.symmetry(self.pieces, runsum=True, **self._dealt)
+
+    @cached_property
+    def averages(self) -> DataFrame:
+        return symmetry.symmetry_averages(self.pieces, params=self.params, matrices=self.matrices, spread=self._dealt["spread"])
+
+    @cached_property
+    def initial(self) -> Mapping[str, DataFrame]:
+        return _ByRoll(lambda k: calls.calls_overlapping(self.scores, self.pieces, k, self.params, self.legacy_bug))
+
+    @cached_property
+    def final(self) -> Mapping[str, DataFrame]:
+        return _ByRoll(lambda k: calls.calls_greedy(self.initial[k], self.params))
 
     def published(self, rows: DataFrame, place: str = "pos") -> DataFrame:
         """``rows`` with ``position``: the place in the sequence, from 0, plus the sequence's offset."""
-        return rows.join(self.shift, ["seq_id", "piece"]).withColumn("position", F.col(place) + F.col("shift")).drop("shift")
+        return rows.withColumn("position", F.col(place) + F.col("shift")).drop("shift")
+
+    def ordered(self) -> Analysis:
+        """The same with curvature, scores and sums in the order of sequence and place, each dealt by ranges of chunks."""
+        return Analysis(self.pieces, self.params, self.matrices, self.legacy_bug, self._dealt["spread"], True)
+
+    def stored(self) -> Analysis:
+        """The same with its scores kept in the shared folder, for several tables made from them; runs a job."""
+        out = copy.copy(self)
+        for name in ("initial", "final"):
+            out.__dict__.pop(name, None)
+        out.scores = cut(self.scores)
+        return out
 
 
 def analyse(sequences: DataFrame, params: Params = DEFAULT, matrices: Matrices = BUILTIN, n_policy: str = "split", legacy_bug: bool = False, spread: int | None = None) -> Analysis:
-    """Curvature, symmetry and calls of (seq_id, offset, strand, seq).
+    """Curvature, symmetry and calls of (seq_id, offset, strand, seq). Runs no job.
 
     Sequences are read along their strand in upper case. ``n_policy``: ``split`` them at unknown bases, or take every
     sign that is no base ``to_a``. With ``split`` other signs than A, C, G, T and N are unknown too. Chunks are dealt over
@@ -44,17 +102,5 @@ def analyse(sequences: DataFrame, params: Params = DEFAULT, matrices: Matrices =
     upper = F.translate(F.regexp_replace("seq", r"\s", ""), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     clean = bases.normalize_seq(F.col("seq")) if n_policy == "to_a" else F.regexp_replace(upper, "[^ACGT]", "N")
     ready = sequences.select("seq_id", "offset", bases.on_strand(clean, F.col("strand")).alias("seq"))
-    split = pieces.split_by_n(ready, ("seq_id", "offset"))
-    shift = split.select("seq_id", "piece", (F.col("start") - 1 + F.col("offset")).alias("shift"))
-    cut = split.drop("offset")
-    scores = symmetry.symmetry(cut, params=params, matrices=matrices, spread=spread)
-    initial = {k: calls.calls_overlapping(scores, cut, k, params, legacy_bug) for k in ("active", "simple")}
-    return Analysis(
-        cut, shift,
-        curvature.curvature_dual(cut, params, matrices, spread, base=True),
-        scores,
-        symmetry.symmetry(cut, params=params, matrices=matrices, runsum=True, spread=spread),
-        symmetry.symmetry_avg(scores, cut, params=params),
-        initial,
-        {k: calls.calls_greedy(v, params) for k, v in initial.items()},
-    )
+    split = pieces.split_by_n(ready, ("seq_id", "offset")).withColumn("shift", F.col("start") - 1 + F.col("offset"))
+    return Analysis(split.drop("offset"), params, matrices, legacy_bug, spread)

@@ -271,7 +271,7 @@ def symmetry_runsum(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT seq_id, piece, length(seq)::INT AS n, {_R('a / (length(seq) - 21)', 'avg_active')}, {_R('s / (length(seq) - 21)', 'avg_simple')}
 FROM pieces LEFT JOIN t USING (seq_id, piece) WHERE length(seq) > 42""")
 def symmetry_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(symmetry.symmetry_avg(_scores(spark, sf_dir), all_pieces(spark, sf_dir)))
+    return shown(symmetry.symmetry_averages(all_pieces(spark, sf_dir)))
 
 
 _CALL_COLUMNS = f'seq_id, piece, dyad, start, "end", {_R("score", "score")}, {_R("score_capped", "score_capped")}'

@@ -13,48 +13,51 @@ from bendscape.params import DEFAULT, Params
 from bendscape.plans.analysis import Analysis
 
 
-def _tsv(rows: DataFrame, path: str, *columns: Column | str, order: tuple[str, ...] = ("seq_id", "position")) -> None:
-    rows.orderBy(*order).select(*columns).write.option("sep", "\t").option("quote", "").option("escapeQuotes", "false").option("emptyValue", "").csv(path)
+def _tsv(rows: DataFrame, path: str, *columns: Column | str) -> None:
+    rows.select(*columns).write.option("sep", "\t").option("quote", "").option("escapeQuotes", "false").option("emptyValue", "").csv(path)
 
 
 def write_curvature(found: Analysis, path: str) -> None:
     """Title, position, base, curvature by both matrices."""
-    _tsv(found.published(found.curvature), path, "seq_id", "position", "base", "curv_active", "curv_simple")
+    _tsv(found.published(found.ordered().curvature), path, "seq_id", "position", "base", "curv_active", "curv_simple")
 
 
 def write_symmetry(found: Analysis, path: str) -> None:
     """Title, position, score by both matrices."""
-    _tsv(found.published(found.scores), path, "seq_id", "position", "score_active", "score_simple")
+    _tsv(found.published(found.ordered().scores), path, "seq_id", "position", "score_active", "score_simple")
 
 
 def write_averages(found: Analysis, sequences: DataFrame, path: str, params: Params = DEFAULT) -> None:
     """``title:offset:strand:bases`` and the average score by both matrices; bases count up to the last with a curvature."""
     rows = found.averages.join(sequences.select("seq_id", "offset", "strand"), "seq_id")
     name = F.concat_ws(":", F.col("seq_id").cast("string"), F.col("offset").cast("string"), "strand", (F.col("n") - (params.reach + 1)).cast("string"))
-    _tsv(rows, path, name, "avg_active", "avg_simple", order=("seq_id", "piece"))
+    _tsv(rows.orderBy("seq_id", "piece"), path, name, "avg_active", "avg_simple")
 
 
 def write_runsums(found: Analysis, path: str) -> None:
     """Title, position, sums of scores over a core by both matrices."""
-    _tsv(found.published(found.runsums), path, "seq_id", "position", "runsum_active", "runsum_simple")
+    _tsv(found.published(found.ordered().runsums), path, "seq_id", "position", "runsum_active", "runsum_simple")
 
 
 def write_gff(found: Analysis, path: str, roll: str = "active", final: bool = False, one_based: bool = False) -> None:
     """Calls by one matrix: all of them, or (``final``) those that keep their distance."""
-    rows = (found.final if final else found.initial)[roll]
-    rows = calls.with_sequence(rows, found.pieces).join(found.shift, ["seq_id", "piece"])
-    lines = calls.gff_lines(rows.withColumn("_shift", F.col("shift")), roll, final, F.col("shift"), one_based)
+    rows = calls.with_sequence((found.final if final else found.initial)[roll], found.pieces)
+    lines = calls.gff_lines(rows, roll, final, F.col("shift"), one_based)
     lines.orderBy("seq_id", "piece", "dyad").select("line").write.text(path)
 
 
 def write_bedgraph(found: Analysis, path: str, value: str = "curv_simple", track: DataFrame | None = None) -> None:
-    """Title, start, end (from 0, half open) and value of each base of a track, by default curvature."""
-    rows = found.published(found.curvature if track is None else track)
+    """Title, start, end (from 0, half open) and value of each base of a track, by default curvature.
+
+    A track of one's own is written in the order that it has.
+    """
+    rows = found.published(found.ordered().curvature if track is None else track)
     _tsv(rows, path, "seq_id", "position", (F.col("position") + 1).alias("end"), value)
 
 
 def write_all(found: Analysis, sequences: DataFrame, folder: str, params: Params = DEFAULT) -> None:
-    """All eight outputs, under their usual names."""
+    """All eight outputs, under their usual names. Calls share scores that are kept first."""
+    found = found.stored()
     write_curvature(found, f"{folder}/out_curv.dat")
     write_symmetry(found, f"{folder}/out_symmetry.dat")
     write_averages(found, sequences, f"{folder}/out_symmetry_aggr.dat", params)
