@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bendscape.functions import bases, matrices
 from bendscape.operators import calls, curvature, pieces, symmetry
 from bendscape.plans import analysis
-from bendscape.sources import fasta, shared, sinks
+from bendscape.sources import bigwig, fasta, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -382,6 +382,17 @@ def sink_bedgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _track(spark, path, "seq_id long, position long, end long, curv_simple double")
 
 
+@query(f"""WITH {_CURVED} SELECT seq_id::VARCHAR AS chrom, {_POSITION}, (pos + start + seq_id)::BIGINT AS "end", round((0.33335 * ds)::FLOAT::DOUBLE, 4) + 0.0 AS value
+FROM curved JOIN pieces USING (seq_id, piece)""")
+def sink_bigwig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values have single precision in the file."""
+    path = shared.new_folder(spark, "track") + ".bw"
+    rows, found = _analysed(spark, sf_dir)
+    sinks.write_bigwig(found, rows, path)
+    back = bigwig.read_bigwig(spark, path)
+    return back.select("chrom", F.col("start").alias("position"), "end", (F.round(F.col("value").cast("double"), 4) + F.lit(0.0)).alias("value"))
+
+
 def _gff(roll: str, final: bool):
     """The query of a GFF file: its lines, read back."""
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +30,31 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def local_path(path: str) -> str:
+    """The path of a file that is read or written by place, not only from its start to its end."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme == "file":
+        return "/" + rest.lstrip("/")
+    if colon and rest.startswith("//"):
+        raise ValueError(f"{path}: a folder is needed that the driver and all executors share and can write at any place")
+    return path
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``number``, the place of each row by ``order``, from 0.
+
+    Rows are sorted by range and kept; only how many each range has goes to the driver.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    kept = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before, sizes = 0, {}
+    for part, n in sorted((r._part, r["count"]) for r in kept.groupBy("_part").count().collect()):
+        sizes[part] = before
+        before += n
+    if not sizes:
+        return kept.withColumn("number", F.col("_at")).drop("_part", "_at")
+    first = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in sizes.items() for x in pair]), F.col("_part").cast("long"))
+    return kept.withColumn("number", F.col("_at") + first).drop("_part", "_at")

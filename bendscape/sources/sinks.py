@@ -1,6 +1,6 @@
-"""Writers of tracks (tab-separated values, bedGraph) and calls (GFF).
+"""Writers of tracks (tab-separated values, bedGraph, bigWig) and calls (GFF).
 
-Each writes a folder of part files with Spark's writers; the parts, in the order of their names, are the file.
+bigWig is one file. All others write a folder of part files with Spark's writers; the parts, in the order of their names, are the file.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bendscape.operators import calls
 from bendscape.params import DEFAULT, Params
 from bendscape.plans.analysis import Analysis
+from bendscape.sources import bigwig
 
 
 def _tsv(rows: DataFrame, path: str, *columns: Column | str) -> None:
@@ -55,6 +56,23 @@ def write_bedgraph(found: Analysis, path: str, value: str = "curv_simple", track
     _tsv(rows, path, "seq_id", "position", (F.col("position") + 1).alias("end"), value)
 
 
+def sizes(sequences: DataFrame) -> DataFrame:
+    """(seq_id, size): where each sequence ends, with its offset."""
+    return sequences.select("seq_id", (F.length(F.regexp_replace("seq", r"\s", "")) + F.col("offset")).cast("long").alias("size"))
+
+
+def write_sizes(sequences: DataFrame, path: str) -> None:
+    """Title and size of each sequence, as converters of bedGraph files need them."""
+    _tsv(sizes(sequences).orderBy("seq_id"), path, "seq_id", "size")
+
+
+def write_bigwig(found: Analysis, sequences: DataFrame, path: str, value: str = "curv_simple", track: DataFrame | None = None) -> None:
+    """A track, by default curvature, as one bigWig file."""
+    rows = found.published(found.curvature if track is None else track)
+    rows = rows.select(F.col("seq_id").alias("chrom"), F.col("position").alias("start"), (F.col("position") + 1).alias("end"), F.col(value).alias("value"))
+    bigwig.write_bigwig(rows, sizes(sequences).withColumnRenamed("seq_id", "chrom"), path)
+
+
 def write_all(found: Analysis, sequences: DataFrame, folder: str, params: Params = DEFAULT) -> None:
     """All eight outputs, under their usual names. Calls share scores that are kept first."""
     found = found.stored()
