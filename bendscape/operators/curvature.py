@@ -48,8 +48,11 @@ def chunks(pieces: DataFrame, left: int, right: int, size: int = CHUNK, spread:
     """(seq_id, piece, n, a, from, body): the chunks of pieces, each with the bases around it; with ``shift`` if pieces have it.
 
     ``spread``: deal the chunks over that many partitions, for few and long sequences. ``ordered``: deal them by ranges of
-    (seq_id, piece, a) instead and sort them, so that what is made of them comes in order.
+    (seq_id, piece, a) instead and sort them, so that what is made of them comes in order. A store of blocks
+    (:mod:`bendscape.sources.store`) cuts its own.
     """
+    if not isinstance(pieces, DataFrame):
+        return pieces.as_chunks(left, right, size, spread, ordered)
     # Of bytes, unlike of text, a slice is taken without a walk from the start; they are made once for a piece.
     start = lambda a: F.greatest(F.lit(0), a - left)
     body = lambda b, a: F.substring(b, start(a) + 1, a - start(a) + size + right)
@@ -108,7 +111,7 @@ def track(n: np.ndarray, a: np.ndarray, start: np.ndarray, bodies: pa.Array, siz
         angle = (pos - a[row] + 1) * one
     else:
         total = np.cumsum(twist)
-        before = np.append(0.0, total)[first[:-1] + (a - start)]
+        before = np.append(0.0, total)[first[:-1] + np.maximum(a - start, 0)]
         angle = total - before[row]
     sin, cos = np.sin(angle), np.cos(angle)
     tilt = matrices.tilt[index]
@@ -218,7 +221,7 @@ def _placed_chunks(pieces: DataFrame, halo: int, roll: str, matrices: Matrices,
 
     def sums(n, a, start, bodies, part):
         t = track(n, a, start, bodies, size, (roll,), matrices, params, part)
-        total = lambda v: np.bincount(t.row[t.owned], weights=v[t.owned], minlength=len(n))
+        total = lambda v: np.bincount(t.row[t.owned], weights=v[t.owned], minlength=len(n)).astype(float)
         return np.arange(len(n)), a, {"turn": total(t.twist), "dx": total(t.dx[roll]), "dy": total(t.dy[roll])}
 
     names = ("seq_id", "piece", "pos")

@@ -114,7 +114,7 @@ def symmetry_averages(pieces: DataFrame, rolls: tuple[str, ...] = ("active", "si
     def run(n, a, start, bodies, part):
         t = track(n, a, start, bodies, size, rolls, matrices, params, part)
         at = np.flatnonzero(dyads(t, params) & t.owned)
-        total = lambda v: np.bincount(t.row[at], weights=v, minlength=len(n))
+        total = lambda v: np.bincount(t.row[at], weights=v, minlength=len(n)).astype(float)
         values = {f"sum_{k}": total(measures(t, k, params)["score"][at]) for k in rolls}
         return np.arange(len(n)), a, values | {"n": n.astype(np.int32), "dyads": np.bincount(t.row[at], minlength=len(n))}
 
