@@ -1,17 +1,21 @@
-"""Main text of web pages, by differencing each page against the page with the nearest URL.
+"""Main text of web pages, by differencing each page against the pages with the nearest URLs.
 
 Each page is cut into text lines, one for each block, with the region that it stands in. Pages of a host whose lines are
 all equal are one page here. Pages are ordered by (host, path) and held against the up to ``REACH`` pages before and behind
-of the same host, the one whose path has most in common from the start first (then the closer one, then the one before).
-Their lines are aligned by longest common subsequence, and lines in the alignment are shared. A page that shares more than
-half of the text in long lines (over ``LONG`` characters) is a copy with changes, not a page of the same template, and the
-next one is taken; if there is none, nothing is shared.
-
-What goes: where a page marks no article, every shared line. In an ``article`` or ``main`` element, shared lines at its
-edges, before the first and behind the last line of its own, that are no sentence (up to ``SHORT`` words and no full stop,
-exclamation or question mark at the end); a shared line between own lines is a quotation, a shared sentence the article's.
-And whatever else the difference says: lines outside of a page's articles, and menus, forms, asides, notices, adverts,
-reader comments, headers and footers that are marked as such, since such lines may differ from page to page.
+of the same host; the one whose path has most in common from the start is the nearest (then the closer one, then the one
+before). Lines are aligned by longest common subsequence with each of the ``VOTERS`` nearest, but for a page that shares more
+than half of the text in long lines (over ``LONG`` characters): that is a copy with changes, not a page of the same template.
+A line is shared if at least half of these pages have it in the alignment; so one odd page does not decide. If there are
+none, nothing is shared.
+
+What goes: where a page marks no article, every shared line. In an ``article`` or ``main`` element, lines at its edges,
+before the first and behind the last line of its own, that nearly all of at least ``ENOUGH`` pages share and that are no
+sentence (up to ``SHORT`` words and no full stop, exclamation or question mark at the end) and no heading; a shared line
+between own lines is a quotation, a shared heading or sentence the article's. And whatever else the difference says: lines
+outside of a page's articles, and menus, forms, asides, notices, adverts, reader comments, headers and footers that are
+marked as such, since such lines may differ from page to page. A word marks a region if it is a whole name in a class, id
+or role, but for words about place and kind around it (``site-footer``, ``comment-list``; not ``with-sidebar``). A region
+that the page's first article or main element stands in is no such region, but for elements that are asides by name.
 
 Only hashes of lines are shuffled: by host, then by ranges of (host, path), so that a hot host is spread over many tasks.
 Ranks over all ranges then deal the pages into blocks with a border on both sides, so the result does not depend on the
@@ -43,6 +47,8 @@ from bendscape.llm.url_templates import host_of, path_of
 REACH, BLOCK = 8, 4096
 #: Characters over which a line is long; words up to which one may be no sentence.
 LONG, SHORT = 80, 6
+#: Pages that vote on shared lines at most; how many must vote on an article's lines at least.
+VOTERS, ENOUGH = 8, 3
 
 #: Elements whose content is no text.
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "textarea", "select", "video", "audio")
@@ -51,12 +57,16 @@ ASIDE = frozenset(("nav", "aside", "footer", "form", "menu", "dialog", "button",
 BLOCKS = frozenset(
     "address article aside blockquote body br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that are asides by name, also around an article.
+NAMED = ASIDE - {"form", "fieldset"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id and role attributes that mark a region as not the article's.
-MARKED = re.compile(
-    r"(?<![a-z0-9])(?:ads?|adverts?|advertisement|advertising|adsense|banner|breadcrumbs?|comments?|comment-?list|complementary|consent|contentinfo|cookies?|cookie-?banner|copyright|disqus|footer|gdpr|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|promotion|recommended|related|replies|reply|respond|share|sharing|sidebar|signup|site-?header|social|sponsor|sponsored|subscribe|toolbar|widget)(?![a-z0-9])"
-)
-REMARK = re.compile(r"(?<![a-z0-9])(?:comments?|reply|replies)(?![a-z0-9])")
+#: Words that as a whole name in class, id or role mark a region as not the article's, and what may stand around them.
+_WORDS = "ads? adverts? advertisement advertising adsense banner breadcrumbs? comments? complementary consent contentinfo cookies? copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notices? pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup site-?header social sponsor sponsored subscribe toolbar widget".split()
+_BEFORE = "(?:(?:site|page|main|top|bottom|global|left|right|primary|secondary|cookie|user|reader|post)[-_])?"
+_AFTER = "(?:[-_]?(?:list|box|bar|banner|body|area|wrapper|container|block|section|slot|widget|links?|items?|menu|form|thread|[0-9]+))*"
+MARKED = re.compile(rf"(?<!\S){_BEFORE}(?:{'|'.join(_WORDS)}){_AFTER}(?!\S)")
+REMARK = re.compile(rf"(?<!\S){_BEFORE}(?:comments?|reply|replies){_AFTER}(?!\S)")
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 #: The rest of a tag, up to its end or to what cannot stand in it.
 _REST = re.compile(r"(?:[^<>\"']++|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+")
@@ -106,20 +116,21 @@ def tags(page: str):
         yield start, at, name, bool(m[1]), attributes
 
 
-def lines(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, in an article, in a marked region) of the blocks of a page, without empty ones."""
+def lines(page: str | None) -> list[tuple[str, bool, bool, bool]]:
+    """(text, in an article, in a marked region, a heading) of the blocks of a page, without empty ones."""
     page = page or ""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool, bool, bool]] = []
     held: list[str] = []
     main: list[str] = []  # open article and main elements
     region: str | None = None  # name of the element that opened the marked region
     depth, opened_in = 0, 0
+    lifts = seen = heading = False  # an article may lift the region; one was seen outside of regions; in a heading
 
     def flush() -> None:
         if held:
             text = " ".join(references.unescape("".join(held)).split())
             if text:
-                out.append((text, bool(main), region is not None))
+                out.append((text, bool(main), region is not None, heading))
             held.clear()
 
     at = 0
@@ -133,6 +144,8 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
             continue
         if name in BLOCKS:
             flush()
+        if name in HEADINGS:
+            heading = not closes
         if name in VOID:
             continue
         if closes:
@@ -147,7 +160,7 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
                 depth -= 1
                 if not depth:
                     region = None
-        elif region is not None:
+        elif region is not None and not (lifts and not seen and name in ("article", "main")):
             if name == region:
                 depth += 1
             if name in ("article", "main"):
@@ -155,14 +168,20 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
         else:
             marked = " ".join(x for g in _ATTRIBUTE.findall(attributes) for x in g if x).lower() if attributes else ""
             if name in ("article", "main"):
-                main.append(name)
                 aside = bool(marked) and REMARK.search(marked) is not None
+                if region is not None and aside:
+                    depth += name == region
+                    main.append(name)
+                    continue
+                region, heading, seen = None, False, seen or not aside
+                main.append(name)
             elif name in ("body", "html", "h1"):
                 aside = False
             else:
                 aside = name in ASIDE or (name == "header" and not main) or bool(marked) and MARKED.search(marked) is not None
             if aside and not attributes.endswith("/"):
                 region, depth, opened_in = name, 1, len(main)
+                lifts = name not in NAMED and not REMARK.search(marked)
     held.append(page[at:])
     flush()
     return out
@@ -202,15 +221,15 @@ def _common(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-#: What is known of a line without its text: it is long; it is in an article; it is in a marked region; it is no sentence.
-IS_LONG, IN_ARTICLE, IS_MARKED, NO_SENTENCE = 1, 2, 4, 8
+#: What is known of a line without its text: it is long; it is in an article; it is in a marked region; it is no sentence; it is a heading.
+IS_LONG, IN_ARTICLE, IS_MARKED, NO_SENTENCE, IS_HEADING = 1, 2, 4, 8, 16
 
 
 def described(page: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
     """Texts, hashes, lengths and kinds of a page's lines."""
     found = lines(page)
-    texts = [t for t, _, _ in found]
-    kinds = [IS_LONG * (len(t) > LONG) | IN_ARTICLE * m | IS_MARKED * r | NO_SENTENCE * (t[-1] not in ".!?…" and len(t.split()) <= SHORT) for t, m, r in found]
+    texts = [f[0] for f in found]
+    kinds = [IS_LONG * (len(t) > LONG) | IN_ARTICLE * m | IS_MARKED * r | NO_SENTENCE * (t[-1] not in ".!?…" and len(t.split()) <= SHORT) | IS_HEADING * h for t, m, r, h in found]
     return texts, [xxhash.xxh64_intdigest(t) for t in texts], [len(t) for t in texts], kinds
 
 
@@ -220,23 +239,30 @@ def kept(kinds: list[int]) -> list[int]:
     return [i for i, k in enumerate(kinds) if not k & IS_MARKED and (k & IN_ARTICLE or not whole)]
 
 
-def shared(hashes: list, sizes: list[int], kinds: list[int], others) -> set[int]:
-    """Places of the lines that the first of the other pages (hashes) has too that is not a copy."""
+def shared(hashes: list, sizes: list[int], kinds: list[int], others) -> tuple[set[int], set[int]]:
+    """Places of the lines that at least half of the nearest other pages (hashes) have too that are no copies; and of those
+    that nine tenths of them have, where they are ``ENOUGH``."""
     long = [i for i, k in enumerate(kinds) if k & IS_LONG]
     total = sum(sizes[i] for i in long)
+    votes, voters = [0] * len(hashes), 0
     for other in others:
         same = aligned(hashes, other)
         if 2 * sum(sizes[i] for i in long if i in same) <= total and len(same) < len(hashes):
-            return same
-    return set()
+            voters += 1
+            for i in same:
+                votes[i] += 1
+            if voters == VOTERS:
+                break
+    half = {i for i, v in enumerate(votes) if v and 2 * v >= voters}
+    return half, {i for i in half if voters >= ENOUGH and 10 * votes[i] >= 9 * voters}
 
 
-def gone(kinds: list[int], same: set[int]) -> list[int]:
+def gone(kinds: list[int], same: set[int], often: set[int]) -> list[int]:
     """Which of the lines that markup leaves go, by their places among these."""
     left = kept(kinds)
     if not any(kinds[i] & IN_ARTICLE for i in left):
         return [k for k, i in enumerate(left) if i in same]
-    own = [k for k, i in enumerate(left) if i not in same or not kinds[i] & NO_SENTENCE]
+    own = [k for k, i in enumerate(left) if i not in often or not kinds[i] & NO_SENTENCE or kinds[i] & IS_HEADING]
     return [k for k in range(len(left)) if not own or k < own[0] or k > own[-1]]
 
 
@@ -284,7 +310,7 @@ def differences(pages: DataFrame) -> DataFrame:
 
     def settled(rows):
         for i, (host, _, digest, hashes, sizes, kinds, rank, number) in enumerate(rows):
-            if rank // BLOCK == number and (going := gone(kinds, shared(hashes, sizes, kinds, (rows[j][3] for j in partners(rows, i))))):
+            if rank // BLOCK == number and (going := gone(kinds, *shared(hashes, sizes, kinds, (rows[j][3] for j in partners(rows, i))))):
                 yield host, digest, going
 
     def record(out):

@@ -8,6 +8,7 @@ import os
 import random
 import sys
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -292,6 +293,30 @@ def test_markup():
     assert text_of("") == text_of(None) == "" and text_of("a < b") == "a < b" and text_of("<p>&lt;p&gt; &#233;&nbsp;x") == "<p> é x"
 
 
+def test_no_article_text_is_lost():
+    assert text_of('<div class="with-sidebar"><article><p>main text.</p></article><p>out</p></div>') == "main text."
+    for name in ('class="related-work"', 'class="share-price"', 'class="notice-period"', 'id="legal"', 'class="commentary"'):
+        assert text_of(f"<article><p>One.</p><div {name}><p>Two.</p></div></article>") == "One.\nTwo.", name
+    for name in ('class="x comment-list"', 'id="site-footer"', 'class="ad-slot-3"', 'role="navigation"', 'class="post-comments"', "class=sidebar"):
+        assert text_of(f"<article><p>One.</p><div {name}><p>Two.</p></div></article>") == "One.", name
+    assert text_of('<form><div class="menu">m</div><main><p>In a form.</p></main></form>') == "In a form."
+    assert text_of('<div class="sidebar"><p>s</p><main><p>Inside.</p></main></div>') == "Inside."
+    assert text_of('<article><p>One.</p></article><div class="related"><article><p>Teaser</p></article></div>') == "One."
+    assert text_of('<div id="comments"><article class="comment-body"><p>Me too</p></article></div><article><p>One.</p></article>') == "One."
+    assert text_of("<aside><article><p>Teaser</p></article></aside><article><p>One.</p></article>") == "One."
+
+
+def test_shared_lines_of_few_pages_stay(spark):
+    """Two pages say nothing about a template; headings stay however many pages have them."""
+    page = lambda i: f"<article><h1>Summary</h1><p>Introduction</p><p>What number {i} has to say is of its own.</p><p>By the editors</p></article>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(2)] + [(10 + i, f"http://many.example/{i}", page(i)) for i in range(9)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(2):
+        assert got[i] == f"Summary\nIntroduction\nWhat number {i} has to say is of its own.\nBy the editors"
+    for i in range(9):
+        assert got[10 + i] == f"Summary\nIntroduction\nWhat number {i} has to say is of its own."
+
+
 @pytest.mark.parametrize("unit", ["a <b c ", '<p class="x>Hello</p>', '<a "x>" ', "<a ' <b \" ", "<script ", '<a "<a" ', "<!-- ", "</", "<p x='y' "])
 def test_odd_markup_takes_linear_time(unit):
     import time
@@ -304,35 +329,92 @@ def test_odd_markup_takes_linear_time(unit):
     assert took(60_000) < 40 * max(took(6_000), 0.01)
 
 
+class Reader(HTMLParser):
+    """Lines of a well-formed page of p, div, h1, h2, br and article elements, by the library's own parser: (text, in an article, heading)."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.out, self.held, self.open = [], "", []
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join(self.held.split())
+        if text:
+            self.out.append((text, "article" in self.open, bool({"h1", "h2"} & set(self.open))))
+        self.held = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.flush()
+        if tag != "br":
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        self.flush()
+        while self.open and self.open.pop() != tag:
+            pass
+
+    def handle_data(self, data):
+        self.held += data
+
+
+def plain_places(a, b):
+    """Places in a of a longest common subsequence with b, from a full table."""
+    best = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i, j] = 1 + best[i + 1, j + 1] if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
+    i = j = 0
+    out = set()
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def plain_main_texts(pages):
-    """(host, path, html) -> text, by the definition: all pages of a host in one list, and a plain alignment."""
-    found = {}
+    """(host, path, html) -> text of well-formed pages, by the definition: a parser of its own, a list a host, full tables."""
+    groups = {}
     for host, path, html in pages:
-        texts, hashes, sizes, kinds = html_text.described(html)
-        key = host, html_text.digest_of(hashes, kinds)
-        found[key] = (host, min(path, found[key][1]) if key in found else path, key[1], texts, sizes, kinds)
-    rows = sorted(found.values(), key=lambda r: r[:3])
+        found = tuple(Reader(html).out)
+        groups[host, found] = min(path, groups.get((host, found), path))
     out = {}
-    for i, (host, path, digest, texts, sizes, kinds) in enumerate(rows):
-        near = [j for j in range(len(rows)) if 0 < abs(i - j) <= html_text.REACH and rows[j][0] == host]
-        near.sort(key=lambda j: (-len(os.path.commonprefix([path, rows[j][1]])), abs(i - j), j))
-        long = {k for k, t in enumerate(texts) if len(t) > html_text.LONG}
-        same = set()
+    for (host, found), path in groups.items():
+        rows = sorted((p, digest(f), f) for (h, f), p in groups.items() if h == host)
+        i = next(k for k, r in enumerate(rows) if r[2] == found)
+        near = sorted((j for j in range(len(rows)) if 0 < abs(i - j) <= 8), key=lambda j: (-len(os.path.commonprefix([path, rows[j][0]])), abs(i - j), j))
+        texts = [t for t, _, _ in found]
+        long = sum(len(t) for t in texts if len(t) > 80)
+        votes, voters = collections.Counter(), 0
         for j in near:
-            hit = html_text.aligned(texts, rows[j][3])
-            if 2 * sum(sizes[k] for k in hit & long) <= sum(sizes[k] for k in long) and len(hit) < len(texts):
-                same = hit
-                break
-        left = html_text.kept(kinds)
-        if any(kinds[k] & html_text.IN_ARTICLE for k in left):
-            own = [k for k in left if k not in same or texts[k][-1] in ".!?…" or len(texts[k].split()) > html_text.SHORT]
+            hit = plain_places(texts, [t for t, _, _ in rows[j][2]])
+            if 2 * sum(len(texts[k]) for k in hit if len(texts[k]) > 80) <= long and len(hit) < len(texts) and voters < 8:
+                voters += 1
+                votes.update(hit)
+        if any(a for _, a, _ in found):
+            left = [k for k, (_, a, _) in enumerate(found) if a]
+            edge = lambda k: voters >= 3 and 10 * votes[k] >= 9 * voters and texts[k][-1] not in ".!?…" and len(texts[k].split()) <= 6 and not found[k][2]  # noqa: E731, B023
+            own = [k for k in left if not edge(k)]
             left = [k for k in left if own and own[0] <= k <= own[-1]]
         else:
-            left = [k for k in left if k not in same]
-        out[host, digest] = "\n".join(texts[k] for k in left)
+            left = [k for k in range(len(texts)) if not votes[k] or 2 * votes[k] < voters]
+        out[host, found] = "\n".join(texts[k] for k in left)
     return out
 
 
+def digest(found):
+    """What breaks ties of paths in the order of pages."""
+    page = "".join(f"{'<article>' if a else ''}<{'h1' if h else 'p'}>{t}</{'h1' if h else 'p'}>{'</article>' if a else ''}" for t, a, h in found)
+    _, hashes, _, kinds = html_text.described(page)
+    return html_text.digest_of(hashes, kinds)
+
+
 def test_differencing(spark, monkeypatch):
     monkeypatch.setattr(html_text, "BLOCK", 16)
     rng = random.Random(9)
@@ -340,17 +422,16 @@ def test_differencing(spark, monkeypatch):
     sentence = lambda: prose(20, rng).capitalize() + "."
     quote = sentence()
     pages = [(i, f"http://h.example/p/{i}", f"{menu}<p>{sentence()} {i}</p>{f'<p>{quote}</p>' if i % 4 == 0 else ''}<p>{sentence()}</p><div>Imprint</div>") for i in range(40)]
-    pages += [(100 + i, f"http://a.example/{i % 3}/{i}", f"<article><h2>Share this</h2><h1>{prose(4, rng)} {i}</h1><p>{sentence()}</p><p>{quote}</p><p>Note</p><p>{sentence()}</p><p>Read more</p></article>") for i in range(40)]
+    pages += [(100 + i, f"http://a.example/{i % 3}/{i}", f"<article><p>Share this</p><h1>{prose(4, rng)} {i}</h1><p>{sentence()}</p><p>{quote}</p><p>Note</p><p>{sentence()}</p><p>Read more</p></article>") for i in range(40)]
     pages += [(200 + i, f"http://c.example/{i}", pages[3][2]) for i in range(5)] + [(210 + i, f"http://c.example/{i}x", pages[i][2]) for i in (8, 9)]
     pages += [(220 + i, f"http://d.example/{i}", f"<p>{' '.join(quote.split()[: 15 + i])}</p><p>{quote}</p><p>{quote} more</p>") for i in range(5)]
     pages += [(300, None, None), (301, "x", ""), (302, "http://h.example/p/3", pages[3][2]), (None, "http://z/1", PAGE), (303, "http://big/", "<p>" + "w " * 100_000), (300, None, PAGE)]
     df = spark.createDataFrame([(k, u, h, 1) for k, u, h in pages], "page_id long, url string, html string, text int")
     parts = [(u.partition("://")[2].partition("/")[0], "/" + u.partition("://")[2].partition("/")[2]) if u and "://" in u else ("", "") for _, u, _ in pages]
-    texts = plain_main_texts([(h, p, x) for (h, p), (_, _, x) in zip(parts, pages, strict=True)])
+    texts = plain_main_texts([(h, p, x or "") for (h, p), (_, _, x) in zip(parts, pages, strict=True) if x != PAGE])
 
     def of(part, html):
-        _, hashes, _, kinds = html_text.described(html)
-        return texts[part[0], html_text.digest_of(hashes, kinds)]
+        return text_of(html) if html == PAGE else texts[part[0], tuple(Reader(html or "").out)]
 
     want = collections.Counter((k, of(part, h)) for (k, _, h), part in zip(pages, parts, strict=True))
     for n in (1, 4, 40):
