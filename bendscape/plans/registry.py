@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bendscape.functions import bases, matrices
-from bendscape.operators import calls, curvature, pieces, symmetry
+from bendscape.operators import calls, curvature, intervals, pieces, symmetry
 from bendscape.plans import analysis
 from bendscape.sources import bigwig, fasta, fasta_ranges, shared, sinks, store
 
@@ -356,6 +356,35 @@ def calls_greedy_from_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(calls.calls_greedy(_called(spark, sf_dir, "active"), sentinel=False))
 
 
+_CALLED = f"{_BOTH}, a AS (SELECT seq_id, piece, pos AS dyad FROM sym WHERE ca > 0), s AS (SELECT seq_id, piece, pos AS dyad FROM sym WHERE cs > 0)"
+
+
+def _dyads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Calls of both matrices as intervals of one place."""
+    scores = shared.cut(_scores(spark, sf_dir))
+    one = lambda k: calls.calls_overlapping(scores, scores, k).select("seq_id", "piece", "dyad", F.col("dyad").alias("start"), F.col("dyad").alias("end"))
+    return one("active"), one("simple")
+
+
+@query(f"WITH {_CALLED} SELECT seq_id, piece, a.dyad, s.dyad AS other, abs(a.dyad - s.dyad)::INT AS distance FROM a JOIN s USING (seq_id, piece) WHERE abs(a.dyad - s.dyad) <= 177")
+def calls_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by one matrix and those by the other that would exclude each other."""
+    found = intervals.pairs(*_dyads(spark, sf_dir), within=177)
+    return found.select("seq_id", "piece", F.col("left.dyad").alias("dyad"), F.col("right.dyad").alias("other"), F.col("distance").cast("int").alias("distance"))
+
+
+@query(f"WITH {_CALLED} SELECT a.seq_id, a.piece, a.dyad, count(s.dyad) AS n_partners FROM a LEFT JOIN s ON a.seq_id = s.seq_id AND a.piece = s.piece AND abs(a.dyad - s.dyad) <= 177 GROUP BY ALL")
+def calls_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many calls by the other matrix each call would exclude."""
+    return intervals.partners(*_dyads(spark, sf_dir), within=177).select("seq_id", "piece", "dyad", "n_partners")
+
+
+@query(f"WITH {_CALLED} SELECT seq_id, piece, dyad FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE a.seq_id = s.seq_id AND a.piece = s.piece AND abs(a.dyad - s.dyad) <= 73)")
+def calls_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by one matrix with no call by the other within half a core."""
+    return intervals.apart(*_dyads(spark, sf_dir), within=73).select("seq_id", "piece", "dyad")
+
+
 # ---------------------------------------------------------------- sinks, read back
 
 _POSITION = "(pos + start - 1 + seq_id)::BIGINT AS position"
