@@ -39,6 +39,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--curve-scale", type=_scale, default=d.curve_scale, metavar="X")
     p.add_argument("--dialect", choices=("fasta", "legacy"), default="fasta", help="legacy: offset and strand in headers, records end with #")
     p.add_argument("--n-policy", choices=("split", "to_a"), default="split")
+    p.add_argument("--strict", action="store_true", help="stop at a record that can't be used")
+    p.add_argument("--bad", metavar="PATH", help="folder for the records that can't be used, as JSON")
     p.add_argument("--spread", type=_count, help="deal chunks of long sequences over that many partitions")
     return p
 
@@ -49,22 +51,22 @@ def main(argv: list[str] | None = None) -> int:
 
     from bendscape.functions import matrices
     from bendscape.plans.analysis import analyse
-    from bendscape.sources import fasta, sinks
+    from bendscape.sources import checked, fasta, sinks
 
     params = Params(**{k: getattr(args, k) for k in ("curve_step", "curve_scale", "curve_step_one", "curve_step_two", "symmetry_win", "symmetry_step", "min_linker_size")})
     spark = SparkSession.builder.appName("bendscape").getOrCreate()
-    if args.dialect == "legacy":
-        read = fasta.read_fasta_legacy(spark, args.input)
-        bad = read.where("problem is not null").count()
-        if bad:
-            print(f"{bad} records can't be used", file=sys.stderr)
-        rows = read.where("problem is null")
-    else:
-        rows = fasta.read_fasta(spark, args.input)
-    found = analyse(rows, params, matrices.read(args.matrices) if args.matrices else matrices.BUILTIN, args.n_policy, spread=args.spread)
-    if args.verbose:
-        found.curvature.explain("formatted")
-    sinks.write_all(found, rows, args.output, params)
+    with checked.Runtime() as runtime:
+        read = fasta.read_fasta_legacy(spark, args.input) if args.dialect == "legacy" else fasta.read_fasta(spark, args.input)
+        found = checked.checked(read, "strict" if args.strict else "quarantine")
+        if args.bad:
+            found.bad.write.json(args.bad)
+        rows = found.good
+        result = analyse(rows, params, matrices.read(args.matrices) if args.matrices else matrices.BUILTIN, args.n_policy, spread=args.spread)
+        if args.verbose:
+            result.curvature.explain("formatted")
+        sinks.write_all(result, rows, args.output, params)
+    counts = found.counts()
+    print(f"{counts['records']} records, {counts['bad']} of them bad, {counts['bases']} bases, {runtime.seconds} seconds", file=sys.stderr)
     return 0
 
 

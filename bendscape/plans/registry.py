@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from bendscape.functions import bases, matrices
 from bendscape.operators import calls, curvature, intervals, pieces, symmetry
-from bendscape.plans import analysis
-from bendscape.sources import bigwig, fasta, fasta_ranges, shared, sinks, store
+from bendscape.plans import analysis, functions
+from bendscape.sources import bigwig, checked, fasta, fasta_ranges, shared, sinks, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -208,6 +208,37 @@ def matrix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.matrix_table(spark)
 
 
+_MARKED = r"""WITH r AS (SELECT doc_id AS seq_id, CASE WHEN doc_id % 5 = 0 THEN '.' ELSE '+' END AS strand, regexp_replace(coalesce(text, ''), '[^A-Za-z\n ]', '', 'g') AS t FROM documents),
+raw AS (SELECT seq_id, strand, regexp_replace(CASE WHEN seq_id % 3 = 0 THEN t ELSE translate(t, 'EFIJLOPQXZefijlopqxz', '') END, '[ \n]', '', 'g') AS seq FROM r),
+found AS (SELECT *, CASE WHEN strand = '.' THEN 'strand is neither + nor -' WHEN regexp_matches(seq, '[^ACGTUNRYSWKMBDHVacgtunryswkmbdhv]')
+  THEN 'no base: ' || regexp_extract(seq, '[^ACGTUNRYSWKMBDHVacgtunryswkmbdhv]') END AS problem FROM raw)"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> checked.Checked:
+    """Letters of the documents as they are, of two thirds only such as stand for bases, and a fifth without a strand."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\n ]", "")
+    seq = F.when(F.col("doc_id") % 3 == 0, letters).otherwise(F.translate(letters, "EFIJLOPQXZefijlopqxz", ""))
+    strand = F.when(F.col("doc_id") % 5 == 0, F.lit(".")).otherwise(F.lit("+"))
+    return checked.checked(docs.select(F.col("doc_id").alias("seq_id"), F.lit(0).cast("long").alias("offset"), strand.alias("strand"), seq.alias("seq")))
+
+
+@query(_MARKED + """ SELECT seq_id, problem, CASE WHEN problem LIKE 'no base%' THEN length(regexp_extract(seq, '^[ACGTUNRYSWKMBDHVacgtunryswkmbdhv]*')) + 1 END::INT AS place
+FROM found WHERE problem IS NOT NULL""")
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that can't be used, with the reason and the place."""
+    return _marked(spark, sf_dir).bad.select("seq_id", "problem", "place")
+
+
+@query(_MARKED + " SELECT count(*) AS records, count(problem) AS bad, (sum(length(seq)) FILTER (problem IS NULL))::BIGINT AS bases FROM found")
+def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was observed while the good records were written."""
+    found = _marked(spark, sf_dir)
+    found.good.write.parquet(shared.new_folder(spark, "good"))
+    counts = found.counts()
+    return spark.createDataFrame([(counts["records"], counts["bad"], counts["bases"])], "records long, bad long, bases long")
+
+
 # ---------------------------------------------------------------- triplets and curvature
 
 @query(f"WITH {_TRIPLETS} SELECT * FROM trip")
@@ -256,6 +287,14 @@ def curvature_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(curvature.curvature_dual(all_pieces(spark, sf_dir)))
 
 
+@query(f"WITH {_CURVED} SELECT seq_id, piece, pos, {_R('0.33335 * da', 'curv_active')}, {_R('0.33335 * ds', 'curv_simple')} FROM curved")
+def sql_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curvature by a table function of SQL."""
+    functions.register(spark)
+    all_pieces(spark, sf_dir).createOrReplaceTempView("bendscape_pieces")
+    return shown(spark.sql("SELECT * FROM curvature(TABLE(SELECT seq_id, piece, seq FROM bendscape_pieces) PARTITION BY seq_id)"))
+
+
 # ---------------------------------------------------------------- symmetry and calls
 
 def _scores(spark: SparkSession, sf_dir: str, *rolls: str) -> DataFrame:
