@@ -218,6 +218,8 @@ def _placed_chunks(pieces: DataFrame, halo: int, roll: str, matrices: Matrices,
     A scan in two levels over (turn, x, y), where a chunk's steps are turned by all the turn before it. Each chunk is
     summed on its own; the sums, a row a chunk, are added along the piece. Of a piece with one chunk nothing is summed.
     """
+    # A number of its own keeps the short rows of bases from being put together into few tasks.
+    spread = spread or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sums(n, a, start, bodies, part):
         t = track(n, a, start, bodies, size, (roll,), matrices, params, part)

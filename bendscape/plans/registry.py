@@ -41,6 +41,11 @@ def all_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_by_n(sequences(spark, sf_dir))
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Over how many tasks chunks are dealt: rows of bases are few and short, what is made of them is some thirty times as long."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shown(df: DataFrame, *exact: str) -> DataFrame:
     """Doubles with six digits, and no negative zero."""
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double" and f.name not in exact]
@@ -195,7 +200,7 @@ def stored_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CURVED} SELECT seq_id, piece, pos, {_R('0.33335 * da', 'curv_active')}, {_R('0.33335 * ds', 'curv_simple')} FROM curved")
 def stored_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curvature from the store's blocks and the ends of their neighbours."""
-    return shown(curvature.curvature_dual(_stored(spark, sf_dir)).drop("shift"))
+    return shown(curvature.curvature_dual(_stored(spark, sf_dir), spread=_tasks(spark)).drop("shift"))
 
 
 @query(f"WITH {_SEQ} SELECT count(*) AS n, sum(length(seq))::BIGINT AS bases FROM seqs")
@@ -243,13 +248,13 @@ def record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TRIPLETS} SELECT * FROM trip")
 def triplet_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.triplet_windows(all_pieces(spark, sf_dir))
+    return pieces.triplet_windows(all_pieces(spark, sf_dir), spread=_tasks(spark))
 
 
 @query(f"WITH {_TRIPLETS} SELECT seq_id, piece, pos, triplet, roll_active, roll_simple FROM trip JOIN matrix USING (triplet)")
 def matrix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = {f"roll_{k}": matrices.matrix_lookup(F.col("triplet"), matrices.BUILTIN.roll(k)) for k in ("active", "simple")}
-    return pieces.triplet_windows(all_pieces(spark, sf_dir)).withColumns(found)
+    return pieces.triplet_windows(all_pieces(spark, sf_dir), spread=_tasks(spark)).withColumns(found)
 
 
 @query(f"WITH {_STEPS} SELECT seq_id, piece, pos, roll_simple AS roll, twist, {_R('twist_sum', 'twist_sum')}, {_R('dxs', 'dx')}, {_R('dys', 'dy')} FROM steps")
@@ -274,17 +279,17 @@ def roll_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CURVED} SELECT seq_id, piece, pos, {_R('ds', 'dist')} FROM curved")
 def euc_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(curvature.euc_dist(all_pieces(spark, sf_dir)))
+    return shown(curvature.euc_dist(all_pieces(spark, sf_dir), spread=_tasks(spark)))
 
 
 @query(f"WITH {_CURVED} SELECT seq_id, piece, pos, {_R('ds', 'dist')}, {_R('0.33335 * ds', 'curv')} FROM curved")
 def curvature_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(curvature.curvature(all_pieces(spark, sf_dir)))
+    return shown(curvature.curvature(all_pieces(spark, sf_dir), spread=_tasks(spark)))
 
 
 @query(f"WITH {_CURVED} SELECT seq_id, piece, pos, {_R('0.33335 * da', 'curv_active')}, {_R('0.33335 * ds', 'curv_simple')} FROM curved")
 def curvature_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(curvature.curvature_dual(all_pieces(spark, sf_dir)))
+    return shown(curvature.curvature_dual(all_pieces(spark, sf_dir), spread=_tasks(spark)))
 
 
 @query(f"WITH {_CURVED} SELECT seq_id, piece, pos, {_R('0.33335 * da', 'curv_active')}, {_R('0.33335 * ds', 'curv_simple')} FROM curved")
@@ -298,7 +303,7 @@ def sql_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- symmetry and calls
 
 def _scores(spark: SparkSession, sf_dir: str, *rolls: str) -> DataFrame:
-    return symmetry.symmetry(all_pieces(spark, sf_dir), rolls or ("active", "simple"))
+    return symmetry.symmetry(all_pieces(spark, sf_dir), rolls or ("active", "simple"), spread=_tasks(spark))
 
 
 @query(f"WITH {_BOTH} SELECT seq_id, piece, pos, {_R('wa', 'weight_active')}, {_R('ws', 'weight_simple')} FROM sym WHERE wa > 0 OR ws > 0")
@@ -330,14 +335,14 @@ WINDOW w AS (PARTITION BY seq_id, piece ORDER BY pos ROWS BETWEEN 73 PRECEDING A
 
 @query(f"WITH {_FILLED} SELECT seq_id, piece, pos, {_RUNSUMS}")
 def symmetry_runsum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(symmetry.symmetry(all_pieces(spark, sf_dir), runsum=True))
+    return shown(symmetry.symmetry(all_pieces(spark, sf_dir), runsum=True, spread=_tasks(spark)))
 
 
 @query(f"""WITH {_BOTH}, t AS (SELECT seq_id, piece, sum(ca) AS a, sum(cs) AS s FROM sym GROUP BY ALL)
 SELECT seq_id, piece, length(seq)::INT AS n, {_R('a / (length(seq) - 21)', 'avg_active')}, {_R('s / (length(seq) - 21)', 'avg_simple')}
 FROM pieces LEFT JOIN t USING (seq_id, piece) WHERE length(seq) > 42""")
 def symmetry_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(symmetry.symmetry_averages(all_pieces(spark, sf_dir)))
+    return shown(symmetry.symmetry_averages(all_pieces(spark, sf_dir), spread=_tasks(spark)))
 
 
 _CALL_COLUMNS = f'seq_id, piece, dyad, start, "end", {_R("score", "score")}, {_R("score_capped", "score_capped")}'
