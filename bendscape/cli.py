@@ -39,6 +39,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--curve-scale", type=_scale, default=d.curve_scale, metavar="X")
     p.add_argument("--dialect", choices=("fasta", "legacy"), default="fasta", help="legacy: offset and strand in headers, records end with #")
     p.add_argument("--n-policy", choices=("split", "to_a"), default="split")
+    p.add_argument("--blocks", action="store_true", help="read by ranges of bytes and keep sequences in blocks, for such as don't fit into memory; splits them at all that is no base")
+    p.add_argument("--bigwig", metavar="PATH", help="write curvature as a bigWig file too")
     p.add_argument("--strict", action="store_true", help="stop at a record that can't be used")
     p.add_argument("--bad", metavar="PATH", help="folder for the records that can't be used, as JSON")
     p.add_argument("--spread", type=_count, help="deal chunks of long sequences over that many partitions")
@@ -50,23 +52,35 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from bendscape.functions import matrices
-    from bendscape.plans.analysis import analyse
-    from bendscape.sources import checked, fasta, sinks
+    from bendscape.plans.analysis import analyse, analyse_blocks
+    from bendscape.sources import checked, fasta, fasta_ranges, sinks, store
+    from bendscape.sources.shared import new_folder
 
     params = Params(**{k: getattr(args, k) for k in ("curve_step", "curve_scale", "curve_step_one", "curve_step_two", "symmetry_win", "symmetry_step", "min_linker_size")})
     spark = SparkSession.builder.appName("bendscape").getOrCreate()
+    known = matrices.read(args.matrices) if args.matrices else matrices.BUILTIN
     with checked.Runtime() as runtime:
-        read = fasta.read_fasta_legacy(spark, args.input) if args.dialect == "legacy" else fasta.read_fasta(spark, args.input)
-        found = checked.checked(read, "strict" if args.strict else "quarantine")
-        if args.bad:
-            found.bad.write.json(args.bad)
-        rows = found.good
-        result = analyse(rows, params, matrices.read(args.matrices) if args.matrices else matrices.BUILTIN, args.n_policy, spread=args.spread)
+        if args.blocks:
+            if args.dialect == "legacy" or args.n_policy == "to_a" or args.strict or args.bad:
+                raise SystemExit("--blocks goes with the usual dialect, splitting and quarantine only")
+            folder = new_folder(spark, "blocks")
+            store.pack(fasta_ranges.read_parts(spark, args.input)).blocks.write.parquet(folder)
+            kept = store.Store(spark.read.parquet(folder))
+            result, rows = analyse_blocks(kept, params, known, spread=args.spread), kept.sequences()
+        else:
+            read = fasta.read_fasta_legacy(spark, args.input) if args.dialect == "legacy" else fasta.read_fasta(spark, args.input)
+            found = checked.checked(read, "strict" if args.strict else "quarantine")
+            if args.bad:
+                found.bad.write.json(args.bad)
+            rows = found.good
+            result = analyse(rows, params, known, args.n_policy, spread=args.spread)
         if args.verbose:
             result.curvature.explain("formatted")
         sinks.write_all(result, rows, args.output, params)
-    counts = found.counts()
-    print(f"{counts['records']} records, {counts['bad']} of them bad, {counts['bases']} bases, {runtime.seconds} seconds", file=sys.stderr)
+        if args.bigwig:
+            sinks.write_bigwig(result, rows, args.bigwig)
+    counts = "" if args.blocks else "{records} records, {bad} of them bad, {bases} bases, ".format(**found.counts())
+    print(f"{counts}{runtime.seconds} seconds", file=sys.stderr)
     return 0
 
 

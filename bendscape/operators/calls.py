@@ -42,7 +42,11 @@ def calls_overlapping(scores: DataFrame, pieces: DataFrame, roll: str = "active"
 
 
 def with_sequence(calls: DataFrame, pieces: DataFrame, size: int = CHUNK) -> DataFrame:
-    """``calls`` with ``seq``, the bases of each core, looked up in the chunk that the core begins in."""
+    """``calls`` with ``seq``, the bases of each core, looked up in the chunk that the core begins in (of a store: in its blocks)."""
+    if not isinstance(pieces, DataFrame):
+        first = F.col("shift") + F.col("start") + 1
+        asked = calls.withColumns({"_start": F.col("start"), "_end": F.col("end"), "start": first, "end": first + CORE - 1})
+        return pieces.slices(asked).withColumns({"start": F.col("_start"), "end": F.col("_end")}).select(*calls.columns, "seq")
     bodies = chunks(pieces.select("seq_id", "piece", "seq"), 0, CORE - 1, size).select("seq_id", "piece", F.col("a").alias("_a"), F.col("body").alias("_body"))
     met = calls.withColumn("_a", (F.floor(F.col("start") / size) * size).cast("int")).join(bodies, ["seq_id", "piece", "_a"])
     return met.withColumn("seq", F.substring(F.col("_body"), F.col("start") - F.col("_a") + 1, F.lit(CORE)).cast("string")).select(*calls.columns, "seq")

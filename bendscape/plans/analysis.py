@@ -14,6 +14,7 @@ from bendscape.functions.matrices import BUILTIN, Matrices
 from bendscape.operators import calls, curvature, pieces, symmetry
 from bendscape.params import DEFAULT, Params
 from bendscape.sources.shared import cut
+from bendscape.sources.store import Store
 
 ROLLS = ("active", "simple")
 
@@ -44,7 +45,7 @@ class Analysis:
     ``shift`` in all of them is what to add to a place in a piece to get its published position.
     """
 
-    def __init__(self, pieces: DataFrame, params: Params = DEFAULT, matrices: Matrices = BUILTIN, legacy_bug: bool = False, spread: int | None = None, in_order: bool = False):
+    def __init__(self, pieces: DataFrame | Store, params: Params = DEFAULT, matrices: Matrices = BUILTIN, legacy_bug: bool = False, spread: int | None = None, in_order: bool = False):
         self.pieces, self.params, self.matrices, self.legacy_bug = pieces, params, matrices, legacy_bug
         self._dealt = {"params": params, "matrices": matrices, "spread": spread, "ordered": in_order}
 
@@ -89,6 +90,15 @@ class Analysis:
         return out
 
 
+def analyse_blocks(store: Store, params: Params = DEFAULT, matrices: Matrices = BUILTIN, legacy_bug: bool = False, spread: int | None = None) -> Analysis:
+    """The same of sequences in blocks (:mod:`bendscape.sources.store`), none of which is ever held whole: forward strands,
+    split at unknown bases. Runs no job."""
+    if params.bounds != "legacy":
+        raise ValueError("sequences in blocks have legacy bounds only")
+    spread = spread or int(store.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Analysis(store, params, matrices, legacy_bug, spread)
+
+
 def analyse(sequences: DataFrame, params: Params = DEFAULT, matrices: Matrices = BUILTIN, n_policy: str = "split", legacy_bug: bool = False, spread: int | None = None) -> Analysis:
     """Curvature, symmetry and calls of (seq_id, offset, strand, seq). Runs no job.
 

@@ -57,7 +57,9 @@ def write_bedgraph(found: Analysis, path: str, value: str = "curv_simple", track
 
 
 def sizes(sequences: DataFrame) -> DataFrame:
-    """(seq_id, size): where each sequence ends, with its offset."""
+    """(seq_id, size): where each sequence ends, with its offset; ``sequences`` have their bases or their ``size``."""
+    if "size" in sequences.columns:
+        return sequences.select("seq_id", "size")
     return sequences.select("seq_id", (F.length(F.regexp_replace("seq", r"\s", "")) + F.col("offset")).cast("long").alias("size"))
 
 
@@ -74,7 +76,7 @@ def write_bigwig(found: Analysis, sequences: DataFrame, path: str, value: str =
 
 
 def write_all(found: Analysis, sequences: DataFrame, folder: str, params: Params = DEFAULT) -> None:
-    """All eight outputs, under their usual names. Calls share scores that are kept first."""
+    """All eight outputs, under their usual names, and the sizes of sequences. Calls share scores that are kept first."""
     found = found.stored()
     write_curvature(found, f"{folder}/out_curv.dat")
     write_symmetry(found, f"{folder}/out_symmetry.dat")
@@ -83,3 +85,4 @@ def write_all(found: Analysis, sequences: DataFrame, folder: str, params: Params
     for final, name in ((False, "init"), (True, "fin")):
         for roll, state in (("active", "nuc"), ("simple", "dnase")):
             write_gff(found, f"{folder}/out_{name}_calls_{state}.gff", roll, final)
+    write_sizes(sequences, f"{folder}/out_sizes.dat")

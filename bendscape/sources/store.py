@@ -121,6 +121,11 @@ class Store:
         """(seq_id, piece, start, end): maximal runs of known bases, numbered from 0; 1-based inclusive ends. No bases."""
         return self.runs().groupBy("seq_id", "piece").agg((F.min("low") + 1).alias("start"), F.max("high").alias("end"))
 
+    def sequences(self) -> DataFrame:
+        """(seq_id, offset, strand, size) of each sequence; no bases."""
+        ends = self.blocks.groupBy("seq_id").agg(F.max(F.col("block").cast("long") * self.size + F.col("n")).alias("size"))
+        return ends.select("seq_id", F.lit(0).cast("long").alias("offset"), F.lit("+").alias("strand"), "size")
+
     def slices(self, wanted: DataFrame) -> DataFrame:
         """``wanted`` (seq_id, start, end, ...; 1-based inclusive) with ``seq``, from the blocks that each lies in.
 

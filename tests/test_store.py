@@ -128,3 +128,36 @@ def test_one_long_record_by_many_tasks(spark, tmp_path):
     wanted = [("chr", 1, 50), ("chr", 32_700, 32_800), ("chr", 1_999_990, 2_000_000), ("chr", 100_000, 300_000)]
     got = kept.slices(spark.createDataFrame(wanted, "seq_id string, start long, end long")).collect()
     assert {(r.start, r.end): r.seq for r in got} == {(s, e): letters[s - 1 : e].decode() for _, s, e in wanted}
+
+
+def test_command_line_in_blocks(spark, tmp_path):
+    """All outputs of sequences in blocks are those of sequences in rows."""
+    from bendscape import cli
+
+    rng = random.Random(12)
+    text = "".join(f">{name}\n" + "\n".join(seq[i : i + 50] for i in range(0, len(seq), 50)) + "\n" for name, seq in (
+        ("a", "".join(rng.choice("ACGT") for _ in range(33_500)) + "NN" + "".join(rng.choice("ACGT") for _ in range(700))), ("b", "ACGTTGCAAT" * 60), ("c", "NNNN"),
+    ))
+    (tmp_path / "a.fa").write_text(text)
+    for flags, out in ((["--blocks", "--bigwig", str(tmp_path / "a.bw")], "x"), ([], "y")):
+        assert cli.main([str(tmp_path / "a.fa"), str(tmp_path / out), *flags]) == 0
+    lines = lambda folder: [line for p in sorted(folder.glob("part-*")) for line in p.read_text().splitlines()]
+    names = sorted(p.name for p in (tmp_path / "x").iterdir())
+    assert len(names) == 9 and names == sorted(p.name for p in (tmp_path / "y").iterdir())
+    for name in names:
+        a, b = (lines(tmp_path / out / name) for out in "xy")
+        assert len(a) == len(b) and (a or "fin" in name)
+        for x, y in zip(a, b, strict=True):
+            for v, w in zip(x.split("\t"), y.split("\t"), strict=True):
+                assert v == w or float(v) == pytest.approx(float(w), rel=1e-5, abs=1e-6), (name, x, y)
+
+
+def test_coordinates_from_one_and_from_many_tasks(spark):
+    """The scan over chunks gives the same wherever a piece is cut and however it is dealt."""
+    seq = "".join(random.Random(2).choice("ACGT") for _ in range(60_000))
+    rows = pieces.split_by_n(spark.createDataFrame([("s", seq)], "seq_id string, seq string"))
+    one = curvature.coords(rows, spread=1, size=1 << 16).orderBy("pos").select("x", "y").collect()
+    many = curvature.coords(rows, spread=64, size=1000)
+    assert many.rdd.getNumPartitions() == 64
+    many = many.orderBy("pos").select("x", "y").collect()
+    assert len(one) == 59_998 and np.allclose(one, many, rtol=0, atol=1e-9)
