@@ -208,9 +208,11 @@ def seq_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences(spark, sf_dir).agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"))
 
 
-@query(f"WITH {_MATRIX} SELECT * FROM matrix")
+@query(f"""WITH {_TRIPLETS} SELECT m.*, count(t.triplet) AS n FROM matrix m LEFT JOIN trip t USING (triplet) GROUP BY ALL""")
 def matrix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrices.matrix_table(spark)
+    """The parameters of all triplets, and how often each stands in the sequences."""
+    seen = pieces.triplet_windows(all_pieces(spark, sf_dir), spread=_tasks(spark)).groupBy("triplet").agg(F.count("*").alias("n"))
+    return matrices.matrix_table(spark).join(seen, "triplet", "left").fillna(0, "n")
 
 
 _MARKED = r"""WITH r AS (SELECT doc_id AS seq_id, CASE WHEN doc_id % 5 = 0 THEN '.' ELSE '+' END AS strand, regexp_replace(coalesce(text, ''), '[^A-Za-z\n ]', '', 'g') AS t FROM documents),
@@ -504,10 +506,10 @@ def _gff(roll: str, final: bool):
     return run
 
 
-for _roll, _state, _sym in (("active", "nuc", _ACTIVE), ("simple", "dnase", _SIMPLE)):
+for _roll, _state, _sym, _feature in (("active", "nuc", _ACTIVE, "stat_nucleosome"), ("simple", "dnase", _SIMPLE, "act_nucleosome")):
     for _final, _name in ((False, "init"), (True, "fin")):
         _key = f"sink_gff_{_name}_{_state}"
         QUERIES[_key] = _gff(_roll, _final)
-        ORACLES[_key] = f"""WITH {"RECURSIVE " if _final else ""}{_sym}, {_CALLS(_roll[0])}{", " + _GREEDY if _final else ""} SELECT concat_ws(chr(9), seq_id::VARCHAR, 'evidence', '{calls.FEATURES[_roll]}',
+        ORACLES[_key] = f"""WITH {"RECURSIVE " if _final else ""}{_sym}, {_CALLS(_roll[0])}{", " + _GREEDY if _final else ""} SELECT concat_ws(chr(9), seq_id::VARCHAR, 'evidence', '{_feature}',
   (k.start + p.start - 1 + seq_id)::VARCHAR, (k."end" + p.start - 1 + seq_id)::VARCHAR, printf('%.6f', {"score" if _final else "score_capped"}), '+', '.', substr(seq, dyad - 72, 147)) AS line
 FROM {"kept" if _final else "calls"} k JOIN pieces p USING (seq_id, piece)"""
