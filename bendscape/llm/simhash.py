@@ -2,11 +2,14 @@
 
 Fingerprints: every shingle (repeats included) of a text is hashed with XXH64; a bit of the fingerprint is set if it is
 set in over half the hashes. Links: two fingerprints that differ in at most ``radius`` bits. Distinct fingerprints, not
-documents, are compared, so copies cost nothing. They are sorted into cells by the population counts of their four
-16-bit quarters and dealt into tiles of bounded size; two tiles are compared (numpy exclusive-or and bit counts, every
-fingerprint against every other) only if the population counts of their cells differ by no more than the radius in
-sum, which no linked pair can exceed. A compared pair of tiles yields the links of a spanning forest, not all its
-pairs, so that big groups stay small; no link between components is lost.
+documents, are compared, so copies cost nothing. They are dealt by runs of bits that agree: of ``radius + 2`` runs a
+linked pair differs in at most ``radius``, so it meets where the two others are equal. A group of more than ``group``
+fingerprints is dealt again by runs of its remaining bits, until these are too few for so many different numbers; so no
+group is ever too large, and a fingerprint is copied a fixed number of times at each depth. In a group, fingerprints are
+sorted by population count and cut into tiles; two tiles are compared (numpy exclusive-or and bit counts, every
+fingerprint against every other) unless their population counts differ by more than the radius, which no linked pair's
+can. A group yields the links of a spanning forest, not all its pairs, so that big ones stay small; no link between
+components is lost.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, which is linked like any other. A
 text of fewer words than a shingle is one shingle. Repeated rows get a row each. Documents with a null id get a
@@ -21,16 +24,18 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bendscape.llm.common import cut
 from bendscape.llm.components import components
 
-QUARTERS = 4
-#: Fingerprints in a tile, on average at most.
+BITS = 64
+#: Fingerprints in a tile.
 TILE = 512
+#: Fingerprints in a group that is compared as it is; larger ones are dealt again.
+GROUP = 4096
 #: A fingerprint of more than one in this many rows is hot.
 HOT = 1024
 
@@ -90,21 +95,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _counts(fp: Column) -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned(fp, 16 * q).bitwiseAND(F.lit(65535))) for q in range(QUARTERS)]
+def narrowed(free: list[int], radius: int) -> list[list[int]]:
+    """The free bits that are left for each choice of two runs of them that must agree."""
+    runs = [r.tolist() for r in np.array_split(np.array(free), radius + 2)]
+    return [[b for k, r in enumerate(runs) if k not in pair for b in r] for pair in itertools.combinations(range(len(runs)), 2)]
 
 
-def _cell(counts: list[Column]) -> Column:
-    out = F.lit(0)
-    for c in counts:
-        out = out * 17 + c
-    return out.cast("int")
-
-
-def _moves(radius: int) -> list[tuple[int, ...]]:
-    """Half of the differences of population counts within the radius: the zero, and one of each opposite pair."""
-    near = [m for m in itertools.product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, m)) <= radius]
-    return [m for m in near if m >= (0,) * QUARTERS]
+def _mask(free: list[int]) -> int:
+    """The bits as a signed 64-bit number."""
+    return int(np.array(sum(1 << b for b in free), dtype=np.uint64).view(np.int64))
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,46 +135,58 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column ``fp``) that connect all within the radius of each other."""
-    cells = distinct.select("fp", _cell(_counts(F.col("fp"))).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))  # 17**4 rows at most, whatever the input
-    number = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile)).cast("int")
-    tiles = cells.join(F.broadcast(sizes), "cell").select("cell", number.alias("tile"), "fp").groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps"))
-    tiles = cut(tiles)
-    counts = F.broadcast(sizes.select(F.col("cell").alias("other"), F.ceil(F.col("n") / tile).cast("int").alias("k")))
-    digit = lambda q: F.floor(F.col("cell") / 17 ** (QUARTERS - 1 - q)).cast("int") % 17
-    moves = F.array(*[F.struct(*[F.lit(d).alias(f"d{q}") for q, d in enumerate(m)]) for m in _moves(radius)])
-
-    def side(sign: int, body: str) -> DataFrame:
-        """Tiles with each tile that they meet in a cell above (``sign`` 1) or below (-1), or in their own."""
-        other = [digit(q) + sign * F.col(f"m.d{q}") for q in range(QUARTERS)]
-        inside = other[0].between(0, 16)
-        for c in other[1:]:
-            inside &= c.between(0, 16)
-        met = tiles.select("cell", "tile", "fps", F.explode(moves).alias("m")).where(inside).withColumn("other", _cell(other)).join(counts, "other")
-        met = met.select("cell", "tile", "other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other_tile"), F.col("fps").alias(body))
-        names = ("ca", "ta", "cb", "tb") if sign == 1 else ("cb", "tb", "ca", "ta")
-        return met.toDF(*names, body).where("ca <> cb or ta <= tb")
-
-    # Pairs of tiles, not cells, are dealt to tasks, so the tiles of a full cell are compared in many.
-    pairs = side(1, "fps_a").join(side(-1, "fps_b"), ["ca", "ta", "cb", "tb"]).select("fps_a", "fps_b")
+def tiled(fps: np.ndarray, radius: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all fingerprints within the radius of each other; tiles too far apart in population count are skipped."""
+    ones = np.bitwise_count(fps)
+    order = np.argsort(ones, kind="stable")
+    fps, ones = fps[order], ones[order].astype(np.int64)
+    left, right = [], []
+    for i in range(0, len(fps), tile):
+        most = ones[min(i + tile, len(fps)) - 1]
+        for j in range(i, len(fps), tile):
+            if ones[j] - most > radius:
+                break
+            x, y = near(fps[i : i + tile], fps[j : j + tile], radius)
+            differ = x + i != y + j
+            if differ.any():
+                u, v = forest(fps[i : i + tile][x[differ]], fps[j : j + tile][y[differ]])
+                left.append(u)
+                right.append(v)
+    return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
+
+
+def links(distinct: DataFrame, radius: int = 2, tile: int = TILE, group: int = GROUP) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column ``fp``) that connect all within the radius of each other.
+
+    ``group`` is at least 2 ** (radius + 1), so that bits too few for another deal can't name more fingerprints.
+    """
+    spark, group = distinct.sparkSession, max(group, 2 ** (radius + 1))
 
     def run(batches):
         for batch in batches:
-            found_a, found_b = [], []
-            for one, two in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = (np.asarray(x.values).view(np.uint64) for x in (one, two))
-                i, j = near(a, b, radius)
-                differ = a[i] != b[j]
-                if differ.any():
-                    u, v = forest(a[i[differ]], b[j[differ]])
-                    found_a.append(u)
-                    found_b.append(v)
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (found_a, found_b)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
+            found = [tiled(np.asarray(fps.values).view(np.uint64), radius, tile) for fps in batch.column(0)]
+            if found:
+                columns = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    levels, rest, found = [list(range(BITS))], distinct.select(F.lit(_mask(list(range(BITS)))).alias("mask"), "fp"), None
+    while True:
+        # How the free bits narrow hangs on radius and depth alone: 1, 6, at most 36, 216 rows for a radius of 2, whatever the input.
+        steps = [(free, narrowed(free, radius)) for free in levels]
+        deals = spark.createDataFrame([(_mask(free), [_mask(n) for n in new]) for free, new in steps], "mask long, masks array<long>")
+        levels = list({tuple(n): n for _, new in steps for n in new}.values())
+        dealt = rest.join(F.broadcast(deals), "mask").select(F.explode("masks").alias("mask"), "fp")
+        if found is not None:  # two ways may lead to the same free bits
+            dealt = dealt.distinct()
+        dealt = dealt.withColumn("head", F.col("fp").bitwiseAND(F.bitwise_not("mask")))
+        sizes = dealt.groupBy("mask", "head").agg(F.count("*").alias("n")).where("n > 1")
+        sized = cut(dealt.join(sizes, ["mask", "head"]))
+        groups = sized.where(F.col("n") <= group).groupBy("mask", "head").agg(F.collect_list("fp").alias("fps")).select("fps")
+        here = groups.mapInArrow(run, "a long, b long")
+        found = here if found is None else found.unionByName(here)
+        rest = sized.where(F.col("n") > group).select("mask", "fp")
+        if rest.isEmpty():
+            return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, hot: int = HOT) -> DataFrame:

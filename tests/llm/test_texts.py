@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -99,6 +100,27 @@ def test_tiles_lose_no_link(spark):
     assert all((a ^ b).bit_count() <= 64 for a, b in found) and roots(values, found) == want
 
 
+def test_full_groups_are_dealt_again(spark):
+    """Numbers that share all but a few bits, in groups of forty at most, so they are dealt again."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    high = np.uint64(0x9F3B_0000_0000_0000)
+    prints = np.unique(np.concatenate([high + np.arange(0, 600, 3, dtype=np.uint64), high + (np.uint64(1) << np.arange(20, 44, dtype=np.uint64)), rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    values = [int(x) for x in prints]
+    want = roots(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2])
+    found = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.links(df, 2, tile=3, group=40).collect()]
+    assert roots(values, found) == want
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_linked_pairs_share_a_deal(radius):
+    """Whichever bits differ, one choice of runs leaves all of them free."""
+    free = list(range(3, 20))
+    for bits in itertools.combinations(free, radius):
+        assert any(set(bits) <= set(left) for left in simhash.narrowed(free, radius))
+    assert all(len(left) < len(free) for left in simhash.narrowed(free, radius))
+
+
 def plain_removal(rows, length):
     seen, out = set(), []
     for key, text in rows:
