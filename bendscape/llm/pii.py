@@ -7,7 +7,7 @@ SHA-256 of the other. A kind of value is given by a bijection between its valid
 
 * card: 13 to 19 digits with a right check digit; all but that are permuted, and it is worked out anew;
 * phone: ten digits of the North American plan, area and exchange codes from 200 on; other numbers with ``+``: all
-  digits but the first;
+  digits but the country code;
 * ssn: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999;
 * ip: four octets from 0 to 255; a first octet of 1 to 223 stays within these, one of 0 or 224 to 255 (multicast,
   reserved) within those;
@@ -42,6 +42,8 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\d)",
 }
+#: The country codes of two digits. Those that begin with 1 or 7 have one, all others three.
+SHORT_CODES = "^(?:20|27|3[0-4]|36|39|4[0139]|4[4-8]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: 73,049 days from 1900-01-01 to 2099-12-31, as 17 times 4297.
 DAYS = (17, 4297)
 
@@ -120,7 +122,13 @@ def _phone(value: Column, key: str, inverse: bool) -> Column:
 
 
 def _abroad(value: Column, key: str, inverse: bool) -> Column:
-    return let(_digits(value), lambda d: F.when(F.length(d).between(8, 19), _refill(value, F.concat(F.substring(d, 1, 1), _halves(F.substring(d, F.lit(2), F.length(d) - 1), "abroad", key, inverse)))).otherwise(value))
+    def permuted(d: Column) -> Column:
+        code = F.when(d.rlike("^[17]"), F.lit(1)).when(d.rlike(SHORT_CODES), F.lit(2)).otherwise(F.lit(3))
+        rest = lambda n: _halves(F.substring(d, n + 1, F.length(d) - n), "abroad", key, inverse)
+        new = let(code, lambda n: F.concat(F.substring(d, F.lit(1), n), rest(n)))
+        return F.when(F.length(d).between(8, 19), _refill(value, new)).otherwise(value)
+
+    return let(_digits(value), permuted)
 
 
 def _ssn(value: Column, key: str, inverse: bool) -> Column:
