@@ -19,7 +19,7 @@ the same one). Sorting every suffix of the corpus would move many times its size
 Matches never cross documents. Runs are compared by 64-bit hashes (steps 1 and 2), borders by their bytes.
 
 Defined results: a null text is empty; an empty table gives no rows; a text of fewer bytes than ``length`` keeps all.
-Keys are integers; a null key comes before all others. Rows that repeat a key are told apart by a hash of their text,
+Keys are integers, others raise a TypeError; a null key comes before all others. Rows that repeat a key are told apart by a hash of their text,
 which also orders them; wholly equal rows count as one row and give one row. Further columns are ignored.
 """
 
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from bendscape.llm.common import between, blocks, byte_values, mix, prefix, sliding_argmin, texts
 
@@ -349,6 +350,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     ``length`` is at most 65,000. Documents' texts are shuffled once (both joins use one exchange); the runs of step 1,
     about one for 36 bytes of text, once.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be an integer column")
     ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
     total, distinct = docs.agg(F.count("*"), F.countDistinct(ids)).first()
     h = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if total > distinct else F.lit(0).cast("long")

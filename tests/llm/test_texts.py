@@ -147,6 +147,8 @@ def test_suffix_dedup(spark, group, monkeypatch):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df.repartition(5)).collect()}
     assert got == {k: tuple(x) for k, *x in plain_removal(rows, 100)}
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(df.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_suffix_dedup_orders_nulls_and_repeated_keys(spark):
@@ -278,6 +280,41 @@ def test_training_learns_the_context(spark):
     assert again == {k: r.score for k, r in runs[1].items()}
 
 
+def test_weights_do_not_depend_on_how_texts_are_dealt(spark):
+    """Equal weights, to the last bit, from 1, 4 and 64 tasks, one and many shards, and any size of batches and of means."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(rng.randint(0, 60), rng)) for i in range(300)] + [(None, prose(40, rng)), (7, prose(9, rng))], "doc_id long, text string")
+    end = attention_lm.encoding(attention_lm.TOKENIZER)[2]
+    ids = np.random.Generator(np.random.PCG64(4)).integers(0, 9, end).astype(float)
+
+    def weights(df, shards, fan=attention_lm.FAN, tasks=attention_lm.TASKS):
+        m = attention_lm.Model(ids)
+        attention_lm.averaged(attention_lm._rows(df, "doc_id", "text"), m, 0.01, shards, batch_size=16, fan=fan, tasks=tasks)
+        return m.w
+
+    untrained = attention_lm.Model(ids).w
+    first = {shards: weights(docs.repartition(4), shards) for shards in (1, 7)}
+    assert any((first[1][k] != untrained[k]).any() for k in untrained) and any((first[1][k] != first[7][k]).any() for k in untrained)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for shards, expected in first.items():
+            for tasks in (1, 64):
+                other = weights(docs.orderBy("text").repartition(tasks), shards, tasks=3 if tasks == 1 else attention_lm.TASKS)
+                assert all((other[k] == expected[k]).all() for k in expected), (shards, tasks)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # A mean of means, by numbers of windows, is the mean.
+    by_twos = weights(docs, 7, fan=2)
+    assert all(np.allclose(by_twos[k], first[7][k], atol=1e-6) for k in by_twos)
+
+
+def test_runs_of_numbers():
+    import pyarrow as pa
+
+    assert attention_lm.runs_of(pa.array([4, 4, 2, 9, 9, 9])) == [(4, 0, 2), (2, 2, 3), (9, 3, 6)]
+    assert attention_lm.runs_of(pa.array([], pa.int64())) == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body class="menu"><header><p>Site</p></header><nav><ul><li>Home</ul></nav>
 <!-- no --><div class="ad">Buy</div><article><h1>The &lt;Title&gt;</h1><p>One  two&nbsp;three<br>four<p><b>five</b>six<aside>note</aside><div class="comment-list"><p>first!</p><div>x</div></div><form>f<input></form></article>
 <section id="related"><p>More</p></section><footer>&copy; us</footer></body></html>"""
