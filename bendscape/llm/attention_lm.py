@@ -14,8 +14,8 @@ a whole batch of windows. A cell is predicted as a class and a place in it. What
 of smoothed counts of (previous id, cell) pairs, so an untrained model is a bigram.
 
 Everything that is learned grows with the corpus: ids and pairs are counted over all training texts by Spark aggregates
-(the tables have a fixed size), and the weights are trained on the windows of ``SHARE`` of the training texts, chosen by a
-hash, in ``ROUNDS`` rounds on a part of these each. A round's texts are dealt by a hash of their ids into shards of about
+(the tables have a fixed size), and the weights are trained on the windows of all training texts, dealt by a
+hash over ``ROUNDS`` rounds (``share`` takes a part of them). A round's texts are dealt by a hash of their ids into shards of about
 ``SHARD`` subword ids; Adam runs in numpy over the windows of each shard on a copy of the weights, in the order of that
 hash, and the copies are averaged by their numbers of windows, ``FAN`` at a time. No task or driver holds more than its
 part, a shard sees as much text whatever the size of the corpus, and weights do not depend on tasks, batches or machines.
@@ -41,8 +41,8 @@ from bendscape.llm.common import LOWER, NOT_SPACE, between, blocks, byte_values,
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FREQUENT = 1 << 22
-#: Part of the training texts whose windows train the weights, and in how many rounds.
-SHARE, ROUNDS = 0.125, 2
+#: Part of the training texts whose windows train the weights (all), and in how many rounds, each on texts of its own.
+SHARE, ROUNDS = 1.0, 2
 #: About how many subword ids one copy of the weights sees in a round, how many copies are averaged at once, and among how
 #: many tasks shards are dealt at most.
 SHARD, FAN, TASKS = 1 << 19, 64, 1 << 14
