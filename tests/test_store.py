@@ -161,3 +161,11 @@ def test_coordinates_from_one_and_from_many_tasks(spark):
     assert many.rdd.getNumPartitions() == 64
     many = many.orderBy("pos").select("x", "y").collect()
     assert len(one) == 59_998 and np.allclose(one, many, rtol=0, atol=1e-9)
+
+
+def test_blocks_are_decoded_few_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1000))})
+    parts = list(store._few([batch, batch.slice(0, 0), batch.slice(5, 3)]))
+    assert max(map(len, parts)) <= store.FEW and [x for p in parts for x in p.column(0).to_pylist()] == [*range(1000), 5, 6, 7]
