@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bendscape.llm.common import LOWER, NOT_SPACE, between, blocks, byte_values, cut, fresh, listed, mix, prefix, spans, texts
-from bendscape.llm.components import components
+from bendscape.llm.components import components, merged
 from bendscape.llm.simhash import majority
 
 SIZE = 5
@@ -154,22 +154,6 @@ def possible(a: Side, b: Side, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def merged(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Labels after the links x-y between nodes."""
-    new = np.arange(len(label))
-    u, v = label[x], label[y]
-    while True:
-        low = np.minimum(new[u], new[v])
-        after = new.copy()
-        np.minimum.at(after, u, low)
-        np.minimum.at(after, v, low)
-        np.minimum.at(after, new, after)
-        after = after[after]
-        if (after == new).all():
-            return new[label]
-        new = after
-
-
 def spanning(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Places of links that join all labels which the given links join, and close no ring."""
     chosen = [np.zeros(0, np.int64)]
