@@ -6,16 +6,22 @@ Texts at four fifths differ in a seventh of the bits on average: in 9.7 of 64 (d
 ``NEAR`` and ``RADIUS`` lie 3.6 and 4.4 deviations beyond, so about one link in 5,000 at the very limit is missed, and
 fewer above; tests and the README have the recall against brute force. Unlike texts differ in half the bits.
 
-Sets are dealt into cells by their size, and cells into tiles of bounded size. Tiles meet only where their cells may hold
-sets of which one has up to 5/4 times the other's shingles; within them, strips whose sizes or population counts are too
-far apart are skipped, and the rest is compared by exclusive-or and bit counts. Candidates are held against parity bits,
-which differ in as many places as the sets in shingles, less those that fall together (four deviations are allowed). Pairs
-do not grow with the square of a group: from a pair of tiles only links come that join what is not joined yet, the
-nearest first. These are settled by the whole sets. Where one of them fails, its pair of tiles is compared once more for
-what still may join different components, until no link fails; so no link between components is lost either.
-
-The number of comparisons grows with the square of the documents of like size, as in every tiled comparison: some 300
-million in a second of one core. A tile is shuffled once for each tile it meets; ``tile`` sets how often that is.
+Sets meet by ``BANDS`` keys of ``HASHES`` min-hashes each: sets at four fifths have a key in common but for one pair in
+thirty million, unlike texts hardly ever have. Most keys are those of one set and go no further, so what is shuffled grows
+with the documents. Small buckets of equal keys are packed together, those of one smallest member side by side, into packs
+of bounded size. In a large bucket all sets are first held against its smallest: what that joins is not compared with each
+other, but in tiles with the rest only, and the tiles of the rest with each other.
+
+In a pack or pair of tiles, strips whose sizes or population counts are too far apart are skipped, and the rest is compared
+by exclusive-or and bit counts. Candidates are held against parity bits, which differ in as many places as the sets in
+shingles, less those that fall together (four deviations are allowed). Pairs do not grow with the square of a group: from a
+pack only links come that join what is not joined yet, the nearest first. These are settled by the whole sets. Where one of
+them fails, its pack is compared once more for what still may join different components, until no link fails; so no link
+between components is lost either.
+
+A pack takes as many comparisons for each of its sets as it has sets, ``tile`` / 4 or so: some 300 million in a second of one
+core. Only more than ``tile`` sets that share a key and of which most are not linked to the smallest are shuffled once for
+each tile that they meet.
 
 Defined results: a text of fewer words than a shingle is one shingle; texts without words are copies of each other; rows
 without a key stay; rows of one key with texts that nothing links all stay, if they are the smallest of their components;
@@ -24,8 +30,6 @@ rows that repeat key and text are one row. Further columns are carried along. An
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,14 +47,19 @@ WORDS = 4
 NEAR, RADIUS = 20, 64
 #: Parity bits of a set: whether an odd number of its shingles falls to each place.
 BITS = 2048
-#: Sets in a tile, about.
+#: Keys of a set, and min-hashes in each: at four fifths (1 - 0.8 ** 3) ** 24 = 3.3e-8 of the pairs have none in common.
+BANDS, HASHES = 24, 3
+#: Sets in a tile, about; packs and buckets that are packed have a fourth of that.
 TILE = 1 << 14
 #: Rows of a tile that are compared at once, and candidates that are checked at once.
 STRIP, CHUNK = 256, 1 << 15
 #: Further links of a pair of tiles that are checked all at once; of more, only those that join.
 AT_ONCE = 1 << 16
 
-_PAIR = ["ca", "ta", "cb", "tb"]
+_PAIR = ["pack", "ta", "tb"]
+_PAIR_TYPES = ["long", "int", "int"]
+_SKETCH = ["n", *[f"p{k}" for k in range(WORDS)], "parity"]
+_FLIP, _SPREAD = np.random.Generator(np.random.PCG64(824)).integers(0, 1 << 64, (2, BANDS, HASHES), dtype=np.uint64)
 
 
 # ---------------------------------------------------------------- sets and their sketches
@@ -82,12 +91,33 @@ def fingerprint_words(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([majority(mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), first) for k in range(WORDS)], axis=1)
 
 
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Keys of sets, a row of BANDS for each: hashes of the band and of HASHES smallest shingles by orders of its own."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    some = np.flatnonzero([len(s) > 0 for s in sets])
+    first = np.cumsum([0, *[len(sets[k]) for k in some]])
+    i = 0
+    while i < len(some):
+        j = max(i + 1, int(np.searchsorted(first, first[i] + (1 << 15), side="right")) - 1)
+        hashes, begin = np.concatenate([sets[k] for k in some[i:j]]), first[i:j] - first[i]
+        part = np.empty_like(hashes)
+        for band in range(BANDS):
+            key = np.full(j - i, band, np.uint64)
+            for flip, spread in zip(_FLIP[band], _SPREAD[band] | np.uint64(1), strict=True):
+                np.bitwise_xor(hashes, flip, out=part)
+                part *= spread
+                key = mix(key * np.uint64(3) + np.minimum.reduceat(part, begin))
+            out[some[i:j], band] = key
+        i = j
+    return out
+
+
 def sketches(rows: DataFrame, size: int = SIZE) -> DataFrame:
-    """(key, h, id, n, p0.., parity) of rows (key, h, text): the number of each text's set, its size and bits."""
+    """(key, h, id, n, p0.., parity, bands) of rows (key, h, text): the number of each text's set, its size, bits and keys."""
     schema = T.StructType([rows.schema["key"], rows.schema["h"]]).add("id", T.LongType()).add("n", T.IntegerType())
     for k in range(WORDS):
         schema.add(f"p{k}", T.LongType())
-    schema.add("parity", T.BinaryType())
+    schema.add("parity", T.BinaryType()).add("bands", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
@@ -96,7 +126,8 @@ def sketches(rows: DataFrame, size: int = SIZE) -> DataFrame:
             parity = [np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes() for s in sets]
             ids = pa.array([set_id(s) for s in sets], pa.int64())
             n = pa.array([len(s) for s in sets], pa.int32())
-            columns = [batch.column(0), batch.column(1), ids, n, *[pa.array(words[:, k]) for k in range(WORDS)], pa.array(parity, pa.binary())]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sets).view(np.int64).ravel()))
+            columns = [batch.column(0), batch.column(1), ids, n, *[pa.array(words[:, k]) for k in range(WORDS)], pa.array(parity, pa.binary()), bands]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.select("key", "h", "text").mapInArrow(run, schema)
@@ -105,11 +136,12 @@ def sketches(rows: DataFrame, size: int = SIZE) -> DataFrame:
 # ---------------------------------------------------------------- comparing two tiles
 
 class Side:
-    """The sets of a tile, in order of their sizes."""
+    """The sets of a tile, in order of their sizes if ``nodes`` has the places of their ids; else as they come."""
 
-    def __init__(self, table: pa.Table, nodes: np.ndarray):
-        table = table.sort_by([("n", "ascending"), ("id", "ascending")])
-        self.node = np.searchsorted(nodes, table.column("id").to_numpy())
+    def __init__(self, table: pa.Table, nodes: np.ndarray | None = None):
+        if nodes is not None:
+            table = table.sort_by([("n", "ascending"), ("id", "ascending")])
+            self.node = np.searchsorted(nodes, table.column("id").to_numpy())
         self.n = table.column("n").to_numpy().astype(np.int64)
         self.words = np.stack([table.column(f"p{k}").to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
         self.first = np.ascontiguousarray(self.words[:, 0])
@@ -214,9 +246,9 @@ def joining(a: Side, b: Side, label: np.ndarray, failed: np.ndarray) -> tuple[np
 def _compared(table: pa.Table, failed: pa.Table) -> pa.Table:
     """New links of a pair of tiles."""
     side = table.column("side").to_numpy()
-    alone = bool(len(table)) and [table.column(c)[0].as_py() for c in _PAIR[:2]] == [table.column(c)[0].as_py() for c in _PAIR[2:]]
+    alone = bool(len(table)) and table.column("ta")[0].as_py() == table.column("tb")[0].as_py()
     if not (side == 0).any() or not (alone or (side == 1).any()):
-        return pa.table({c: pa.array([], t) for c, t in [*[(p, pa.int32()) for p in _PAIR], ("a", pa.int64()), ("b", pa.int64())]})
+        return pa.table({c: pa.array([], t) for c, t in [("pack", pa.int64()), ("ta", pa.int32()), ("tb", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]})
     ids = table.column("id").to_numpy()
     nodes, at = np.unique(ids, return_index=True)
     _, label = np.unique(table.column("label").to_numpy()[at], return_inverse=True)
@@ -224,31 +256,69 @@ def _compared(table: pa.Table, failed: pa.Table) -> pa.Table:
     b = a if alone else Side(table.filter(pa.array(side == 1)), nodes)
     u, v = (np.searchsorted(nodes, failed.column(c).to_numpy()) for c in ("a", "b"))
     x, y = joining(a, b, label, np.minimum(u, v) * len(nodes) + np.maximum(u, v))
-    key = {c: pa.array(np.full(len(x), table.column(c)[0].as_py(), np.int32)) for c in _PAIR}
+    key = {c: pa.array([table.column(c)[0].as_py()] * len(x), table.schema.field(c).type) for c in _PAIR}
     return pa.table({**key, "a": nodes[x], "b": nodes[y]})
 
 
-# ---------------------------------------------------------------- all tiles
-
-def meetings(sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """``sets`` (id, n, ...) once for each pair of tiles in which they are: with ca, ta, cb, tb and side."""
-    cell = F.floor(F.log("n") / math.log(1.25)).cast("int")
-    rows = sets.where("n > 0").withColumn("cell", cell)
-    # One row for each fifth part of sizes: as many as the longest text has fours to the five in its size.
-    tiles = {r.cell: -(-r.n // tile) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    if not tiles:
-        return rows.limit(0).select("*", *[F.lit(0).alias(c) for c in (*_PAIR, "side")]).drop("cell")
-    known = F.create_map(*[F.lit(x) for item in tiles.items() for x in item])
-    count = lambda c: F.coalesce(F.element_at(known, c), F.lit(0))
-    own = F.col("tile")
-    numbers = lambda c: F.slice(F.sequence(F.lit(0), F.lit(max(tiles.values()))), F.lit(1), count(c))
-    pair = lambda ca, ta, cb, tb, side: F.struct(ca.alias("ca"), ta.alias("ta"), cb.alias("cb"), tb.alias("tb"), side.cast("int").alias("side"))
-    c = F.col("cell")
-    within = F.transform(numbers(c), lambda u: pair(c, F.least(own, u), c, F.greatest(own, u), own > u))
-    above = F.transform(numbers(c + 1), lambda u: pair(c, own, c + 1, u, F.lit(0)))
-    below = F.transform(numbers(c - 1), lambda u: pair(c - 1, u, c, own, F.lit(1)))
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), count(c)).cast("int"))
-    return rows.withColumn("_m", F.explode(F.concat(within, above, below))).select(*sets.columns, "_m.*")
+# ---------------------------------------------------------------- all packs and tiles
+
+def buckets(sets: DataFrame) -> DataFrame:
+    """(bucket, id, m, least): the sets that share a key, how many these are, and the smallest."""
+    members = sets.where("n > 0").select(F.explode("bands").alias("bucket"), "id")
+    shared = listed(members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1"))
+    return cut(members.join(shared, "bucket").select("bucket", "id", "m", "least"))
+
+
+def packed(shared: DataFrame, most: int) -> DataFrame:
+    """(pack, id, ta, tb, side) of buckets of up to ``most`` sets, in packs of about as many."""
+    small = shared.where(F.col("m") <= most)
+    packs = max(1, -(-small.count() // most))
+    rows = small.select(F.pmod(F.xxhash64("least"), F.lit(packs)).cast("long").alias("pack"), "id").distinct()
+    return rows.select("pack", "id", *[F.lit(0).alias(c) for c in ("ta", "tb", "side")])
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets that fingerprints and parity bits do not rule out."""
+    ends = {}
+    for c in ("a", "b"):
+        few = listed(pairs.select(F.col(c).alias("id")).distinct())
+        ends[c] = sets.join(few, "id", "left_semi").select(F.col("id").alias(c), F.struct("id", *_SKETCH).alias(f"s{c}"))
+
+    def run(batches):
+        for batch in batches:
+            a, b = (Side(pa.Table.from_batches([pa.RecordBatch.from_struct_array(batch.column(k))])) for k in (2, 3))
+            keep = (5 * a.n >= 4 * b.n) & (5 * b.n >= 4 * a.n)
+            keep &= np.bitwise_count(a.words ^ b.words).sum(axis=1, dtype=np.int64) <= RADIUS
+            at = np.flatnonzero(keep)
+            keep[at] = possible(a, b, at, at)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return pairs.join(ends["b"], "b").join(ends["a"], "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def starred(large: DataFrame, sets: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(a, b): links of sets of large buckets to the smallest set of a bucket in which they are."""
+    pairs = large.groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")).where("a <> b").select("a", "b")
+    return alike(cut(likely(cut(pairs), sets)), sets, rows, size)
+
+
+def tiled(large: DataFrame, named: DataFrame, tile: int) -> DataFrame:
+    """(pack, id, ta, tb, side) of large buckets: what is joined to the smallest set meets the rest, and the rest itself."""
+    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    met = large.join(of("id"), "id", "left").join(of("least"), "least", "left")
+    met = met.select("bucket", "id", (F.coalesce("id_in", "id") == F.coalesce("least_in", "least")).alias("inside"))
+    tiles = lambda inside: F.ceil(F.count_if(F.col("inside") == inside) / tile).cast("int")
+    counts = listed(met.groupBy("bucket").agg(tiles(False).alias("rest"), tiles(True).alias("joined")).where("rest > 0"))
+    pair = lambda ta, tb, side: F.struct(ta.alias("ta"), tb.alias("tb"), side.cast("int").alias("side"))
+    rest, joined, own = F.col("rest"), F.col("joined"), F.col("own")
+    numbers = lambda first, n: F.transform(F.array_repeat(F.lit(0), n), lambda _, i: first + i)
+    within = F.transform(numbers(F.lit(0), rest), lambda u: pair(F.least(own, u), F.greatest(own, u), own > u))
+    beside = F.transform(numbers(rest, joined), lambda u: pair(own, u, F.lit(0)))
+    against = F.transform(numbers(F.lit(0), rest), lambda u: pair(u, own, F.lit(1)))
+    own_tile = F.when(F.col("inside"), rest + F.pmod(F.xxhash64("id"), joined)).otherwise(F.pmod(F.xxhash64("id"), rest)).cast("int")
+    dealt = met.join(counts, "bucket").withColumn("own", own_tile)
+    dealt = dealt.select(F.col("bucket").alias("pack"), "id", F.explode(F.when(F.col("inside"), against).otherwise(F.concat(within, beside))).alias("_m"))
+    return dealt.select("pack", "id", "_m.*")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int = SIZE) -> DataFrame:
@@ -278,13 +348,27 @@ def alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int = SIZE)
     return cut(met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
+def meetings(sets: DataFrame, rows: DataFrame, size: int = SIZE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(pack, id, ta, tb, side): where sets meet; and the links (a, b) that are known by then."""
+    shared, most = buckets(sets), max(2, tile // 4)
+    met, large = packed(shared, most), shared.where(F.col("m") > most)
+    if large.isEmpty():
+        return cut(met), sets.sparkSession.createDataFrame([], "a long, b long")
+    found = starred(large, sets, rows, size)
+    return cut(met.unionByName(tiled(large, components(found), tile))), found
+
+
 def links(sets: DataFrame, rows: DataFrame, size: int = SIZE, tile: int = TILE) -> DataFrame:
-    """(a, b): links between sets that connect all that share four fifths of their union, but for the bits' misses."""
-    link = ", ".join(f"{c} int" for c in _PAIR) + ", a long, b long"
-    none = sets.sparkSession.createDataFrame([], link)
-    todo = meetings(sets, tile).withColumn("label", F.col("id"))
-    all_found, all_failed = none.select("a", "b"), none
+    """(a, b): links between sets that connect all that share four fifths of their union, but for the misses of keys and bits."""
+    link = ", ".join(f"{c} {t}" for c, t in zip(_PAIR, _PAIR_TYPES, strict=True)) + ", a long, b long"
+    all_failed = sets.sparkSession.createDataFrame([], link)
+    met, all_found = meetings(sets, rows, size, tile)
+    again = met
+    sketch = sets.join(listed(met.select("id").distinct()), "id", "left_semi").select("id", *_SKETCH)
     while True:
+        named = components(all_found).withColumnRenamed("node", "id")
+        sketched = again.join(sketch, "id").join(named, "id", "left")
+        todo = sketched.withColumn("label", F.coalesce("component", "id")).drop("component")
         groups = todo.groupBy(*_PAIR).cogroup(all_failed.groupBy(*_PAIR))
         new = cut(groups.applyInArrow(_compared, link))
         found = alike(new.select("a", "b").distinct(), sets, rows, size)
@@ -292,20 +376,18 @@ def links(sets: DataFrame, rows: DataFrame, size: int = SIZE, tile: int = TILE)
         failed = cut(new.join(found, ["a", "b"], "left_anti").select(*new.columns))
         if failed.isEmpty():
             return all_found
-        # Pairs of tiles with a link that failed are compared again, knowing which links hold.
+        # Packs with a link that failed are compared again, knowing which links hold.
         all_failed = all_failed.union(failed)
-        named = components(all_found)
-        again = meetings(sets, tile).join(failed.select(*_PAIR).distinct(), _PAIR, "left_semi")
-        todo = again.join(named.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        again = met.join(failed.select(*_PAIR).distinct(), _PAIR, "left_semi")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, tile: int = TILE) -> DataFrame:
     """``docs`` with one document, that with the smallest key, of each component of linked sets."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
     known = cut(sketches(rows, size))
-    bits = [*[f"p{k}" for k in range(WORDS)], "parity"]
-    least = known.groupBy("id").agg(F.min(F.struct("key", "h")).alias("least"), *[F.any_value(c).alias(c) for c in ("n", *bits)])
-    sets = cut(least.select("id", "least.*", "n", *bits))
+    bits = [*_SKETCH, "bands"]
+    least = known.groupBy("id").agg(F.min(F.struct("key", "h")).alias("least"), *[F.any_value(c).alias(c) for c in bits])
+    sets = cut(least.select("id", "least.*", *bits))
     named = components(links(sets, rows, size, tile)).withColumnRenamed("node", "id")
     placed = sets.select("id", "key", "h").join(named, "id", "left").select("key", "h", F.coalesce("component", "id").alias("c"))
     stay = placed.groupBy("c").agg(F.min(F.struct("key", "h")).alias("s")).select("s.*")

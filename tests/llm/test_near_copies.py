@@ -5,6 +5,7 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -82,3 +83,30 @@ def test_pipeline_drops_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     stage = dict(pipeline.STAGES)["near_duplicates"]
     assert sorted(r.doc_id for r in stage(spark, df, "").collect()) == plain_firsts(rows) == [*range(20), *range(200, 220)]
+
+
+def test_what_meets_grows_with_the_texts(spark):
+    """Unlike texts of one size meet nothing, whatever their number; a large group meets its smallest set only."""
+    rng = random.Random(8)
+    unlike = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(400)]
+    base = [f"b{i}" for i in range(200)]
+    group = [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(0, 200, 2)]
+    for tile in (1 << 14, 16):
+        counts = []
+        for words in (unlike[:200], unlike, unlike[:50] + group):
+            rows = spark.createDataFrame(list(enumerate(words)), "key long, text string").selectExpr("key", "xxhash64(text) AS h", "text")
+            met, found = near_copies.meetings(near_copies.sketches(rows), rows, tile=tile)
+            counts.append((met.count(), found.count()))
+        assert counts[:2] == [(0, 0)] * 2
+        assert counts[2][0] + counts[2][1] <= 10 * len(group) and (tile > 16 or counts[2][1] > 0.8 * len(group))
+
+
+def test_sets_at_four_fifths_have_keys_in_common():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (5, 45, 450) * 100:
+        both, x, y = np.split(rng.integers(0, 1 << 64, n, dtype=np.uint64), [n * 4 // 5, n * 9 // 10])
+        sets += [np.sort(np.append(both, x)), np.sort(np.append(both, y))]
+    keys = near_copies.band_keys([*sets, np.zeros(0, np.uint64)])[:-1].reshape(300, 2, -1)
+    same = (keys[:, 0] == keys[:, 1]).sum(axis=1)
+    assert same.min() > 0 and abs(same.mean() / near_copies.BANDS - 0.8**near_copies.HASHES) < 0.05
