@@ -31,6 +31,7 @@ from __future__ import annotations
 import base64
 import copy
 import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,106 @@ class Batch:
         return ids[place], np.append(0, ends)[self.first]
 
 
+def views_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, keys and values of all rows but the first; a row's keys and values are its own and those of the row before.
+
+    ``p`` has, for each id, its query, what goes straight to its state, its key, its value, and 1 if it is not dead.
+    """
+    d, rows = WIDTH, len(p) // BLOCK
+    at, one = p.strides
+    both = lambda first, width: np.ndarray((rows - 1, 2 * BLOCK, width), p.dtype, p, first * one, (BLOCK * at, at, one))
+    return p.reshape(rows, BLOCK, -1)[1:, :, :d], both(2 * d, d), both(3 * d, d + 1)
+
+
+class Room:
+    """Arrays for the steps of a training, of that many rows at most."""
+
+    def __init__(self, rows: int, dtype: np.dtype):
+        d, n = WIDTH, rows * BLOCK
+        self.p, self.dp = np.empty((n, 5 * d), dtype), np.empty((n, 4 * d), dtype)
+        self.q, self.keys, self.values = views_of(self.p)
+        self.s, self.ds = np.empty((2, rows - 1, BLOCK, 2 * BLOCK), dtype)
+        self.c, self.g = np.empty((2, rows - 1, BLOCK, d + 1), dtype)
+        self.both = np.empty((rows - 1, 2 * BLOCK, 2 * d), dtype)
+        self.y, self.z, self.t = np.empty((n, CLASSES), dtype), np.empty((n, PLACES), dtype), np.empty((n, d), dtype)
+        self.ones, self.rows = np.ones(max(n, CLASSES, PLACES), dtype), np.arange(n)
+
+
+@dataclass
+class Step:
+    """Where the ids of a step's rows are and what they aim at, found out for many steps at once."""
+
+    windows: int
+    #: Cells of all rows' ids, and the places of dead ones among these.
+    cells: np.ndarray
+    dead: np.ndarray
+    #: By class: where the targets' ids stand (from the second row on), and (class, begin, end).
+    at: np.ndarray
+    classes: list[tuple[int, int, int]]
+    of_class: np.ndarray
+    place: np.ndarray
+    before: np.ndarray
+    pairs: np.ndarray
+    #: All rows' ids by cell, the cells that occur, and where each begins.
+    order: np.ndarray
+    used: np.ndarray
+    first: np.ndarray
+
+
+def planned(cells: np.ndarray, goals: np.ndarray, low: np.ndarray, high: np.ndarray, windows: int = 0):
+    """The steps of rows low..high each (fewer than 2,048 steps); a first row is only seen, ``goals`` are the cells that follow."""
+    n = high - low
+    step, top = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+    offset = np.arange(top[-1]) - np.repeat(top - n, n)
+    row = np.repeat(low, n) + offset
+    seen = cells[row]
+    goal = np.where((offset[:, None] > 0) & (seen < CELLS), goals[row], CELLS).ravel()
+    seen = seen.ravel()
+    live = np.flatnonzero(goal < CELLS)
+    goal = goal[live]
+    key = (step[live // BLOCK] * CLASSES + goal // PLACES).astype(np.uint16)
+    by_class = np.argsort(key, kind="stable")
+    edges = np.append(0, np.cumsum(np.bincount(key, minlength=len(n) * CLASSES))).tolist()
+    live, goal = live[by_class], goal[by_class]
+    at = (offset[live // BLOCK] - 1) * BLOCK + live % BLOCK
+    before = np.minimum(seen[live], BEFORE - 1)
+    of_class, place = goal // PLACES, goal % PLACES
+    pairs = before * CLASSES + of_class
+    # Numbers of step, cell and place sort faster than places by cell.
+    bits = int(n.max() * BLOCK).bit_length()
+    inside = offset.repeat(BLOCK) * BLOCK + np.tile(np.arange(BLOCK), len(row))
+    order = np.sort(((step.repeat(BLOCK) * (CELLS + 1) + seen) << bits) + inside)
+    cell, order = order >> bits, order & ((1 << bits) - 1)
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    used = cell[first] % (CELLS + 1)
+    dead = np.flatnonzero(seen == CELLS)
+    tops = np.append(0, top * BLOCK)
+    of_first, of_dead, tops = np.searchsorted(first, tops).tolist(), np.searchsorted(dead, tops).tolist(), tops.tolist()
+    for i in range(len(n)):
+        a, b = edges[i * CLASSES], edges[(i + 1) * CLASSES]
+        mine = edges[i * CLASSES : (i + 1) * CLASSES + 1]
+        classes = [(c, x - a, y - a) for c, (x, y) in enumerate(itertools.pairwise(mine)) if x < y]
+        t, r, f = slice(tops[i], tops[i + 1]), slice(a, b), slice(of_first[i], of_first[i + 1])
+        yield Step(windows, seen[t], dead[of_dead[i] : of_dead[i + 1]] - tops[i], at[r], classes, of_class[r], place[r], before[r], pairs[r], order[t], used[f], first[f] - tops[i])
+
+
+def steps_of(grids, cell: np.ndarray, size: int, most: int = 1024):
+    """Steps of ``size`` windows each, the last of what is left; where a grid ends does not matter."""
+    held = np.full((1, BLOCK), -1, dtype=np.int32)
+    for grid in itertools.chain(grids, [None]):
+        rows = held if grid is None else np.concatenate([held, grid])
+        windows = np.flatnonzero(rows[1:, 0] >= 0) + 1
+        cells = np.where(rows >= 0, cell[rows], CELLS).astype(np.int64)
+        goals = np.append(cells.ravel()[1:], CELLS).reshape(cells.shape)
+        whole = len(windows) // size * size
+        for i in range(0, whole, most * size):
+            mine = windows[i : min(i + most * size, whole)]
+            yield from planned(cells, goals, mine[::size] - 1, mine[size - 1 :: size] + 1, size)
+        if grid is None and whole < len(windows):
+            yield from planned(cells, goals, windows[whole : whole + 1] - 1, windows[-1:] + 1, len(windows) - whole)
+        held = rows[windows[whole] - 1 :] if whole < len(windows) else rows[-1:]
+
+
 class Model:
     """The attention model: cells of the ids, their static shares, and the weights."""
 
@@ -134,7 +235,7 @@ class Model:
 
     def logits(self, h: np.ndarray, before: np.ndarray, of_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all classes, and of the places in the given classes, for states in the order of these classes."""
-        z = self.of_place[before, of_class]
+        z = self.of_place.reshape(-1, PLACES).take(before * CLASSES + of_class, axis=0)
         edges = np.searchsorted(of_class, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             a, b = edges[c], edges[c + 1]
@@ -161,107 +262,151 @@ class Model:
         """What :meth:`hidden` gives for all rows but the first of a text laid out in rows, in fewer passes over memory.
 
         Masks and distances are a factor, dead keys have no value and no weight, and the sum of weights is one more
-        column of the values. Logits stay below the range of exp by a clip, not by their largest.
+        column of the values. Logits stay below the range of exp by a clip, not by their largest. All projections of the
+        ids are one matrix product.
         """
         w, d = self.w, WIDTH
-        q = e[1:] @ (w["q"] * np.float32(1 / np.sqrt(d)))
-        k = e @ w["k"]
-        v = np.empty((*e.shape[:2], d + 1), dtype=np.float32)
-        np.matmul(e, w["v"], out=v[..., :d])
-        v[..., d] = 1
-        v *= live[..., None]
-        s = q @ np.concatenate([k[:-1], k[1:]], axis=1).transpose(0, 2, 1)
+        p = np.empty((live.size, 5 * d), e.dtype)
+        np.matmul(e.reshape(-1, d), self.projections(), out=p[:, : 4 * d])
+        p[:, 4 * d] = 1
+        p[np.flatnonzero(~live)] = 0
+        q, keys, values = views_of(p)
+        s = q @ keys.transpose(0, 2, 1)
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s *= np.where(self.causal == 0, np.exp(w["R"]), np.float32(0))
-        c = s @ np.concatenate([v[:-1], v[1:]], axis=1)
-        c = c[..., :d] / (c[..., d:] + np.float32(1e-30))
-        return np.tanh(e[1:] @ w["x"] + c @ w["c"] + w["b"])
+        s *= np.exp(w["R"]) * (self.causal == 0)
+        c = (s @ values).reshape(-1, d + 1)
+        h = (c[:, :d] * (1 / (c[:, d:] + np.float32(1e-30)))) @ w["c"]
+        h += p[BLOCK:, d : 2 * d]
+        h += w["b"]
+        return np.tanh(h, out=h).reshape(-1, BLOCK, d)
+
+    def projections(self) -> np.ndarray:
+        """What makes of an id its query, what goes straight to its state, its key and its value."""
+        w = self.w
+        return np.concatenate([w["q"] * w["q"].dtype.type(WIDTH**-0.5), w["x"], w["k"], w["v"]], axis=1)
 
     def gradients(self, cells: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean loss over the targets of some windows (as cells), and its gradients."""
-        w, d, grad = self.w, WIDTH, {}
-        inputs, target = cells[:, :-1], cells[:, BLOCK + 1 :]
-        live = (target < CELLS) & (inputs[:, BLOCK:] < CELLS)
-        if not live.any():
+        rows = cells[:, :-1].reshape(-1, BLOCK)
+        goals = np.full_like(rows, CELLS)
+        goals[1::2] = cells[:, BLOCK + 1 :]
+        grad = {k: np.empty_like(v) for k, v in self.w.items()}
+        (step,) = planned(rows, goals, np.array([0]), np.array([len(rows)]))
+        if not len(step.at):
             return 0.0, {}
-        e = w["E"][inputs]
-        dead = np.where(inputs == CELLS, np.float32(-1e9), np.float32(0))
-        h, (both, q, k, v, a, c) = self.hidden(e[:, BLOCK:], e[:, :BLOCK], dead)
-        x = both[:, BLOCK:]
-        at = np.flatnonzero(live.ravel())
-        goal = target.ravel()[at]
-        order = np.argsort(goal // PLACES, kind="stable")
-        at, goal = at[order], goal[order]
-        of_class, place, rows = goal // PLACES, goal % PLACES, np.arange(len(goal))
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        seen = flat(h)[at]
-        loss, parts = 0.0, []
-        for logits, hit in zip(self.logits(seen, np.minimum(inputs[:, BLOCK:].ravel()[at], BEFORE - 1), of_class), (of_class, place), strict=True):
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            loss -= float(np.log(p[rows, hit]).mean())
-            p[rows, hit] -= 1
-            parts.append(p / np.float32(len(goal)))
-        g_c, g_u = parts
-        grad["C"] = seen.T @ g_c
-        grad["U"] = np.zeros_like(w["U"])
-        g_seen = g_c @ w["C"].T
-        edges = np.searchsorted(of_class, np.arange(CLASSES + 1))
-        for i in range(CLASSES):
-            s, t = edges[i], edges[i + 1]
-            if s < t:
-                grad["U"][i] = seen[s:t].T @ g_u[s:t]
-                g_seen[s:t] += g_u[s:t] @ w["U"][i].T
-        g_h = np.zeros_like(flat(h))
-        g_h[at] = g_seen
-        g_z = g_h.reshape(h.shape) * (1 - h * h)
-        grad["x"], grad["c"], grad["b"] = flat(x).T @ flat(g_z), flat(c).T @ flat(g_z), g_z.sum((0, 1))
-        g_ctx = g_z @ w["c"].T
-        g_a, g_v = g_ctx @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ g_ctx
-        g_s = a * (g_a - (g_a * a).sum(axis=2, keepdims=True))
-        grad["R"] = g_s.sum(0)
-        g_s = g_s * np.float32(1 / np.sqrt(d))
-        g_q, g_k = g_s @ k, g_s.transpose(0, 2, 1) @ q
-        grad["q"], grad["k"], grad["v"] = flat(x).T @ flat(g_q), flat(both).T @ flat(g_k), flat(both).T @ flat(g_v)
-        g_e = g_k @ w["k"].T + g_v @ w["v"].T
-        g_e[:, BLOCK:] += g_z @ w["x"].T + g_q @ w["q"].T
-        grad["E"] = np.zeros_like(w["E"])
-        order = np.argsort(inputs.ravel(), kind="stable")
-        used, first = np.unique(inputs.ravel()[order], return_index=True)
-        grad["E"][used] = np.add.reduceat(flat(g_e)[order], first, axis=0)
+        return self.backward(step, Room(len(rows), self.w["E"].dtype), grad), grad
+
+    def backward(self, step: Step, room: Room, grad: dict[str, np.ndarray]) -> float:
+        """Fills in the gradients of the mean loss over a step's targets; returns the loss.
+
+        States are those of :meth:`states`. All four projections of the ids are one matrix product, keys and values of two
+        blocks are views of it, and so are their gradients.
+        """
+        w, d, n, k = self.w, WIDTH, len(step.cells) // BLOCK, len(step.at)
+        e, u = w["E"].take(step.cells, axis=0), w["U"]
+        e[step.dead] = 0
+        all_w = self.projections()
+        p, dp = room.p[: n * BLOCK], room.dp[: n * BLOCK]
+        np.matmul(e, all_w, out=p[:, : 4 * d])
+        p[:, 4 * d] = 1
+        p[step.dead, 4 * d] = 0
+        q, keys, values, s, ds, both = room.q[: n - 1], room.keys[: n - 1], room.values[: n - 1], room.s[: n - 1], room.ds[: n - 1], room.both[: n - 1]
+        np.matmul(q, keys.transpose(0, 2, 1), out=s)
+        np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        s *= np.exp(w["R"]) * (self.causal == 0)
+        # The last column is the sum of weights, then minus what each state's gradient has in common for all keys.
+        c, g = room.c[: n - 1].reshape(-1, d + 1), room.g[: n - 1].reshape(-1, d + 1)
+        np.matmul(s, values, out=room.c[: n - 1])
+        one = 1 / (c[:, d:] + e.dtype.type(1e-30))
+        c = c[:, :d] * one
+        h = c @ w["c"]
+        h += p[BLOCK:, d : 2 * d]
+        h += w["b"]
+        seen = np.tanh(h, out=h).take(step.at, axis=0)
+        y, z, g_seen = room.y[:k], room.z[:k], room.t[:k]
+        np.dot(seen, w["C"], out=y)
+        for i, a, b in step.classes:
+            np.dot(seen[a:b], u[i], out=z[a:b])
+        y += self.of_class.take(step.before, axis=0)
+        z += self.of_place.reshape(-1, PLACES).take(step.pairs, axis=0)
+        loss = 0.0
+        # States lie between -1 and 1, so logits are small enough for exp as they are.
+        for x, hit in ((y, step.of_class), (z, step.place)):
+            np.exp(x, out=x)
+            flat, total, at = x.reshape(-1), x @ room.ones[: x.shape[1]], room.rows[:k] * x.shape[1] + hit
+            loss -= float(np.log(flat[at] / total).mean())
+            total *= k
+            x *= (1 / total)[:, None]
+            flat[at] -= x.dtype.type(1 / k)
+        np.dot(seen.T, y, out=grad["C"])
+        grad["U"][...] = 0
+        for i, a, b in step.classes:
+            np.dot(seen[a:b].T, z[a:b], out=grad["U"][i])
+            np.dot(z[a:b], u[i].T, out=g_seen[a:b])
+        g_seen += y @ w["C"].T
+        seen *= seen
+        g_seen *= np.subtract(1, seen, out=seen)
+        g_z = np.zeros_like(h)
+        g_z[step.at] = g_seen
+        np.dot(c.T, g_z, out=grad["c"])
+        np.dot(room.ones[: len(g_z)], g_z, out=grad["b"])
+        g_c = g_z @ w["c"].T
+        g_c *= one
+        g[:, :d] = g_c
+        g_c *= c
+        np.negative(g_c @ room.ones[:d], out=g[:, d])
+        np.matmul(room.g[: n - 1], values.transpose(0, 2, 1), out=ds)
+        ds *= s
+        np.dot(room.ones[: n - 1], ds.reshape(n - 1, -1), out=grad["R"].reshape(-1))
+        np.matmul(ds.transpose(0, 2, 1), q, out=both[..., :d])
+        np.matmul(s.transpose(0, 2, 1), room.g[: n - 1, :, :d], out=both[..., d:])
+        of_rows = dp.reshape(n, BLOCK, 4 * d)
+        of_rows[0, :, : 2 * d] = 0
+        np.matmul(ds, keys, out=of_rows[1:, :, :d])
+        dp[BLOCK:, d : 2 * d] = g_z
+        of_rows[-1, :, 2 * d :] = 0
+        of_rows[:-1, :, 2 * d :] = both[:, :BLOCK]
+        of_rows[1:, :, 2 * d :] += both[:, BLOCK:]
+        g_w = e.T @ dp
+        np.multiply(g_w[:, :d], g_w.dtype.type(d**-0.5), out=grad["q"])
+        grad["x"][...], grad["k"][...], grad["v"][...] = g_w[:, d : 2 * d], g_w[:, 2 * d : 3 * d], g_w[:, 3 * d :]
+        grad["E"][...] = 0
+        grad["E"][step.used] = np.add.reduceat((dp @ all_w.T).take(step.order, axis=0), step.first, axis=0)
         grad["E"][CELLS] = 0
-        return loss, grad
+        return loss
 
-    def train(self, batches, rate: float = 0.01) -> int:
-        """Adam over batches of windows of 2 * BLOCK inputs and, behind them, the last target; an input of -1 is dead.
+    def train(self, grids, rate: float = 0.01, size: int = STEP) -> int:
+        """Adam over the rows of whole texts (see :func:`laid_out`), ``size`` windows a step: rows whose first id is not dead.
 
         Returns the number of windows.
         """
         names = list(self.w)
         ends = np.cumsum([self.w[k].size for k in names])[:-1]
         weights = np.concatenate([self.w[k].ravel() for k in names])
-        # All weights lie in one array, updated in place.
-        self.w = {k: part.reshape(self.w[k].shape) for k, part in zip(names, np.split(weights, ends), strict=True)}
-        m1, m2, part = (np.zeros_like(weights) for _ in range(3))
-        step = seen = 0
-        for windows in batches:
-            _, grad = self.gradients(np.where(windows >= 0, self.cell[windows], CELLS))
-            seen += len(windows)
-            if not grad:
+        split = lambda flat: {k: part.reshape(self.w[k].shape) for k, part in zip(names, np.split(flat, ends), strict=True)}
+        m1, m2, part, g = (np.zeros_like(weights) for _ in range(4))
+        # All weights lie in one array, updated in place, and so do their gradients.
+        self.w, grad = split(weights), split(g)
+        room, n, seen = Room(2 * size + 1, weights.dtype), 0, 0
+        for step in steps_of(grids, self.cell, size):
+            seen += step.windows
+            if not len(step.at):
                 continue
-            step += 1
-            now, root = rate * min(1, step / 10), (1 - 0.99**step) ** 0.5
-            g = np.concatenate([grad[k].ravel() for k in names])
+            self.backward(step, room, grad)
+            n += 1
+            now, root = rate * min(1, n / 10), (1 - 0.99**n) ** 0.5
+            # Moments without their factors 0.1 and 0.01.
             m1 *= 0.9
-            m1 += np.multiply(g, 0.1, out=part)
+            m1 += g
             m2 *= 0.99
             g *= g
-            m2 += np.multiply(g, 0.01, out=part)
+            m2 += g
             np.sqrt(m2, out=part)
-            part += 1e-8 * root
+            part += 1e-7 * root
             np.divide(m1, part, out=part)
-            part *= now * root / (1 - 0.9**step)
+            part *= now * root / (1 - 0.9**n)
             weights -= part
         return seen
 
@@ -283,7 +428,7 @@ class Model:
             if not len(at):
                 continue
             goal = goals[i : i + chunk].ravel()[at]
-            order = np.argsort(goal // PLACES, kind="stable")
+            order = np.argsort((goal // PLACES).astype(np.uint8), kind="stable")
             at, goal = at[order], goal[order]
             of_class, rows = goal // PLACES, np.arange(len(goal))
             before = np.minimum(cells[i : i + chunk].ravel()[at], BEFORE - 1)
@@ -343,15 +488,12 @@ def counted(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.select("text").mapInArrow(run, "subword boolean, hash long, n long").groupBy("subword", "hash").agg(F.sum("n").alias("c"))
 
 
-def windows_of(column: pa.Array, tokenizer: str):
-    """Windows of 2 * BLOCK ids and the id behind them, of the texts of a batch, some at a time."""
+def grids_of(column: pa.Array, tokenizer: str):
+    """The texts of a batch laid out in rows of BLOCK ids, some at a time."""
     data, offsets = texts(column)
     for i, j in blocks(offsets):
         ids, first = Batch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).subwords(tokenizer)
-        grid, _ = laid_out(ids, first, encoding(tokenizer)[2] - 1)
-        after = np.append(grid[:, 0], -1)[2:]
-        rows = np.concatenate([grid[:-1], grid[1:], after[:, None]], axis=1)
-        yield rows[grid[1:, 0] >= 0]
+        yield laid_out(ids, first, encoding(tokenizer)[2] - 1)[0]
 
 
 def pair_counts(training: DataFrame, model: Model, tokenizer: str = TOKENIZER) -> np.ndarray:
@@ -361,8 +503,8 @@ def pair_counts(training: DataFrame, model: Model, tokenizer: str = TOKENIZER) -
     def run(batches):
         total = np.zeros(BEFORE * CELLS, dtype=np.int64)
         for batch in batches:
-            for w in windows_of(batch.column(0), tokenizer):
-                one, two = w[:, BLOCK:-1].ravel(), w[:, BLOCK + 1 :].ravel()
+            for grid in grids_of(batch.column(0), tokenizer):
+                one, two = grid.ravel()[:-1], grid.ravel()[1:]
                 live = (one >= 0) & (two >= 0)
                 total += np.bincount(np.minimum(cell.value[one[live]], BEFORE - 1) * CELLS + cell.value[two[live]], minlength=len(total))
         at = np.flatnonzero(total)
@@ -404,23 +546,12 @@ def averaged(training: DataFrame, model: Model, rate: float, shards: int, tokeni
     form = "shard long, n long, body binary"
     schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 
-    def whole_batches(columns):
-        held = np.zeros((0, 2 * BLOCK + 1), np.int32)
-        for column in columns:
-            for w in windows_of(column, tokenizer):
-                held = np.concatenate([held, w])
-                whole = len(held) // batch_size * batch_size
-                yield from np.split(held[:whole], whole // batch_size) if whole else ()
-                held = held[whole:]
-        if len(held):
-            yield held
-
     def fit(batches):
         pieces = ((shard, batch.column(1).slice(i, j - i)) for batch in batches for shard, i, j in runs_of(batch.column(0)))
         for shard, group in itertools.groupby(pieces, key=lambda piece: piece[0]):
             mine = copy.copy(shared.value)
             mine.w = {k: v.copy() for k, v in shared.value.w.items()}
-            n = mine.train(whole_batches(column for _, column in group), rate)
+            n = mine.train((grid for _, column in group for grid in grids_of(column, tokenizer)), rate, batch_size)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([shard], [n], [_packed(mine.w)]), schema.types, strict=True)], schema=schema)
 
