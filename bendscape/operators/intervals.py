@@ -55,7 +55,9 @@ def pairs(a: DataFrame, b: DataFrame, within: int = 0, keys: tuple[str, ...] = K
 
 def partners(a: DataFrame, b: DataFrame, within: int = 0, keys: tuple[str, ...] = KEYS, width: int = BIN) -> DataFrame:
     """``a`` with ``n_partners``: how many rows of ``b`` are ``within`` or fewer places apart. Every row of ``a`` stays."""
-    row = F.struct(*a.columns)
+    # Keys are beside the row, so it is without them.
+    rest = a.select(*(c for c in a.columns if c not in keys))
+    row = F.struct(*rest.columns)
     asked = a.select(row.alias("row"), F.monotonically_increasing_id().alias("id"), *keys, _sound().alias("sound"), "start", "end")
     # Two questions a row: how many begin up to its end, and how many end before its start.
     event = lambda place, sign: F.struct(place.alias("place"), F.lit(sign).alias("sign"))
@@ -65,7 +67,7 @@ def partners(a: DataFrame, b: DataFrame, within: int = 0, keys: tuple[str, ...]
     facts = facts.withColumn("bin", _bin(F.col("place"), width))
     # What all bins before hold, a row a bin and sign that has any.
     sums = facts.groupBy(*keys, "bin", "sign").agg(F.count("*").alias("n"))
-    events = facts.select(*keys, "bin", "sign", "place", F.lit(0).alias("after"), F.lit(1).alias("fact"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(a.schema).alias("row"))
+    events = facts.select(*keys, "bin", "sign", "place", F.lit(0).alias("after"), F.lit(1).alias("fact"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(rest.schema).alias("row"))
     events = events.unionByName(questions.select(*keys, _bin(F.col("place"), width).alias("bin"), "sign", "place", F.when(F.col("sign") > 0, 2).otherwise(-1).alias("after"), F.lit(0).alias("fact"), "id", "row"))
     running = Window.partitionBy(*keys, "bin", "sign").orderBy("place", "after").rowsBetween(Window.unboundedPreceding, 0)
     counted = events.withColumn("here", F.sum("fact").over(running)).where("id is not null")
@@ -74,13 +76,13 @@ def partners(a: DataFrame, b: DataFrame, within: int = 0, keys: tuple[str, ...]
     along = Window.partitionBy(*keys, "sign").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = sums.unionByName(asked_bins).groupBy(*keys, "bin", "sign").agg(F.sum("n").alias("n"))
     bins = bins.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
-    answered = counted.join(bins, [*keys, "bin", "sign"]).groupBy("id").agg(F.any_value("row").alias("row"), F.sum(F.col("sign") * (F.col("here") + F.col("before"))).alias("n"))
+    answered = counted.join(bins, [*keys, "bin", "sign"]).groupBy(*keys, "id").agg(F.any_value("row").alias("row"), F.sum(F.col("sign") * (F.col("here") + F.col("before"))).alias("n"))
     # Rows that meet nothing: with a null key, or that are no interval.
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    none = a.where(~(_sound() & known)).select(row.alias("row"), F.lit(0).cast("long").alias("n"))
-    return answered.select("row", "n").unionByName(none).select("row.*", F.col("n").alias("n_partners"))
+    none = a.where(~(_sound() & known)).select(*keys, row.alias("row"), F.lit(0).cast("long").alias("n"))
+    return answered.select(*keys, "row", "n").unionByName(none).select(*keys, "row.*", F.col("n").alias("n_partners")).select(*a.columns, "n_partners")
 
 
 def near(a: DataFrame, b: DataFrame, within: int = 0, keys: tuple[str, ...] = KEYS, width: int = BIN) -> DataFrame:
