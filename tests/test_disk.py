@@ -1,6 +1,8 @@
 """What queries put into the shared folder and into shuffles is no more than they need."""
 
+import gzip
 import random
+from pathlib import Path
 
 import pytest
 
@@ -28,3 +30,15 @@ def test_of_scores_only_those_of_calls_are_kept(spark, documents, monkeypatch):
         want = calls.calls_overlapping(scores, scores, roll).select("seq_id", "piece", "dyad").collect()
         assert sorted(want) == sorted(dyads.select("seq_id", "piece", "dyad").collect()) and len(want) > 20
     assert len(kept) == 1 and spark.read.parquet(kept[0]).count() == scores.where("score_active > 0 or score_simple > 0").count() < scores.count() / 2
+
+
+@pytest.mark.parametrize("name, column", [("sink_curvature", -1), ("sink_bedgraph", -1)])
+def test_tracks_of_queries_have_the_digits_that_are_shown(spark, documents, monkeypatch, name, column):
+    kept = []
+    monkeypatch.setattr(shared, "new_folder", lambda *a, _old=shared.new_folder: (kept.append(_old(*a)), kept[-1])[1])
+    got = sorted((r.seq_id, r.position, r.curv_simple) for r in registry.QUERIES[name](spark, documents).collect())
+    lines = [x.split("\t") for p in sorted(Path(kept[0].removeprefix("file:")).glob("part-*.gz")) for x in gzip.open(p, "rt").read().splitlines()]
+    assert sorted((int(x[0]), int(x[1]), float(x[column])) for x in lines) == got and max(len(x[column].split("E")[0]) for x in lines) <= 10
+    pieces = registry.all_pieces(spark, documents).select("seq_id", "piece", "start")
+    curved = registry.QUERIES["curvature_dual"](spark, documents).join(pieces, ["seq_id", "piece"]).selectExpr("seq_id", "pos + start - 1 + seq_id as position", "curv_simple")
+    assert sorted(map(tuple, curved.collect())) == got and len(got) > 1000
