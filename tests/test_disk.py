@@ -8,7 +8,7 @@ import pytest
 
 from bendscape.operators import calls
 from bendscape.plans import registry
-from bendscape.sources import shared
+from bendscape.sources import bigwig, shared
 
 RNG = random.Random(23)
 TEXTS = [(k, "\n".join("".join(RNG.choice("ACGT") for _ in range(n)) for n in RNG.choices((30, 250, 700), k=3))) for k in range(30)] + [(30, ""), (31, None)]
@@ -42,3 +42,35 @@ def test_tracks_of_queries_have_the_digits_that_are_shown(spark, documents, monk
     pieces = registry.all_pieces(spark, documents).select("seq_id", "piece", "start")
     curved = registry.QUERIES["curvature_dual"](spark, documents).join(pieces, ["seq_id", "piece"]).selectExpr("seq_id", "pos + start - 1 + seq_id as position", "curv_simple")
     assert sorted(map(tuple, curved.collect())) == got and len(got) > 1000
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 22])
+def test_parts_of_bigwig_files_are_moved_not_copied(spark, tmp_path, monkeypatch, block):
+    bodies = [bytes(RNG.randrange(256) for _ in range(n)) for n in (20, 1, 9)]
+    target = tmp_path / "whole"
+    target.write_bytes(b"")
+    for i, body in enumerate(bodies):
+        source = tmp_path / f"part{i}"
+        source.write_bytes(body)
+        sync, lengths = bigwig.os.fsync, []
+
+        def stopped(n, source=source):
+            lengths.append(source.stat().st_size)
+            sync(n)
+            if len(lengths) == 3:
+                raise OSError("stopped")
+
+        monkeypatch.setattr(bigwig.os, "fsync", stopped)
+        try:
+            bigwig._move(str(source), str(target), 5 + sum(map(len, bodies[:i])), block)
+        except OSError:
+            assert source.stat().st_size == len(body) - 2 * block
+        monkeypatch.undo()
+        bigwig._move(str(source), str(target), 5 + sum(map(len, bodies[:i])), block)
+        assert source.stat().st_size == 0 and lengths[0] == len(body)
+    assert target.read_bytes() == bytes(5) + b"".join(bodies)
+    source.write_bytes(b"abc")
+    with pytest.raises(OSError, match="not whole"):
+        bigwig._place(spark, [(str(source), str(target), 0, 4)], 1)
+    bigwig._place(spark, [(str(source), str(target), 0, 3)], 1)
+    assert source.stat().st_size == 0 and target.read_bytes()[:6] == b"abc\0\0" + bodies[0][:1]
