@@ -59,10 +59,10 @@ def partners(a: DataFrame, b: DataFrame, within: int = 0, keys: tuple[str, ...]
     rest = a.select(*(c for c in a.columns if c not in keys))
     row = F.struct(*rest.columns)
     asked = a.select(row.alias("row"), F.monotonically_increasing_id().alias("id"), *keys, _sound().alias("sound"), "start", "end")
-    # Two questions a row: how many begin up to its end, and how many end before its start.
-    event = lambda place, sign: F.struct(place.alias("place"), F.lit(sign).alias("sign"))
-    both = F.array(event(F.col("end") + within, 1), event(F.col("start") - within, -1))
-    questions = asked.where("sound").select(*keys, "id", "row", F.explode(both).alias("q")).select(*keys, "id", "row", "q.*")
+    # Two questions a row: how many begin up to its end, and how many end before its start. One takes the row along.
+    event = lambda place, sign, *more: F.struct(place.alias("place"), F.lit(sign).alias("sign"), *more)
+    both = F.array(event(F.col("end") + within, 1, F.col("row")), event(F.col("start") - within, -1, F.lit(None).cast(rest.schema).alias("row")))
+    questions = asked.where("sound").select(*keys, "id", F.explode(both).alias("q")).select(*keys, "id", "q.*")
     facts = b.where(_sound()).select(*keys, F.explode(F.array(event(F.col("start"), 1), event(F.col("end"), -1))).alias("e")).select(*keys, "e.*")
     facts = facts.withColumn("bin", _bin(F.col("place"), width))
     # What all bins before hold, a row a bin and sign that has any.
@@ -76,7 +76,7 @@ def partners(a: DataFrame, b: DataFrame, within: int = 0, keys: tuple[str, ...]
     along = Window.partitionBy(*keys, "sign").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = sums.unionByName(asked_bins).groupBy(*keys, "bin", "sign").agg(F.sum("n").alias("n"))
     bins = bins.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
-    answered = counted.join(bins, [*keys, "bin", "sign"]).groupBy(*keys, "id").agg(F.any_value("row").alias("row"), F.sum(F.col("sign") * (F.col("here") + F.col("before"))).alias("n"))
+    answered = counted.join(bins, [*keys, "bin", "sign"]).groupBy(*keys, "id").agg(F.any_value("row", True).alias("row"), F.sum(F.col("sign") * (F.col("here") + F.col("before"))).alias("n"))
     # Rows that meet nothing: with a null key, or that are no interval.
     known = F.lit(True)
     for k in keys:
